@@ -1,8 +1,509 @@
-"""Registered queries of the credential scanner and the SQL that checks them."""
+"""Registered queries of the credential scanner over whole tables, and the SQL that checks them.
+
+A query's name begins with the operators it exercises. SQL is built from the same fixed values and runs
+in another engine with another regex library.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leakscan.functions import fixed, text
+from leakscan.operators import gates as G
+from leakscan.operators import identifiers as I
+from leakscan.operators import ignores, layers, lines, literals, paths, remediate, report, suppress
+from leakscan.operators import rules as R
+from leakscan.plans.scan import Scanner
+from leakscan.sources import files as S
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def case(subject: str, rows: list[tuple[str, str]], otherwise: str = "NULL") -> str:
+    """CASE over patterns; the other engine's \\z and (?i) are the same."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {lit(p)}) THEN {v}" for p, v in rows) + f" ELSE {otherwise} END"
+
+
+def in_list(names: list[str]) -> str:
+    return ", ".join(map(lit, names))
+
+
+# --- shared SQL ---------------------------------------------------------------------------------
+
+_DOCS = "SELECT '/corpus/' || source || '/' || CAST(doc_id AS VARCHAR) AS file_uri, text AS content FROM documents"
+_PAGES = "SELECT url AS file_uri, html AS content FROM pages"
+
+
+def _lines(files: str) -> str:
+    return f"""f AS ({files}), a AS (SELECT file_uri, string_split(content, chr(10)) AS ls FROM f WHERE content IS NOT NULL),
+l AS (SELECT file_uri, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line, ls FROM (SELECT file_uri, ls, unnest(range(1, len(ls) + 1)) AS i FROM a))"""
+
+
+_VALUES = r"v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS value FROM documents)"
+_HISTORY = """h AS (SELECT event_id, ts AS detected_at, CAST(user_id AS VARCHAR) AS file_name, event_type AS rule_id, ((event_id * 7919) % 1000) / 1000.0 AS score, event_id % 7 = 0 AS is_fixed FROM events),
+hs AS (SELECT *, CASE """ + " ".join(f"WHEN score >= {x} THEN '{n}'" for n, _, x in fixed.SEVERITIES) + " END AS severity FROM h)"
+_RANK = "CASE severity " + " ".join(f"WHEN '{n}' THEN {r}" for n, r, _ in fixed.SEVERITIES) + " END"
+
+
+def values(spark, sf_dir) -> DataFrame:
+    """Every distinct word of the documents, as a value to be judged."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.explode(words).alias("value")).distinct()
+
+
+def history(spark, sf_dir) -> DataFrame:
+    """Detections drawn from the events: each has a time, a file, a rule and a score."""
+    e = table(spark, sf_dir, "events")
+    score = (F.col("event_id") * 7919 % 1000) / 1000.0
+    out = e.select("event_id", F.col("ts").alias("detected_at"), F.col("user_id").cast("string").alias("file_name"), F.col("event_type").alias("rule_id"), score.alias("score"), (F.col("event_id") % 7 == 0).alias("is_fixed"))
+    return out.withColumn("severity", G.severity(F.col("score")))
+
+
+# --- sources and lines --------------------------------------------------------------------------
+
+
+@query(f"SELECT source, count(*) AS n_files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM (SELECT 'documents' AS source, content FROM ({_DOCS}) UNION ALL SELECT 'pages', content FROM ({_PAGES}) UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY source")
+def s1_s2_sources(spark, sf_dir):
+    parts = [f(spark, sf_dir).select(F.lit(f.__name__).alias("source"), "content") for f in (S.documents, S.pages, S.conversations)]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query(f"WITH {_lines(_DOCS)} SELECT file_uri, line_no, sha256(line) AS line_sha256 FROM l")
+def p1_lines(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False)
+    return out.select("file_uri", "line_no", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query(f"WITH {_lines(_DOCS)} SELECT file_uri, line_no, sha256(array_to_string(list_concat(ls[greatest(1, line_no - 4):line_no], ls[line_no + 2:line_no + 6]), chr(10))) AS near_sha256, CAST(len(list_concat(ls[greatest(1, line_no - 4):line_no], ls[line_no + 2:line_no + 6])) AS INTEGER) AS n_near FROM l")
+def w1_j6_surrounding(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir))
+    return out.select("file_uri", "line_no", F.sha2(F.array_join("surrounding", "\n"), 256).alias("near_sha256"), F.size("surrounding").alias("n_near"))
+
+
+_TRIM = r"regexp_replace(regexp_replace({}, '^[\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ''), '[\s\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+$', '')"
+_SINGLE = "(starts_with(t, '//') OR starts_with(t, '#') OR starts_with(t, '--') OR starts_with(t, '<!--'))"
+
+
+@query(f"""WITH {_lines(_PAGES)}, e AS (SELECT file_uri, line_no, line, {_TRIM.format('line')} AS t FROM l),
+g AS (SELECT *, CASE WHEN contains(line, '*/') THEN 0 WHEN NOT {_SINGLE} AND contains(t, '/*') THEN 1 END AS ev FROM e),
+s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY file_uri ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM g)
+SELECT file_uri, line_no, st = 1 OR {_SINGLE} OR contains(t, '/*') AS in_comment FROM s""")
+def p7_w3_comment_map(spark, sf_dir):
+    return lines.split_lines(S.pages(spark, sf_dir), surrounding=False).select("file_uri", "line_no", "in_comment")
+
+
+def _line_case(subject: str) -> str:
+    rows = [("|".join(f"(?:{p})" for p in ps), lit(n)) for n, ps in fixed.LINE_TYPES]
+    return f"CASE WHEN trim({subject}, chr(32) || chr(9) || chr(13)) = '' THEN 'UNKNOWN' ELSE " + case(subject, rows, "'UNKNOWN'") + " END"
+
+
+@query(f"WITH {_lines(_DOCS)} SELECT file_uri, line_no, {_line_case('line')} AS line_type, regexp_matches(line, '[:=]\\s*[\"''`]') AS string_assignment FROM l")
+def p8_p9_line_types(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False)
+    return out.select("file_uri", "line_no", lines.line_type(F.col("line")).alias("line_type"), lines.string_assignment(F.col("line")).alias("string_assignment"))
+
+
+@query(rf"""WITH {_lines(_PAGES)} SELECT file_uri, line_no, CAST(len(x) AS INTEGER) AS n, sha256(array_to_string(x, chr(1))) AS values_sha256 FROM (
+SELECT file_uri, line_no, list_filter(list_concat(list_concat(regexp_extract_all(line, '(?s)"((?:[^"\\]|\\[^\n])*)"', 1), regexp_extract_all(line, '(?s)''((?:[^''\\]|\\[^\n])*)''', 1)), regexp_extract_all(line, '(?s)`((?:[^`$\\]|\\[^\n])*)`', 1)), lambda v: v <> '') AS x FROM l)""")
+def p4_literal_values(spark, sf_dir):
+    out = lines.split_lines(S.pages(spark, sf_dir), surrounding=False).withColumn("x", literals.literal_values(F.col("line")))
+    return out.select("file_uri", "line_no", F.size("x").alias("n"), F.sha2(F.array_join("x", "\x01"), 256).alias("values_sha256"))
+
+
+@query()
+def p3_p22_literals(spark, sf_dir):
+    """Literals of pages and documents with positions."""
+    both = S.pages(spark, sf_dir).unionByName(S.documents(spark, sf_dir))
+    out = lines.split_lines(both, keep=lambda x: x.rlike("[\"'`]"), surrounding=False)
+    return out.select("file_uri", "line_no", F.inline(literals.literals(F.col("line"))))
+
+
+@query(rf"""WITH {_lines(_DOCS)}, m AS (SELECT file_uri, line_no, line, instr(line, '=') AS eq FROM l WHERE regexp_matches(line, '^\s*[A-Za-z_][A-Za-z0-9_.-]*\s*=\s*([^\n\r]+)$'))
+SELECT file_uri, line_no, trim(regexp_replace(substr(line, eq + 1), '\s+#[^\n\r]*$', '')) AS value FROM m WHERE trim(regexp_replace(substr(line, eq + 1), '\s+#[^\n\r]*$', '')) <> ''""")
+def p5_env_values(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), keep=lambda x: x.contains("="), surrounding=False)
+    return out.select("file_uri", "line_no", F.inline(literals.env_value(F.col("line")))).select("file_uri", "line_no", "value")
+
+
+@query()
+def p6_identifiers(spark, sf_dir):
+    """How often each name occurs in pages' lines."""
+    out = lines.split_lines(S.pages(spark, sf_dir), surrounding=False)
+    return out.select(F.explode(literals.identifiers(F.col("line"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- paths --------------------------------------------------------------------------------------
+
+_URIS = f"SELECT file_uri FROM ({_DOCS}) UNION ALL SELECT url FROM pages UNION ALL SELECT '/src/' || p_name || CASE p_partkey % 9 WHEN 0 THEN '/.env.local' WHEN 1 THEN '/tests/a.py' WHEN 2 THEN '/node_modules/x.js' WHEN 3 THEN '/README.md' WHEN 4 THEN '/config.json' WHEN 5 THEN '/a.png' WHEN 6 THEN '/x_test.go' WHEN 7 THEN '/secrets.json' ELSE '/main.rs' END FROM part"
+
+
+def _uris(spark, sf_dir):
+    tails = ["/.env.local", "/tests/a.py", "/node_modules/x.js", "/README.md", "/config.json", "/a.png", "/x_test.go", "/secrets.json", "/main.rs"]
+    k = F.pmod("p_partkey", F.lit(9)).cast("int")
+    made = table(spark, sf_dir, "part").select(F.concat(F.lit("/src/"), "p_name", F.get(F.lit(tails), k)).alias("file_uri"))
+    return S.documents(spark, sf_dir).select("file_uri").union(S.pages(spark, sf_dir).select("file_uri")).union(made)
+
+
+_BASE = r"regexp_extract(file_uri, '[^/]*$', 0)"
+_EXT = rf"lower(regexp_extract({_BASE}, '^.+(\.[^.]*)$', 1))"
+
+
+def _glob_sql(g: str) -> str:
+    return paths.glob_regex(g)
+
+
+@query(f"""WITH u AS ({_URIS}), x AS (SELECT file_uri, {_EXT} AS ext, lower({_BASE}) AS b FROM u)
+SELECT file_uri, CASE WHEN ext IN ({in_list(fixed.BINARY_EXTENSIONS)}) OR regexp_matches(file_uri, {lit("|".join("(?:" + _glob_sql(g) + ")" for g in fixed.EXCLUDED_GLOBS))}) THEN 'EXCLUDED'
+WHEN b IN ({in_list(fixed.HIGH_NAMES)}) OR starts_with(b, '.env.') THEN 'HIGH' WHEN b IN ({in_list(fixed.ELEVATED_NAMES)}) THEN 'ELEVATED'
+WHEN regexp_matches(file_uri, '(?i)/(?:{"|".join(fixed.REDUCED_FOLDERS)})/') OR ext IN ({in_list(fixed.REDUCED_EXTENSIONS)}) OR {" OR ".join(f"ends_with(b, {lit(s)})" for s in fixed.REDUCED_SUFFIXES)} THEN 'REDUCED' ELSE 'NORMAL' END AS risk FROM x""")
+def f1_f2_file_risk(spark, sf_dir):
+    return _uris(spark, sf_dir).select("file_uri", paths.risk(F.col("file_uri")).alias("risk"))
+
+
+@query(f"WITH u AS ({_URIS}) SELECT file_uri, {_BASE} AS base, {_EXT} AS ext, CASE {_EXT} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in fixed.LANGUAGES.items()) + " ELSE 'plaintext' END AS language FROM u")
+def p2_p23_names(spark, sf_dir):
+    u = F.col("file_uri")
+    return _uris(spark, sf_dir).select("file_uri", paths.base_name(u).alias("base"), paths.extension(u).alias("ext"), paths.language(u).alias("language"))
+
+
+# --- values -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_VALUES}, n AS (SELECT value, length(value) + length(regexp_replace(value, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS n FROM v),
+c AS (SELECT value, n, count(*) AS k FROM (SELECT value, n, unnest(string_split(value, '')) AS ch FROM n) WHERE ch <> '' GROUP BY value, n, ch),
+e AS (SELECT value, -sum(k / CAST(n AS DOUBLE) * log2(k / CAST(n AS DOUBLE))) AS e FROM c GROUP BY value)
+SELECT value, round(e, 6) + 0.0 AS entropy FROM e""")
+def p10_a8_entropy(spark, sf_dir):
+    return values(spark, sf_dir).select("value", (F.round(text.entropy(F.col("value")), 6) + 0.0).alias("entropy"))
+
+
+@query(f"""WITH {_VALUES} SELECT value, regexp_matches(value, '[A-Z]') AS has_upper, regexp_matches(value, '[a-z]') AS has_lower, regexp_matches(value, '[0-9]') AS has_digit, regexp_matches(value, '[^A-Za-z0-9]') AS has_special,
+CAST(CASE WHEN regexp_matches(value, '[A-Z]') THEN 26 ELSE 0 END + CASE WHEN regexp_matches(value, '[a-z]') THEN 26 ELSE 0 END + CASE WHEN regexp_matches(value, '[0-9]') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(value, '[^A-Za-z0-9]') THEN 32 ELSE 0 END AS INTEGER) AS charset_size FROM v""")
+def p12_charset(spark, sf_dir):
+    return values(spark, sf_dir).select("value", *[c.alias(k) for k, c in text.charset(F.col("value")).items()])
+
+
+@query()
+def l2_p11_p13_entropy_layer(spark, sf_dir):
+    cols = layers.entropy_layer(F.col("value"), F.lit(3.5))
+    return values(spark, sf_dir).select("value", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+
+
+def _reduce(table_: list, subject: str) -> str:
+    # RE2 has no back-references
+    one = lambda p: f"(length({subject}) >= 8 AND {subject} = repeat({subject}[1], length({subject})))" if "\\1" in p else f"regexp_matches({subject}, {lit(p)})"
+    return "least(" + ", ".join(f"CASE WHEN {one(p)} THEN {f} ELSE 1.0 END" for _, p, f in table_) + ")"
+
+
+@query(f"WITH {_VALUES} SELECT value, CAST({_reduce(fixed.PLACEHOLDERS, 'value')} AS DOUBLE) AS factor FROM v WHERE regexp_full_match(value, '[\\x00-\\x7F]*')")
+def f5_a11_placeholders(spark, sf_dir):
+    v = values(spark, sf_dir).where(F.col("value").rlike(r"^[\x00-\x7F]*\z"))
+    return v.select("value", G.placeholder(F.col("value"))["placeholder_factor"].alias("factor"))
+
+
+@query(f"WITH {_VALUES} SELECT value, CAST({_reduce(fixed.FORMATS, 'value')} AS DOUBLE) AS factor FROM v")
+def f6_formats(spark, sf_dir):
+    return values(spark, sf_dir).select("value", G.non_secret_format(F.col("value"))["format_factor"].alias("factor"))
+
+
+@query(f"WITH {_VALUES} SELECT value, trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') AS slug, trim(regexp_replace(upper(value), '[^A-Z0-9]+', '_', 'g'), '_') AS segment FROM v WHERE regexp_full_match(value, '[\\x00-\\x7F]*')")
+def p18_p19_names(spark, sf_dir):
+    v = values(spark, sf_dir).where(F.col("value").rlike(r"^[\x00-\x7F]*\z"))
+    return v.select("value", text.slug(F.col("value")).alias("slug"), text.env_segment(F.col("value")).alias("segment"))
+
+
+@query()
+def p16_p17_variants(spark, sf_dir):
+    v = values(spark, sf_dir).where(F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"))
+    return v.select("value", text.case_variants(F.col("value")).alias("variants"), I.builder_variants(F.col("value")).alias("listed"))
+
+
+@query(f"WITH {_lines(_DOCS)} SELECT file_uri, line_no, sha256(file_uri || ':' || line_no || ':' || {_TRIM.format('line')} || ':unknown') AS suppression_key FROM l")
+def p14_suppression_keys(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False)
+    return out.select("file_uri", "line_no", text.suppression_key(F.col("file_uri"), F.col("line_no"), F.col("line"), F.lit(None).cast("string")).alias("suppression_key"))
+
+
+@query(f"""WITH {_lines(_DOCS)} SELECT file_uri, line_no, CASE
+WHEN {" OR ".join(f"regexp_matches(line, {lit(p)})" for p in fixed.INLINE_MARKS)} THEN 'inline' WHEN {" OR ".join(f"regexp_matches(line, {lit(p)})" for p in fixed.GLOBAL_PATTERNS)} THEN 'global' ELSE 'none' END AS reason FROM l""")
+def f7_line_allowlist(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False)
+    line = F.col("line")
+    return out.select("file_uri", "line_no", F.when(text.any_of(line, fixed.INLINE_MARKS), "inline").when(text.any_of(line, fixed.GLOBAL_PATTERNS), "global").otherwise("none").alias("reason"))
+
+
+# --- rules and dictionary -----------------------------------------------------------------------
+
+_KEYWORDS = list(dict.fromkeys(k.lower() for r in R.load()["rules"] for k in r["keywords"]))
+_PAIRS = [(k.lower(), r["id"]) for r in R.load()["rules"] for k in r["keywords"]]
+_DIM = "k AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {lit(r)})" for k, r in _PAIRS) + ") t(keyword, rule_id))"
+
+
+@query(f"WITH {_DIM}, {_lines(_DOCS)} SELECT keyword, count(*) AS n_lines FROM l JOIN (SELECT DISTINCT keyword FROM k) ON contains(lower(line), keyword) GROUP BY keyword")
+def j2_keyword_hits(spark, sf_dir):
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False)
+    return out.select(F.explode(R.keyword_hits(F.col("line"), _KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"WITH {_DIM}, {_lines(_DOCS)}, h AS (SELECT DISTINCT file_uri, line_no, rule_id FROM l JOIN k ON contains(lower(line), keyword)) SELECT rule_id, count(*) AS n_lines FROM h GROUP BY rule_id")
+def j1_j4_triggered_rules(spark, sf_dir):
+    sc = R.compile_rules(spark, R.load())
+    out = lines.split_lines(S.documents(spark, sf_dir), surrounding=False).select("file_uri", "line_no", F.explode(R.keyword_hits(F.col("line"), sc.keyword_set)).alias("keyword"))
+    # the multimap has a few rows a rule, at most R.MOST_RULES rules
+    return out.join(F.broadcast(sc.keywords_df(spark)), "keyword").select("file_uri", "line_no", "rule_id").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"WITH {_DIM} SELECT keyword, count(DISTINCT rule_id) AS n_rules, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rule_ids FROM k GROUP BY keyword HAVING count(DISTINCT rule_id) > 1")
+def a14_s10_collisions(spark, sf_dir):
+    out = R.collisions(R.compile_rules(spark, R.load()).keywords_df(spark))
+    return out.select("keyword", "n_rules", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+@query()
+def s9_w5_dictionary(spark, sf_dir):
+    return I.seed(spark).withColumn("file", I.file_name(F.col("group")))
+
+
+@query()
+def s7_j12_consistency(spark, sf_dir):
+    own = I.seed(spark)
+    return own.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(I.consistency(own, own).groupBy(F.col("in_index").alias("group")).agg(F.count(F.lit(1)).alias("bad")), "group", "left").select("group", "n", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
+@query()
+def j3_groups(spark, sf_dir):
+    """Dictionary groups of the names in all texts."""
+    out = lines.split_lines(S.documents(spark, sf_dir).unionByName(S.pages(spark, sf_dir)), surrounding=False)
+    return I.resolve(out.select(F.explode(literals.identifiers(F.col("line"))).alias("name")), I.seed(spark))
+
+
+@query("SELECT 12 AS rules, " + f"{len(_KEYWORDS)} AS rule_keywords")
+def a15_health(spark, sf_dir):
+    rs = R.compile_rules(spark, R.load())
+    return report.health(rs.rules_df(spark), rs.keywords_df(spark), I.seed(spark)).select(F.col("rules").cast("int").alias("rules"), F.col("rule_keywords").cast("int").alias("rule_keywords"))
+
+
+# --- scan ---------------------------------------------------------------------------------------
+
+
+def _all_files(spark, sf_dir):
+    return S.documents(spark, sf_dir).unionByName(S.pages(spark, sf_dir)).unionByName(S.conversations(spark, sf_dir))
+
+
+_SCORES = ["l1_score", "l2_score", "l3_score", "l4_score", "l5_score", "base_score", "score"]
+
+
+@query()
+def f3_f4_candidates(spark, sf_dir):
+    return Scanner.default(spark).candidates(_all_files(spark, sf_dir)).select("file_uri", "line_no", "start_pos", "end_pos", "value", F.size("db1_hits").alias("n_keywords"), F.size("db2_hits").alias("n_names"))
+
+
+@query()
+def l1_l5_g4_g6_scored(spark, sf_dir):
+    return Scanner.default(spark).scored(_all_files(spark, sf_dir)).select("file_uri", "line_no", "start_pos", "rule_id", "line_type", "allow_reason", "placeholder_names", "format_names", *[F.round(c, 6).alias(c) for c in _SCORES], "severity")
+
+
+@query()
+def f8_f10_f11_findings(spark, sf_dir):
+    return Scanner.default(spark).findings(_all_files(spark, sf_dir)).select("file_uri", "line_no", "start_pos", "rule_id", F.round("score", 6).alias("score"), "severity")
+
+
+@query()
+def a7_funnel(spark, sf_dir):
+    return Scanner.default(spark).funnel(_all_files(spark, sf_dir))
+
+
+@query()
+def k1_k3_k4_reports(spark, sf_dir):
+    return report.diagnostics(Scanner.default(spark).findings(_all_files(spark, sf_dir)))
+
+
+@query()
+def p20_p21_remediation_plan(spark, sf_dir):
+    return remediate.plan(Scanner.default(spark).findings(_all_files(spark, sf_dir)))
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS l1, l_tax * 12 AS l2, l_quantity / 50.0 AS l3, (l_partkey % 10) / 10.0 AS l4, (l_suppkey % 10) / 10.0 AS l5 FROM lineitem),
+b AS (SELECT *, CAST(l1 AS DOUBLE) * 0.35 + CAST(l2 AS DOUBLE) * 0.2 + CAST(l3 AS DOUBLE) * 0.2 + CAST(l4 AS DOUBLE) * 0.15 + CAST(l5 AS DOUBLE) * 0.1 + CASE WHEN l1 = 0 AND l3 >= 0.4 AND l2 >= 0.6 THEN 0.28 ELSE 0.0 END AS base FROM i)
+SELECT l_orderkey, l_linenumber, round(base, 6) AS base_score, round(greatest(0.0, least(1.0, CASE WHEN l_linenumber = 7 THEN 0.0 WHEN l_linenumber = 6 THEN greatest(base * 1.2 * CASE WHEN l_linenumber = 5 THEN 0.05 ELSE 1.0 END, 0.9) ELSE base * 1.2 * CASE WHEN l_linenumber = 5 THEN 0.05 ELSE 1.0 END END)), 6) AS score FROM b""")
+def g6_confidence(spark, sf_dir):
+    """The aggregate over scores made from the order lines' numbers."""
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.cast("double").alias(k) for k, c in {"l1": F.col("l_discount") * 10, "l2": F.col("l_tax") * 12, "l3": F.col("l_quantity") / 50.0, "l4": F.col("l_partkey") % 10 / 10.0, "l5": F.col("l_suppkey") % 10 / 10.0}.items()])
+    n = F.col("l_linenumber")
+    c = {"l1_score": F.col("l1"), "l2_score": F.col("l2"), "l2_entropy": F.lit(4.0), "l3_score": F.col("l3"), "l4_score": F.col("l4"), "l5_score": F.col("l5"), "matched": F.col("l1") != 0, "known_provider": n == 6, "generic": F.lit(False),
+         "specific_context": F.lit(False), "file_factor": F.lit(1.2), "placeholder_factor": F.when(n == 5, 0.05).otherwise(1.0), "format_factor": F.lit(1.0), "allowed": n == 7, "value": F.lit("x y")}
+    out = G.confidence(c, fixed.WEIGHTS)
+    return i.select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(k) for k, v in out.items()])
+
+
+# --- reports ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_HISTORY} SELECT event_id, severity, CAST({_RANK} AS INTEGER) AS rank, coalesce(severity IN ('critical', 'high'), false) AS blocks FROM hs")
+def f11_f12_severities(spark, sf_dir):
+    s = F.col("severity")
+    return history(spark, sf_dir).select("event_id", "severity", G.severity_rank(s).alias("rank"), G.blocks(s).alias("blocks"))
+
+
+@query(f"WITH {_HISTORY} SELECT d.severity, CAST(d.rank AS INTEGER) AS rank, count(hs.severity) AS n FROM (VALUES " + ", ".join(f"('{n}', {r})" for n, r, _ in fixed.SEVERITIES) + ") d(severity, rank) LEFT JOIN hs ON hs.severity = d.severity GROUP BY d.severity, d.rank")
+def a2_by_severity(spark, sf_dir):
+    return report.by_severity(history(spark, sf_dir))
+
+
+@query(f"WITH {_HISTORY} SELECT file_name AS file_uri, CASE max({_RANK}) " + " ".join(f"WHEN {r} THEN '{n}'" for n, r, _ in fixed.SEVERITIES) + " END AS severity, count(*) AS n FROM hs WHERE severity IS NOT NULL GROUP BY file_name")
+def a1_max_severity(spark, sf_dir):
+    return report.max_severity(history(spark, sf_dir).where("severity is not null").withColumnRenamed("file_name", "file_uri"))
+
+
+@query(f"WITH {_HISTORY} SELECT coalesce(rule_id, 'unknown') AS type, count(*) AS n FROM hs GROUP BY 1 ORDER BY n DESC, type LIMIT 8")
+def a3_top_types(spark, sf_dir):
+    return report.top_types(history(spark, sf_dir).withColumn("matched_group", F.lit(None).cast("string")))
+
+
+_TODAY = "(SELECT max(CAST(ts AS DATE)) FROM events)"
+_DAYS = f"d AS (SELECT CAST({_TODAY} - CAST(i AS INTEGER) AS DATE) AS day FROM range(14) t(i)), c AS (SELECT d.day, count(hs.event_id) AS n FROM d LEFT JOIN hs ON CAST(hs.detected_at AS DATE) = d.day GROUP BY d.day)"
+
+
+def _days(spark, sf_dir):
+    h = history(spark, sf_dir)
+    today = h.agg(F.max(F.to_date("detected_at"))).first()[0]
+    return report.daily(h, F.lit(today))
+
+
+@query(f"WITH {_HISTORY}, {_DAYS} SELECT day, n FROM c")
+def a4_daily(spark, sf_dir):
+    return _days(spark, sf_dir)
+
+
+@query(f"WITH {_HISTORY}, {_DAYS} SELECT (SELECT day FROM c ORDER BY n DESC, day LIMIT 1) AS peak_day, max(n) AS peak, count(*) FILTER (n > 0) AS active_days, (SELECT n FROM c ORDER BY day DESC LIMIT 1) AS today FROM c")
+def a5_peak(spark, sf_dir):
+    return report.peak(_days(spark, sf_dir))
+
+
+@query(f"WITH {_HISTORY} SELECT count(*) AS detected, count(*) FILTER (is_fixed) AS fixed, count(*) FILTER (severity IS NOT NULL) AS active, count(*) FILTER (severity = 'low') AS suppressed, CAST(0 AS BIGINT) AS blocked FROM hs")
+def a6_a17_counters(spark, sf_dir):
+    h = history(spark, sf_dir)
+    return report.counters(h, h.where("severity is not null"), h.where("severity = 'low'"))
+
+
+@query(f"WITH {_HISTORY} SELECT bool_or(coalesce(severity IN ('critical', 'high'), false)) AS blocked, count(*) AS findings FROM hs")
+def f12_a13_k5_blocked(spark, sf_dir):
+    return report.blocked(history(spark, sf_dir))
+
+
+@query("""WITH x AS (SELECT quality = 1 AS a, length(text) > 900 AS p FROM labels JOIN documents USING (doc_id)),
+n AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM x),
+r AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall FROM n)
+SELECT tp, fp, fn, tn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / (precision + recall), 9) AS f1 FROM r""")
+def a16_confusion(spark, sf_dir):
+    """Long documents taken as a prediction of quality."""
+    x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    out = report.confusion(x, F.length("text") > 900, F.col("quality") == 1)
+    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {_HISTORY} SELECT event_id, severity FROM hs WHERE severity = 'high' AND (contains(lower(file_name), '1') OR contains(lower(rule_id), '1'))")
+def f17_filter(spark, sf_dir):
+    return report.filter_findings(history(spark, sf_dir).withColumnRenamed("file_name", "file_uri"), "high", "1").select("event_id", "severity")
+
+
+# --- state --------------------------------------------------------------------------------------
+
+_KEYS = "k AS (SELECT *, sha256(file_name || ':' || rule_id || ':' || CAST(event_id % 500 AS VARCHAR)) AS suppression_key FROM hs)"
+_SUPPRESSED = "s AS (SELECT suppression_key, max(detected_at) + INTERVAL 3 DAY AS expires_at FROM k WHERE event_id % 5 = 0 GROUP BY suppression_key)"
+
+
+def _keyed(spark, sf_dir):
+    h = history(spark, sf_dir)
+    return h.withColumn("suppression_key", F.sha2(F.concat_ws(":", "file_name", "rule_id", (F.col("event_id") % 500).cast("string")), 256))
+
+
+@query(f"WITH {_HISTORY}, {_KEYS}, {_SUPPRESSED} SELECT event_id, suppression_key FROM k WHERE suppression_key NOT IN (SELECT suppression_key FROM s WHERE expires_at >= (SELECT max(ts) FROM events))")
+def j5_st6_suppressed(spark, sf_dir):
+    k = _keyed(spark, sf_dir)
+    s = k.where("event_id % 5 = 0").groupBy("suppression_key").agg((F.max("detected_at") + F.expr("interval 3 days")).alias("expires_at"))
+    now = k.agg(F.max("detected_at")).first()[0]
+    return suppress.apply(k, s, F.lit(now)).select("event_id", "suppression_key")
+
+
+@query(f"WITH {_HISTORY}, {_KEYS} SELECT event_id FROM k a WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.event_id % 2 = 0 AND b.file_name = a.file_name AND b.suppression_key = a.suppression_key)")
+def j7_st5_new_findings(spark, sf_dir):
+    k = _keyed(spark, sf_dir).withColumnRenamed("file_name", "file_uri")
+    return suppress.new_findings(k.where("event_id % 2 = 1"), k.where("event_id % 2 = 0")).select("event_id")
+
+
+@query(f"WITH {_HISTORY} SELECT file_name AS file_uri, event_id FROM hs WHERE event_id % 2 = 1 OR file_name NOT IN (SELECT file_name FROM hs WHERE event_id % 2 = 1)")
+def st4_replace_files(spark, sf_dir):
+    k = history(spark, sf_dir).withColumnRenamed("file_name", "file_uri").select("file_uri", "event_id")
+    fresh = k.where("event_id % 2 = 1")
+    return suppress.replace_files(k.where("event_id % 2 = 0"), fresh, fresh)
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut, event_id FROM events),
+s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n_events FROM s GROUP BY user_id, s""")
+def st2_sessions(spark, sf_dir):
+    from leakscan.streaming.scan import event_sessions
+
+    return event_sessions(table(spark, sf_dir, "events"))
+
+
+# --- ignore files and remediation ---------------------------------------------------------------
+
+_IGNORES = [("", "*.png\n/src/**/main.rs\nnode_modules/\n"), ("src", "!*.png\n# kept\n*.md\n")]
+
+
+@query("""WITH u AS (""" + _URIS + r"""), r AS (SELECT DISTINCT ltrim(file_uri, '/') AS path FROM u WHERE starts_with(file_uri, '/'))
+SELECT path, CASE WHEN starts_with(path, 'src/') AND ends_with(path, '.md') THEN true WHEN starts_with(path, 'src/') AND ends_with(path, '.png') THEN false WHEN regexp_matches(path, '(^|/)node_modules(/|$)') THEN true
+WHEN regexp_matches(path, '^src/(.*/)?main\.rs$') THEN true WHEN ends_with(path, '.png') THEN true END AS verdict FROM r""")
+def f15_f16_j9_ignored(spark, sf_dir):
+    u = _uris(spark, sf_dir).where(F.col("file_uri").startswith("/")).select(F.regexp_replace("file_uri", "^/+", "").alias("path")).distinct()
+    return ignores.evaluate(u, ignores.rules(spark, _IGNORES))
+
+
+@query("""WITH e AS (SELECT upper(replace(c_name, '#', '_')) AS key, CAST(c_acctbal AS VARCHAR) AS old FROM customer WHERE c_custkey % 3 > 0), w AS (SELECT upper(replace(c_name, '#', '_')) AS key, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS VARCHAR) ELSE 'x' END AS new FROM customer WHERE c_custkey % 5 > 1)
+SELECT key, coalesce(new, old) AS value, CASE WHEN new IS NULL THEN 'kept' WHEN old IS NULL THEN 'appended' WHEN old = new THEN 'unchanged' ELSE 'replaced' END AS action FROM e FULL JOIN w USING (key)""")
+def k6_k7_env_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("key", F.upper(F.replace("c_name", F.lit("#"), F.lit("_"))))
+    value = F.col("c_acctbal").cast("string")
+    own = c.where("c_custkey % 3 > 0").select("key", value.alias("value"))
+    want = c.where("c_custkey % 5 > 1").select("key", F.when(F.col("c_custkey") % 2 == 0, value).otherwise("x").alias("value"))
+    out = remediate.upsert_env(own, want)
+    return out.select("key", "value", "action")
+
+
+@query("SELECT 'your-' || lower(replace(upper(replace(s_name, '#', '_')), '_', '-')) || '-here' AS value, upper(replace(s_name, '#', '_')) AS key FROM supplier WHERE s_suppkey % 4 > 0")
+def k9_example_sync(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumn("key", F.upper(F.replace("s_name", F.lit("#"), F.lit("_"))))
+    return remediate.sync_example(s, s.where("s_suppkey % 4 = 0")).select("key", "value")
+
+
+@query("SELECT entry FROM (VALUES " + ", ".join(f"({lit(e)})" for e in fixed.RECOMMENDED_IGNORES) + ") t(entry) WHERE entry NOT IN ('.env', '*.pem')")
+def k8_j10_missing_ignores(spark, sf_dir):
+    have = spark.createDataFrame([(" .env ",), ("# *.key",), ("*.pem",)], "line string")
+    return remediate.missing_entries(have, spark.createDataFrame([(e,) for e in fixed.RECOMMENDED_IGNORES], "entry string"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query: what became of every file's lines and candidates."""
+    return Scanner.default(spark).funnel(_all_files(spark, sf_dir))
