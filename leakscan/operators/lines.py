@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
+from leakscan.functions.dialect import SPACE
 from leakscan.functions.text import any_of, trim_unicode
 
 NEAR = 5
 CHANGED_NEAR = 2
 
 
+def _single(line: Column) -> Column:
+    """A comment up to the line's end, after blanks."""
+    return line.rlike(f"^[{SPACE}]*(?://|#|--|<!--)")
+
+
 def _events(lines: Column) -> Column:
     """One letter a line: c ends a block comment, o opens one, x does neither."""
 
     def event(line):
-        t = trim_unicode(line)
-        single = t.startswith("//") | t.startswith("#") | t.startswith("--") | t.startswith("<!--")
-        return F.when(line.contains("*/"), "c").when(~single & t.contains("/*"), "o").otherwise("x")
+        return F.when(line.contains("*/"), "c").when(line.contains("/*") & ~_single(line), "o").otherwise("x")
 
     return F.array_join(F.transform(lines, event), "")
 
@@ -40,9 +44,8 @@ def _blocks(events: Column) -> Column:
 
 
 def in_comment(line: Column, line_no: Column, blocks: Column) -> Column:
-    t = trim_unicode(line)
     inside = F.exists(blocks, lambda b: (line_no > b["begin"]) & (line_no <= b["end"]))
-    return inside | t.startswith("//") | t.startswith("#") | t.startswith("--") | t.startswith("<!--") | t.contains("/*")
+    return inside | line.contains("/*") | _single(line)
 
 
 def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
@@ -93,5 +96,4 @@ def string_assignment(line: Column) -> Column:
 
 
 def array_context(line: Column) -> Column:
-    t = trim_unicode(line)
-    return t.startswith("[") | t.startswith(",")
+    return line.rlike(f"^[{SPACE}]*[\\[,]")

@@ -9,7 +9,8 @@ from leakscan.functions import fixed
 from leakscan.functions.dialect import SPACE
 from leakscan.functions.text import trim_unicode, utf16_length
 
-QUOTED = {'"': r'"((?:[^"\\]|\\.)*)"', "'": r"'((?:[^'\\]|\\.)*)'", "`": r"`((?:[^`$\\]|\\.)*)`"}
+# possessive, so that long literals don't nest the matcher's calls
+QUOTED = {'"': r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"', "'": r"'([^'\\]*+(?:\\.[^'\\]*+)*+)'", "`": r"`([^`$\\]*+(?:\\.[^`$\\]*+)*+)`"}
 _LITERAL = "array<struct<value:string,start_pos:int,end_pos:int,quote:string>>"
 
 
@@ -59,7 +60,7 @@ def candidate_values(line: Column) -> Column:
 def identifiers(line: Column) -> Column:
     """Names outside literals and comments, repeats included, without language keywords and single letters."""
     s = line
-    for p in (r'"(?:[^"\\]|\\.)*"', r"'(?:[^'\\]|\\.)*'", r"`(?:[^`\\]|\\.)*`", r"//.*\z", r"/\*.*?\*/", r"#.*\z"):
+    for p in (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", r"//.*\z", r"/\*.*?\*/", r"#.*\z"):
         s = F.regexp_replace(s, p, "")
     # a name starts at a word boundary and ends at one; $ is no word character
     name = r"(?<![A-Za-z0-9_])([a-zA-Z_](?:[a-zA-Z0-9_$]*[a-zA-Z0-9_])?)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(\$[a-zA-Z0-9_$]*[a-zA-Z0-9_])(?![A-Za-z0-9_])"

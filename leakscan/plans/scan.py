@@ -1,7 +1,8 @@
 """The scan: files to scored candidates to findings.
 
 One row per file stays one row until its lines with candidate values go out, so the corpus is never
-shuffled; what is shuffled are candidate lines (for dictionary signals) and their rule matches.
+shuffled; what is shuffled are candidate lines (for dictionary signals) and their rule matches. Both are
+checkpointed, so the files are read once however many branches the plan has.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from leakscan.operators import literals as S
 from leakscan.operators import paths, suppress
 from leakscan.operators import rules as R
 from leakscan.plans import config as K
+from leakscan.sources.state import checkpointed
 
 
 @dataclass
@@ -63,7 +65,7 @@ class Scanner:
 
     def candidates(self, files: DataFrame) -> DataFrame:
         """Candidate values of lines with a keyword, a dictionary name or a keyword beside them."""
-        lines = self.lines(files)
+        lines = checkpointed(self.lines(files))  # the one pass over the files
         known = Y.signals(lines.select("line_id", "line_no", "line", "surrounding"), self.dictionary, self.broadcast_dictionary)
         out = lines.join(known, "line_id", "left").withColumn("signals", F.coalesce("signals", Y.no_signals())).withColumn("db2_hits", F.coalesce("db2_hits", F.array().cast("array<string>")))
         out = out.where((F.size("db1_hits") > 0) | (F.size("db2_hits") > 0) | F.col("adjacent_hit"))
@@ -72,7 +74,7 @@ class Scanner:
 
     def scored(self, files: DataFrame) -> DataFrame:
         """Candidates with all layers, reductions, score, severity and suppression key."""
-        c = self.candidates(files)
+        c = checkpointed(self.candidates(files))
         best = R.match_rules(c.select("cand_id", "value", "line", "db1_hits", F.col("file_uri").alias("path")), self.ruleset, self.config["options"]["useRulePaths"])
         c = c.join(best, "cand_id", "left")
         path = F.replace("file_uri", F.lit("\\"), F.lit("/"))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared checkpoint folder, where several branches of a plan read it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leakscan-"))
+    return df.checkpoint()
+
+
 class StateStore:
     """Versioned Parquet tables under a folder that all machines share."""
 
