@@ -29,9 +29,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no considerable part of a benchmark item."""
-    columns = docs.columns
-    out = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(columns)
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(5000, 5000)]
     df = spark.createDataFrame(chain, "a long, b long")
     nodes = {x for e in chain if e[0] != e[1] for x in e}
-    assert {r.node: r.root for r in common.components(df).collect()} == brute.components(nodes, chain)
+    assert {r.node: r.root for r in common.components(df).collect()} == brute.components(nodes, [e for e in chain if e[0] != e[1]])
     assert common.components(df.limit(0)).count() == 0
 
 
@@ -117,7 +117,7 @@ def test_contamination(spark, docs_df, odd_docs, items):
 
 def test_contamination_without_broadcast(spark, odd_docs, items, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(decontam, "BITMAP_BITS", 3)  # a full bitmap only costs time
+    monkeypatch.setattr(decontam, "LISTED_ROWS", 0)  # a full bitmap only costs time
     rows = [*odd_docs, (900, dict(items)[6])]
     got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     same(got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256), "contaminated").collect(), brute.contamination(rows, items))
