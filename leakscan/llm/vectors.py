@@ -159,7 +159,7 @@ def _join(threshold: float):
         def settle():
             """All homes of the chunk are in."""
             s = state
-            if s["chunk"] is None or s.get("ready"):
+            if s["chunk"] is None or s.get("ready") or not s["x"]:
                 return
             s["node"], s["weight"], s["x"] = (np.concatenate(s[k]) for k in ("node", "weight", "x"))
             s["parent"], s["count"], s["ready"] = list(range(len(s["node"]))), np.zeros(len(s["node"]), np.int64), True
@@ -174,8 +174,8 @@ def _join(threshold: float):
         def finish():
             settle()
             s = state
-            if s["chunk"] is None or not len(s["node"]):
-                return None
+            if not s.get("ready"):
+                return None  # a chunk that only visitors came to
             has = np.flatnonzero(s["count"])
             tied = [(i, root(i)) for i in range(len(s["node"])) if s["parent"][i] != i]
             return batch_of([s["node"][has], s["node"][[i for i, _ in tied]]], [None, s["node"][[j for _, j in tied]]], [s["count"][has], np.zeros(len(tied), np.int64)])
@@ -200,9 +200,9 @@ def _join(threshold: float):
                 if not visit[lo]:
                     state["node"].append(node), state["weight"].append(weight), state["x"].append(x)
                     continue
-                if not state["x"]:
-                    continue
                 settle()
+                if not state.get("ready"):
+                    continue
                 for at in range(0, len(x), BLOCK):
                     a, b = pairs(x[at : at + BLOCK], state["x"])
                     a += at
