@@ -50,6 +50,7 @@ class FuzzyTrie:
         self.term: set[int] = set()
         self.stem: set[int] = set()
         self.loose: set[int] = set()  # nodes above or at a term that may be misspelled
+        self.long: set[int] = set()  # such terms' ends
         for word, kind in [(t, self.term) for t in terms] + [(s, self.stem) for s in stems]:
             path = [0]
             for c in word:
@@ -61,7 +62,7 @@ class FuzzyTrie:
             kind.add(path[-1])
             if kind is self.term and len(word) >= FUZZY_LENGTH:
                 self.loose.update(path)
-        self.long = {n for n in self.loose if n in self.term}
+                self.long.add(path[-1])
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
