@@ -158,17 +158,19 @@ def train_dictionary(pages: DataFrame, html: str, id: str) -> bytes:
         return b""
 
 
-def plan(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """`pages` with _digest, _refers and _revisit: of equal payloads of at least REVISIT_BYTES the smallest id is
+def plan(pages: DataFrame, partitions: int, id: str = "page_id", html: str = "html") -> DataFrame:
+    """`pages` in `partitions` partitions with _digest, _refers and _revisit: of equal payloads of at least REVISIT_BYTES the smallest id is
     the response, the other rows revisit it. Rows that share the smallest id are all responses; null ids are largest.
 
     Digests are counted before they are shuffled, and the join back is salted, so one common payload is no task's whole load.
+    The join's partitions are the archives', so payloads are shuffled once.
     """
     data = F.coalesce(F.encode(html, "UTF-8"), F.lit(b""))
     own = pages.withColumn("_digest", F.sha2(data, 256)).withColumn("_salt", F.pmod(F.xxhash64(id, "url"), F.lit(SALTS)).cast("int"))
     long = F.coalesce(F.octet_length(html), F.lit(0)) >= REVISIT_BYTES
     least = own.where(long).groupBy("_digest").agg(F.min(id).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _least is not null")
     least = least.select(F.col("_digest").alias("_d"), "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    own, least = own.repartition(partitions, "_digest", "_salt"), least.repartition(partitions, "_d", "_s")
     out = own.join(least, (F.col("_digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")), "left")
     again = F.col("_least").isNotNull() & ~F.col(id).eqNullSafe(F.col("_least"))
     return out.withColumn("_revisit", again).withColumn("_refers", F.when(again, F.col("_least"))).drop("_d", "_s", "_salt", "_least")
@@ -192,7 +194,7 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     n = max(1, -(-total // ARCHIVE_BYTES))
-    records = plan(pages).repartition(n, F.xxhash64("page_id", "url", "_digest")).mapInArrow(run, "value binary")
+    records = plan(pages, n).mapInArrow(run, "value binary")
     # bytes pass a string cast as they are, and the text writer writes them as they are
     records.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
