@@ -9,18 +9,30 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.llm import common as C
 
 #: (host, path prefix, verdict); the longest that fits a url decides.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: The small labelled table that stands in where none is given: hosts and paths of kinds that filters block, and plain ones.
+BLOCKED_HOSTS = """
+casino-win casino-royal online-casino bestcasino poker-club slots-free free-slots free-bets bet-now sportbets lucky-win win-prizes jackpot-win
+spam-farm spam-links link-farm linkspam seo-spam ads-track ad-tracker track-clicks trackads adserver clickads popup-ads banner-ads
+cheap-pills pills-online viagra-shop adult-cams xxx-videos free-xxx hot-dating fast-loan payday-loans free-money get-rich crypto-win free-download warez crack-keys
+""".split()
+PLAIN_HOSTS = """
+www blog news library museum docs help support shop mail m mobile wiki forum school university health travel weather recipes garden history
+music sports science research journal press events city council bank post store media photo art books learning data open community people
+""".split()
+BLOCKED_PATHS = ["/casino/bonus", "/free-bets", "/ads/click", "/track?id=1", "/pills/buy-now", "/win-prizes.html"]
+PLAIN_PATHS = ["/", "/en/12", "/fr/article/7", "/de/34.html", "/es/5/", "/about", "/news/2024/a.html", "/index.html"]
 BITS = 12
 GRAMS = (3, 4)
 #: Labelled urls that training reads at most.
 SAMPLE = 3000
-STEPS = 25
+STEPS = 40
 
 
 def host_of(url: Column) -> Column:
@@ -52,11 +64,12 @@ def features(host: Column, path: Column, bits: int = BITS) -> Column:
 
     def of(s: Column, tag: str) -> Column:
         marked = F.concat(F.lit("^"), s, F.lit("$"))
-        lists = [
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)), lambda i, n=n: F.concat(F.lit(f"{tag}{n}"), F.substring(marked, i, F.lit(n))))
-            for n in GRAMS
-        ]
-        return F.concat(*lists)
+
+        def grams(n: int) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1))
+            return F.transform(places, lambda i: F.concat(F.lit(f"{tag}{n}"), F.substring(marked, i, F.lit(n))))
+
+        return F.concat(*[grams(n) for n in GRAMS])
 
     both = F.concat(of(host, "h"), of(path, "p"))
     return F.array_distinct(F.transform(both, lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int")))
@@ -85,32 +98,42 @@ def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS, sample: int =
     if not shares[0]:
         return weights
     balance = F.when(F.col("label") == 1, 0.5 / max(shares[1], 0.02)).otherwise(0.5 / max(1 - shares[1], 0.02))
-    squares = np.full_like(weights, 1e-4)
-    for _ in range(steps):
+    speed = np.zeros_like(weights)
+    for _ in range(steps):  # features have length 1, so steps this long are stable
         p = probability(F.col("grams"), weights)
         part = rows.select("grams", ((p - F.col("label")) * balance).alias("r"), F.sqrt(F.size("grams")).alias("s"))
         part = part.select("r", F.explode(F.concat(F.transform("grams", lambda g: F.struct(g.alias("g"), (F.col("r") / F.col("s")).alias("x"))), F.array(F.struct(F.lit(1 << bits).alias("g"), F.col("r").alias("x"))))).alias("e"))
         grad = np.zeros_like(weights)
         for g, x in part.groupBy("e.g").agg(F.sum("e.x")).collect():  # a row per weight at most
             grad[g] = x / shares[0]
-        grad[:-1] += 1e-5 * weights[:-1]
-        squares += grad * grad
-        weights -= 1.5 * grad / np.sqrt(squares)
+        grad[:-1] += 1e-4 * weights[:-1]
+        speed = 0.9 * speed - 2.0 * grad
+        weights = weights + speed
     scratch.drop(rows)
     return weights
 
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+def built_in_labels(spark: SparkSession) -> DataFrame:
+    """(url, label): 1 for plain urls, 0 for those of kinds that filters block. Endings and subdomains are the same on both sides."""
+    tails = [".example.com", ".example.org", ".example.net", ".com", ".net"]
+    rows = [(f"http://{'www.' * (i % 2)}{h}{tails[i % 5]}{PLAIN_PATHS[i % len(PLAIN_PATHS)]}", 0) for i, h in enumerate(BLOCKED_HOSTS)]
+    rows += [(f"http://{h}{tails[i % 5]}{PLAIN_PATHS[(i + 3) % len(PLAIN_PATHS)]}", 1) for i, h in enumerate(PLAIN_HOSTS)]
+    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 0) for i, p in enumerate(BLOCKED_PATHS) for a in PLAIN_HOSTS[4:6]]
+    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 1) for i, p in enumerate(PLAIN_PATHS) for a in PLAIN_HOSTS[6:8]]
+    return spark.createDataFrame(rows, "url string, label int")
+
+
+def judge(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """`pages` with host, path, rule, score and verdict.
 
     A rule's verdict stands; other urls are allowed if the model gives 0.5 or more. The model learns
-    from the urls that rules decide, so it carries the rules' habits to hosts that no rule names. Null
-    and malformed urls have an empty host and path and are judged by the model. Rows that repeat are
-    judged alike; input columns named like an output give way.
+    from `labelled` (url, label 0 or 1), or from a built-in table. Null and malformed urls have an empty
+    host and path and are judged by the model. Rows that repeat are judged alike; input columns named
+    like an output give way.
     """
-    parts = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     said = rule_of(F.col("host"), F.col("path"), rules, lambda r: r[2])
-    weights = fit(parts.withColumn("label", F.when(said == "allow", 1).when(said == "block", 0)))
+    known = built_in_labels(pages.sparkSession) if labelled is None else labelled
+    weights = fit(known.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label"))
     new = {"host", "path", "rule", "score", "verdict"}
     keep = [c for c in pages.columns if c.lower() not in new]
     own_url = F.col(url)
