@@ -56,7 +56,8 @@ def test_findings(spark, scanner):
         ("/src/e.py", 't = "acme_allowme4567890abcdEF"\n'),
         ("/node_modules/f.js", f'token = "{value}"'),
         ("/src/g.env", f"TOKEN={value} # note\n"),
-        ("/src/h.py", 'name = "acme_token"\n'),
+        ("/src/h.py", 'name = "acme_name"\n'),
+        ("/src/i.py", 'name = "acme_token"\n'),
         ("/src/none.py", None),
     )
     rows = {r.file_uri: r for r in scanner.scored(f).collect()}
@@ -67,7 +68,10 @@ def test_findings(spark, scanner):
     assert c.rule_id == "generic-api-key" and c.format_names == ["git-sha-full"] and c.severity is None
     assert rows["/src/d.py"].allow_reason == "Global allowlist pattern" and rows["/src/e.py"].allow_reason == 'Rule allowlist: stopword match: "allowme"'
     assert rows["/src/g.env"].value == value and rows["/src/g.env"].severity == "critical" and "/node_modules/f.js" not in rows and "/src/none.py" not in rows
-    assert rows["/src/h.py"].score == 0  # a name, not a secret
+    # names, not secrets: "acme_name" has 2.5 bits a letter, "acme_token" 3.1, at which the score isn't forced to 0
+    assert rows["/src/h.py"].l2_entropy < 3 and rows["/src/h.py"].score == 0
+    i = rows["/src/i.py"]
+    assert i.l2_entropy == pytest.approx(3.1219, abs=1e-4) and i.score > 0 and i.severity is None
     funnel = {r.file_uri: r for r in scanner.funnel(f).collect()}
     assert funnel["/node_modules/f.js"].skipped_gate0 == 1 and funnel["/src/a.ts"].lines_scanned == 3 and funnel["/src/a.ts"].findings == 1 and funnel["/src/c.py"].skipped_gate7 == 1
 
