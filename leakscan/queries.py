@@ -221,6 +221,12 @@ def f5_a11_placeholders(spark, sf_dir):
     return v.select("value", G.placeholder(F.col("value"))["placeholder_factor"].alias("factor"))
 
 
+@query()
+def f5_a11_placeholders_every_word(spark, sf_dir):
+    """Also the words with characters beyond ASCII, which the SQL above leaves out."""
+    return values(spark, sf_dir).select("value", G.placeholder(F.col("value"))["placeholder_factor"].alias("factor"))
+
+
 @query(f"WITH {_VALUES} SELECT value, CAST({_reduce(fixed.FORMATS, 'value')} AS DOUBLE) AS factor FROM v")
 def f6_formats(spark, sf_dir):
     return values(spark, sf_dir).select("value", G.non_secret_format(F.col("value"))["format_factor"].alias("factor"))
@@ -232,6 +238,12 @@ def p18_p19_names(spark, sf_dir):
     return v.select("value", text.slug(F.col("value")).alias("slug"), text.env_segment(F.col("value")).alias("segment"))
 
 
+@query()
+def p18_p19_names_every_word(spark, sf_dir):
+    """Also the words with characters beyond ASCII, which the SQL above leaves out."""
+    return values(spark, sf_dir).select("value", text.slug(F.col("value")).alias("slug"), text.env_segment(F.col("value")).alias("segment"))
+
+
 @query()
 def p16_p17_variants(spark, sf_dir):
     v = values(spark, sf_dir).where(F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"))
