@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.operators.paths import language
 
+#: Of a staged file.
 MOST_BYTES = 10 * 1024 * 1024
 _SKIPPED = "/(?:node_modules|dist|build|\\.git|coverage)/"
 
@@ -30,9 +31,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, path: str) -> DataFrame:
-    """All files under a folder but build output; files over MOST_BYTES are left out, bytes are read as UTF-8."""
+    """All files under a folder but build output, of any size that a row can hold (2 GB); bytes are read as UTF-8.
+
+    A larger file fails the read rather than going unscanned.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = rows.where(~F.col("path").rlike(_SKIPPED) & (F.col("length") <= MOST_BYTES))
+    rows = rows.where(~F.col("path").rlike(_SKIPPED))
     return from_columns(rows, F.col("path"), F.col("content").cast("string"))
 
 
