@@ -5,8 +5,9 @@ Viterbi scores of every prefix, found forwards, are the exact cost still to come
 backwards from the end, so A* pops complete segmentations best first and expands little else.
 
 No piece crosses a blank marker from the left, and none crosses two characters that stand together in no
-piece, so the lattice falls into units between such places. Units repeat, and are solved once per task.
-The N best of a text differ only in the N - 1 units whose second best costs least.
+piece, so the lattice falls into units between such places. Units repeat, and are searched once per task.
+The N best of a text differ only in the N - 1 units whose second best costs least: A* gives the best segmentation of
+every unit with the next one's score, and N of those few, and the text's N best are their best combinations.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ class Vocabulary:
         self.fallback = min((s for _, s in pieces.values()), default=0.0) - 10  # of a character in no piece
         self.longest = max(map(len, pieces), default=1)
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -58,12 +58,12 @@ class Vocabulary:
 
     @cached_property
     def trie(self) -> tuple:
-        """Nodes (children, score of the piece that ends here or None)."""
-        root: tuple = ({}, None)
-        scores = {p: s for p, (_, s) in self.pieces.items()}
-        nodes = {"": root}
-        for p in sorted(self.prefixes, key=len):
-            nodes[p] = nodes[p[:-1]][0][p[-1]] = ({}, scores.get(p))
+        """Nodes (the children's get, score of the piece that ends here or None)."""
+        children: dict[str, dict] = {"": {}}
+        root = (children[""].get, None)
+        for p in sorted({p[:i] for p in self.pieces for i in range(1, len(p) + 1)}, key=len):
+            own = children[p] = {}
+            children[p[:-1]][p[-1]] = (own.get, self.pieces[p][1] if p in self.pieces else None)
         return root
 
     def spelled(self, c: str) -> tuple[int, ...]:
@@ -82,92 +82,92 @@ class Vocabulary:
 # --- one unit's lattice --------------------------------------------------------------------------
 
 
-def lattice(v: Vocabulary, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-    """Edges (begin, score, ids) into every position, and the best score of every prefix."""
-    n = len(s)
-    into: list[list] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        alone = False
-        for j in range(i + 1, min(n, i + v.longest) + 1):
-            p = s[i:j]
-            if p not in v.prefixes:
+def lattice(v: Vocabulary, s: str) -> tuple[list[list[tuple[int, float]]], list[float], list[int]]:
+    """Edges (begin, score) into every position, the best score of every prefix, and where the last piece of the
+    best segmentation begins (of equal ones the longest)."""
+    size, root, longest = len(s), v.trie[0], v.longest
+    into: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+    best, back = [0.0] + [-float("inf")] * size, [0] * (size + 1)
+    for i in range(size):
+        here, get, j, alone = best[i], root, i, False
+        for c in s[i : i + longest]:
+            node = get(c)
+            if node is None:
                 break
-            hit = v.pieces.get(p)
-            if hit is not None:
-                into[j].append((i, hit[1], (hit[0],)))
-                alone |= j == i + 1
+            get, w = node
+            j += 1
+            if w is not None:
+                into[j].append((i, w))
+                if here + w > best[j]:
+                    best[j], back[j] = here + w, i
+                if j == i + 1:
+                    alone = True
         if not alone:
-            into[i + 1].append((i, v.fallback, v.spelled(s[i])))
-    best = [0.0] + [-float("inf")] * n
-    for j in range(1, n + 1):
-        best[j] = max(best[i] + w for i, w, _ in into[j])
-    return into, best
+            j, w = i + 1, v.fallback
+            into[j].append((i, w))
+            if here + w > best[j]:
+                best[j], back[j] = here + w, i
+    return into, best, back
 
 
-def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations (score, ids) of s, best first; equal scores in order of their ids."""
-    into, best = lattice(v, s)
-    # an entry's first number is the score of the best segmentation that ends with its ids: exact, so never revised
-    heap = [(-best[-1], (), len(s), 0.0)]
+def search(v: Vocabulary, s: str, n: int) -> tuple[list[tuple[float, tuple[int, ...]]], float]:
+    """The n best segmentations (score, ids) of s, best first, and the score of the next one (-inf if there is none).
+
+    A* from the end. An open entry's first number is the score of the best segmentation that ends as it does: exact,
+    so an entry taken is followed to the begin at once, and of what it passes by only as many entries stay open as
+    are still wanted. Of equal scores the one met first goes first: the longest last pieces, then what lies nearer
+    to the end. A longer list begins with a shorter one.
+    """
+    into, best, back = lattice(v, s)
+    todo: list[tuple] = [(best[-1], len(s), 0.0, None)]
     out: list[tuple[float, tuple[int, ...]]] = []
-    while heap and (len(out) < n or -heap[0][0] >= out[n - 1][0] - 1e-9):
-        f, ids, at, done = heapq.heappop(heap)
-        if at == 0:
-            out.append((done, ids))
-            if len(out) > 4 * n:  # many equal ones
-                break
-            continue
-        for i, w, own in into[at]:
-            heapq.heappush(heap, (-(best[i] + w + done), own + ids, i, done + w))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+    low = -float("inf")
+    while todo and len(out) < n:
+        _, at, done, path = todo.pop(0)
+        room = n - len(out)
+        least = todo[-1][0] if len(todo) >= room else low
+        while at:
+            b, edges, to = back[at], into[at], (at, path)
+            for i, w in edges:
+                if i == b:
+                    own = w
+                elif best[i] + w + done > least:
+                    f, k = best[i] + w + done, len(todo)
+                    while k and todo[k - 1][0] < f:
+                        k -= 1
+                    todo.insert(k, (f, i, done + w, to))
+                    if len(todo) >= room:
+                        del todo[room:]
+                        least = todo[-1][0]
+            path, done, at = to, done + own, b
+        ids: list[int] = []
+        while path is not None:
+            end, path = path
+            hit = v.pieces.get(s[at:end])
+            ids += (hit[0],) if hit else v.spelled(s[at])
+            at = end
+        out.append((done, tuple(ids)))
+    return out, todo[0][0] if todo else low
 
 
-def solve(v: Vocabulary, s: str) -> tuple[tuple[int, ...], float, float]:
-    """The best segmentation of s, its score, and what the second best costs (inf if there is none).
+def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best segmentations (score, ids) of s, best first."""
+    return search(v, s, n)[0]
 
-    Of equal scores the one with the longest last pieces. Every place keeps its two best scores: two
-    segmentations up to it differ in their last piece or before it.
-    """
-    n, low, root = len(s), -float("inf"), v.trie
-    best, second, back = [0.0] + [low] * n, [low] * (n + 1), [0] * (n + 1)
-    for i in range(n):
-        here, there, node, j, alone = best[i], second[i], root, i, False
-        for c in s[i:]:
-            node = node[0].get(c)
-            if node is None:
-                break
-            j += 1
-            w = node[1]
-            if w is not None:
-                score = here + w
-                if score > best[j]:
-                    second[j] = best[j] if best[j] > there + w else there + w
-                    best[j], back[j] = score, i
-                elif score > second[j]:
-                    second[j] = score
-                if j == i + 1:
-                    alone = True
-        if not alone:
-            w, j = v.fallback, i + 1
-            score = here + w
-            if score > best[j]:
-                second[j] = best[j] if best[j] > there + w else there + w
-                best[j], back[j] = score, i
-            elif score > second[j]:
-                second[j] = score
-    at, ids = n, ()
-    while at:
-        i = back[at]
-        hit = v.pieces.get(s[i:at])
-        ids, at = ((hit[0],) if hit else v.spelled(s[i])) + ids, i
-    return ids, best[n], max(0.0, best[n] - second[n])
+
+def combine(places: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least sums (cost, choice of every place); of equal ones those that keep the first places' best."""
+    out: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for costs in places:
+        out = heapq.nsmallest(n, [(a + b, r + (k,)) for a, r in out for k, b in enumerate(costs)])
+    return out
 
 
 # --- texts --------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Encodes texts; remembers the units it has solved."""
+    """Encodes texts; remembers the units it has searched."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -189,7 +189,7 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.ids, self.begin, self.size, self.score, self.gap = array("i"), array("q"), array("q"), array("d"), array("d")
         self.parts: dict[str, tuple] = {}
-        self.others: dict[int, list[float]] = {}
+        self.others: dict[tuple[int, int], list[tuple[float, tuple[int, ...]]]] = {}
         self.text_of: list[str] = []
 
     def _cut(self, unit: str) -> list[str]:
@@ -206,7 +206,8 @@ class Encoder:
         for s in self._cut(unit):
             one = self.parts.get(s)
             if one is None:
-                one = solve(self.v, s)
+                ((best, own),), then = search(self.v, s, 1)
+                one = own, best, max(0.0, best - then)
                 if len(s) < 4:
                     self.parts[s] = one
             ids, score, gap = ids + one[0], score + one[1], min(gap, one[2])
@@ -240,25 +241,48 @@ class Encoder:
 
     def best(self, numbers: list[np.ndarray], n: int) -> list[list[float]]:
         """Scores of the n best segmentations of texts of these units, best first."""
+        return [[score for score, _ in found] for found in self.choices(numbers, n)]
+
+    def choices(self, numbers: list[np.ndarray], n: int) -> list[list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
+        """The n best of texts of these units, best first: the score, and (place, ids) of the units that aren't at their best."""
         scores, gaps, out = np.array(self.score), np.array(self.gap), []
         for units in numbers:
-            score, gap = scores[units], gaps[units]
+            gap, base = gaps[units], float(scores[units].sum())
             k = min(n - 1, len(units))
-            near = np.argpartition(gap, k - 1)[:k] if k else []
-            costs = [0.0]
-            for u in near:
-                if gap[u] < np.inf:
-                    costs = heapq.nsmallest(n, [a + b for a in costs for b in self._costs(int(units[u]), n)])
-            base = float(score.sum())
-            out.append([base - c for c in costs])
+            near = np.zeros(0, np.int64)
+            if k:
+                # the least gaps; of equal ones the last places', as `combine` has it
+                most = np.partition(gap, k - 1)[k - 1]
+                near = np.flatnonzero(gap < most)
+                near = np.sort(np.concatenate([near, np.flatnonzero(gap == most)[-(k - len(near)) :]])) if most < np.inf else near
+            options = [self._others(int(u), n) for u in units[near]]
+            found = combine([[c for c, _ in o] for o in options], n)
+            out.append([(base - cost, [(p, o[r][1]) for p, o, r in zip(near.tolist(), options, ranks, strict=True) if r]) for cost, ranks in found])
         return out
 
-    def _costs(self, unit: int, n: int) -> list[float]:
-        """What the unit's n best segmentations cost over the best."""
-        if unit not in self.others:
-            found = n_best(self.v, self.text_of[unit], n)
-            self.others[unit] = [max(0.0, float(found[0][0] - x)) for x, _ in found]
-        return self.others[unit]
+    def lists(self, ids: np.ndarray, offsets: np.ndarray, numbers: list[np.ndarray], choices: list) -> pa.Array:
+        """The piece ids of every choice of every text; ids, offsets and numbers are those of `batch`."""
+        sizes, flat = np.array(self.size), []
+        for units, a, b, found in zip(numbers, offsets[:-1].tolist(), offsets[1:].tolist(), choices, strict=True):
+            own, ends = ids[a:b], np.cumsum(sizes[units])
+            for _, changed in found:
+                parts, at = [], 0
+                for p, other in changed:
+                    parts += own[at : ends[p] - sizes[units[p]]], np.array(other, own.dtype)
+                    at = ends[p]
+                flat.append(np.concatenate([*parts, own[at:]]) if parts else own)
+        inner = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+        outer = np.concatenate([[0], np.cumsum([len(c) for c in choices])]).astype(np.int32)
+        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
+        return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), values))
+
+    def _others(self, unit: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The unit's n best segmentations: what they cost over the best, and their ids."""
+        if (unit, n) not in self.others:
+            parts = [n_best(self.v, s, n) for s in self._cut(self.text_of[unit])]
+            found = combine([[max(0.0, one[0][0] - x) for x, _ in one] for one in parts], n)
+            self.others[unit, n] = [(cost, tuple(i for one, r in zip(parts, ranks, strict=True) for i in one[r][1])) for cost, ranks in found]
+        return self.others[unit, n]
 
 
 def _sources(vocabulary: str | Vocabulary):
@@ -273,10 +297,12 @@ def _sources(vocabulary: str | Vocabulary):
 
 
 def encode(docs: DataFrame, vocabulary: str | Vocabulary, text: str = "text", n: int = N_BEST) -> DataFrame:
-    """`docs` with ids (the best segmentation), n_pieces and scores (of the n best, best first; fewer if there are fewer).
+    """`docs` with ids (the best segmentation), n_pieces, and scores and n_best (ids) of the n best.
 
-    A blank marker goes before the text and in place of every space. Null and empty texts have no ids and
-    the one score 0. Texts are encoded whole. Input columns named like an output give way.
+    These are best first, and fewer if there are fewer; the first of n_best are the ids. Of equal scores those
+    go first that change the text nearer to its end.
+    A blank marker goes before the text and in place of every space. Null and empty texts have no ids, and
+    one segmentation of score 0 without ids. Texts are encoded whole. Input columns named like an output give way.
     vocabulary: a model file that every machine has, or a Vocabulary.
     """
     own = _sources(vocabulary)
@@ -284,10 +310,15 @@ def encode(docs: DataFrame, vocabulary: str | Vocabulary, text: str = "text", n:
     def fn(_, texts):
         e = own()
         ids, offsets, units = e.batch(texts.to_pylist())
-        scores = e.best(units, n)
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), "n_pieces": pa.array(np.diff(offsets).astype(np.int64)), "scores": pa.array(scores, pa.list_(pa.float64()))}
-
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))]
+        found = e.choices(units, n)
+        return {
+            "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
+            "n_pieces": pa.array(np.diff(offsets).astype(np.int64)),
+            "scores": pa.array([[score for score, _ in x] for x in found], pa.list_(pa.float64())),
+            "n_best": e.lists(ids, offsets, units, found),
+        }
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("n_best", T.ArrayType(T.ArrayType(T.IntegerType())))]
     return C.add_columns(docs, text, fields, fn)
 
 
