@@ -247,8 +247,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is its component's smallest, once per doc_id; rows with a null id stay."""
-    ids = near_duplicates(docs)
-    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    whole = docs.where(F.col("doc_id").isNull())
-    return docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(whole)
+    """One row of every component: that of the smallest doc_id, and of the texts under it the one whose SHA-256 is smallest.
+
+    Equal rows count once. Rows with a null id stay.
+    """
+    # a null id counts as largest
+    row = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("text_hash"))
+    ids = near_duplicates(docs.select(row().alias("_row"), "text"), "_row")
+    gone = ids.where(~F.col("_row.none") & (F.col("_row") != F.col("component_id"))).select(F.col("_row.id").alias("_gone"), F.col("_row.text_hash").alias("_gone_hash"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("*", row().alias("_row")).select(*docs.columns, F.col("_row.id").alias("_id"), F.col("_row.text_hash").alias("_hash"))
+    kept = rows.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti").dropDuplicates(["_id", "_hash"])
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
