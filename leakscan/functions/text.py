@@ -68,14 +68,14 @@ def snake(s: Column) -> Column:
 def camel(s: Column) -> Column:
     """snake_case as camelCase: only a letter right after an underscore is raised and takes its place."""
     parts = F.split(F.lower(s), "_(?=[a-z])")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def case_variants(s: Column) -> Column:
     """The distinct spellings of an identifier, itself first."""
     own, has = snake(s), s.contains("_")
     c = camel(s)
-    pascal = F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
+    pascal = F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
     more = F.when(has, F.array(c, pascal)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(s, F.lower(s), F.upper(s), own, F.upper(own)), more, F.array(F.replace(own, F.lit("_"), F.lit("-")))))
 

@@ -35,9 +35,9 @@ def words(keyword: Column) -> Column:
 def builder_variants(keyword: Column) -> Column:
     """Spellings under which a keyword is listed, itself first."""
     w = words(keyword)
-    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))
+    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
     pascal = F.array_join(F.transform(w, title), "")
-    own_camel = F.concat(F.get(w, 0), F.array_join(F.transform(F.slice(w, 2, 1000), title), ""))
+    own_camel = F.concat(F.get(w, 0), F.array_join(F.transform(F.slice(w, F.lit(2), F.size(w)), title), ""))
     low = F.array_join(w, "_")
     all_ = F.array(keyword, low, F.upper(low), own_camel, pascal, F.array_join(w, "-"), F.array_join(w, ""), F.upper(F.array_join(w, "")))
     return F.when(F.size(w) > 0, F.array_distinct(all_)).otherwise(F.array(keyword))
@@ -81,7 +81,7 @@ def lookup_forms(name: Column) -> Column:
 
     out = [forms(name)]
     for prefix in ("get", "set", "is"):
-        rest = F.substring(name, len(prefix) + 1, 1_000_000)
+        rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
         ok = F.lower(name).startswith(prefix) & rest.rlike("^[A-Z].")
         out.append(F.when(ok, forms(rest)).otherwise(F.array().cast("array<string>")))
     return F.concat(*out)
