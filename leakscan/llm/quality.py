@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
 
 score = sigmoid(b + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): the pairwise part
 takes time linear in the features. The model is fitted on the driver from at most SAMPLE labelled rows'
