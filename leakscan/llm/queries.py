@@ -35,13 +35,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores of the four best segmentations, and digests of all their ids, of the best's and of the text decoded from it."""
+    """The scores of the four best segmentations, and digests of the best's ids, of what the others change in them and of the text decoded from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    every = F.array_join(F.transform("n_best", lambda ids: F.array_join(ids, ",")), ";")
-    out = pieces.encode(docs, PIECES).withColumn("n_best_sha256", F.sha2(every, 256)).drop("n_best")
-    out = pieces.decode(out, PIECES)
+    out = pieces.decode(pieces.encode(docs, PIECES), PIECES)
     return out.select(
-        "doc_id", "n_pieces", "scores", "n_best_sha256", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+        "doc_id", "n_pieces", "scores", F.sha2(F.to_json("changes"), 256).alias("changes_sha256"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
     )
 
 

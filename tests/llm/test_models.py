@@ -205,7 +205,7 @@ def vocabulary():
 def test_n_best_equals_all_segmentations(vocabulary, text):
     e = pieces.Encoder(vocabulary)
     all_ = brute.segmentations(vocabulary, e.marked(text))
-    found = pieces.n_best(vocabulary, e.marked(text), 5)
+    found, _ = pieces.search(vocabulary, e.marked(text), 5)
     assert [s for s, _ in found] == pytest.approx([s for s, _ in all_[:5]])
     assert all(x in all_ for x in found)
     ids, _, units = e.batch([text])

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leakscan.llm import pieces
 from leakscan.llm.queries import PIECES, op4_pieces
@@ -12,7 +13,7 @@ from tests.llm import brute
 
 def encoded(spark, texts, vocabulary):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    return {r.k: r for r in pieces.encode(df, vocabulary).collect()}
+    return {r.k: r for r in pieces.encode(df, vocabulary).withColumn("n_best", pieces.n_best()).collect()}
 
 
 def test_lists_equal_brute_force_without_ties(spark):
@@ -46,9 +47,53 @@ def test_lists_of_odd_texts(spark):
     assert encoded(spark, [None], PIECES)[0].n_best == [[]]
 
 
+def test_ties_have_one_rule(spark):
+    """Of equal scores the longer last piece goes first, whether the unit is searched alone, with others or as a part of a text."""
+    names = ["a", "b", "c", "aa", "ab", "bb", "abb", "aab", "▁", "▁a", "▁aa"]
+    v = pieces.Vocabulary({p: (i, -1.0 * len(p)) for i, p in enumerate(names)}, None)
+    texts = ["aab", "abb", "aabb", "a ab", "aab abb", "ab" * 20, "aabbab"]
+    got = encoded(spark, texts, v)
+    for k, t in enumerate(texts):
+        unit = pieces.Encoder(v).marked(t)
+        if " " not in t:
+            assert tuple(got[k].ids) == pieces.search(v, unit, 1)[0][0][1] == pieces.search(v, unit, 4)[0][0][1], t
+        assert got[k].n_best[0] == got[k].ids
+        ends = [len(v.names[x[-1]]) for x in got[k].n_best]
+        assert ends[0] == max(len(n) for n in names if unit.endswith(n))
+
+
+def test_units_searched_together_equal_the_single_search(spark):
+    v = pieces.Vocabulary.load(PIECES)
+    rng = random.Random(5)
+    letters = [c for c in v.pieces if len(c) == 1][:400]
+    units = [pieces.BLANK + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 31))) for _ in range(300)] + ["▁the", "▁", "▁" + "ab" * 15]
+    e = pieces.Encoder(v)
+    e.text_of = units
+    e._solve(units)
+    for k, u in enumerate(units):
+        ((best, ids),), then = pieces.search(v, u, 1)
+        assert (e.score[k], tuple(e.ids[e.begin[k] : e.begin[k] + e.size[k]]), e.gap[k]) == (best, ids, best - then), u
+
+
+def test_marker_in_a_text(spark):
+    """A U+2581 of the text is spelled by its bytes and comes back."""
+    texts = ["a▁b", "▁", "▁▁ x ▁y", "▁a", " ▁", "a ▁"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = pieces.decode(pieces.encode(df, PIECES), PIECES).withColumn("n_best", pieces.n_best()).collect()
+    v = pieces.Vocabulary.load(PIECES)
+    assert [r.decoded for r in sorted(out, key=lambda r: r.k)] == texts
+    assert all(v.decode(x) == r.text for r in out for x in r.n_best)
+
+
+def test_vocabulary_with_a_marker_inside_a_piece_is_refused():
+    with pytest.raises(ValueError, match="marker inside"):
+        pieces.Vocabulary({"a": (0, -1.0), "a▁b": (1, -2.0)}, None)
+
+
 def test_op4_digests_all_lists(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "the cat sat"), (2, ""), (3, "a b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, ""), (3, "a b"), (4, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.n_best_sha256 for r in op4_pieces(spark, str(tmp_path)).collect()}
-    want = {r.doc_id: r.n_best for r in pieces.encode(docs, PIECES).collect()}
-    assert got == {k: hashlib.sha256(";".join(",".join(map(str, x)) for x in lists).encode()).hexdigest() for k, lists in want.items()}
+    got = {r.doc_id: r for r in op4_pieces(spark, str(tmp_path)).collect()}
+    want = pieces.encode(docs, PIECES).withColumn("changes", F.to_json("changes")).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert all(got[r.doc_id].ids_sha256 == sha(",".join(map(str, r.ids))) and got[r.doc_id].changes_sha256 == sha(r.changes) and got[r.doc_id].round_trip for r in want)
