@@ -33,9 +33,9 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece ids, their number, scores and piece ids of the best segmentations, and the text decoded from the ids."""
+    """doc_id, piece ids, their number, the scores of the best segmentations with what they change in the ids, and the text decoded from the ids."""
     out = pieces.decode(pieces.encode(docs.select("doc_id", "text"), PIECES), PIECES)
-    return out.select("doc_id", "ids", "n_pieces", "scores", "n_best", F.col("decoded").alias("text"))
+    return out.select("doc_id", "ids", "n_pieces", "scores", "changes", F.col("decoded").alias("text"))
 
 
 STAGES = [("quality", keep_quality), ("near duplicates", keep_distinct), ("repeats", cut_repeats), ("contamination", keep_uncontaminated), ("pieces", to_pieces)]
