@@ -1,10 +1,11 @@
 """A hidden Markov language model over word classes, and a unigram model as its base.
 
 Frequent words are classes of their own; others share a class with words that end alike, and a class
-gives each of its words a smoothed share. Baum-Welch runs over all training texts, cut into segments
-that count as sequences of their own: each task sums expected counts, and Spark sums the tasks'.
-Scoring uses whole texts: a segment's scaled forward recursion from every state gives a matrix, and a
-text's likelihood is the product of its segments' matrices, exact whatever the text's length.
+gives each of its words a smoothed share. Baum-Welch runs over all training texts, each one sequence from
+its first word to its end: each task sums expected counts, and Spark sums the tasks'.
+Texts are cut into segments for speed alone: a segment's scaled forward recursion from every state gives a
+matrix, and products of a text's matrices are what its other segments pass on, so likelihoods and expected
+counts are exactly those of the whole text.
 
 Counts of words beyond the DICTIONARY most frequent are joined to the texts that hold them, so no table
 that grows with the corpus is broadcast.
@@ -27,7 +28,7 @@ ROUNDS = 4
 #: Words with counts known everywhere, words that are their own class, and classes by ending. Ties at the
 #: least count stay out, so the numbers are upper bounds.
 DICTIONARY, HEAD, ENDINGS = 250_000, 20_000, 256
-SEGMENT = 64
+SEGMENT, LONG_SEGMENT = 64, 256  # of scoring and of training
 #: The end of a text, counted as a token; no word holds a space.
 END = " "
 TOKENS = 250_000  # a recursion's batch
@@ -70,19 +71,19 @@ def _ending(word: str) -> int:
     return (h - (1 << 64) if h >> 63 else h) % ENDINGS
 
 
-def _pad(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Segments as rows of SEGMENT classes, -1 where a segment has ended."""
-    at = starts[:, None] + np.arange(SEGMENT)
-    ok = np.arange(SEGMENT) < lengths[:, None]
+def _pad(classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Segments as rows of `size` classes, -1 where a segment has ended."""
+    at = starts[:, None] + np.arange(size)
+    ok = np.arange(size) < lengths[:, None]
     return np.where(ok, classes[np.where(ok, at, 0)], -1)
 
 
-def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length) of the segments of texts that lie one after another."""
-    n = -(-lengths // SEGMENT)
+def _segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length, whether the text begins here) of the segments of texts that lie one after another."""
+    n = -(-lengths // size)
     text = np.repeat(np.arange(len(n)), n)
-    within = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
-    return text, np.repeat(np.cumsum(lengths) - lengths, n) + within, np.minimum(SEGMENT, lengths[text] - within)
+    within = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * size
+    return text, np.repeat(np.cumsum(lengths) - lengths, n) + within, np.minimum(size, lengths[text] - within), within == 0
 
 
 class Model:
@@ -99,54 +100,78 @@ class Model:
         return cls(np.full(states, 1 / states), np.full((states, states), 0.04 / states) + 0.96 * np.eye(states), emit / emit.sum(axis=0))
 
     def expected(self, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions, and the log likelihood, over all segments of the texts."""
+        """Expected counts of starts, moves and emissions, and the log likelihood, of the whole texts."""
         k, size = len(self.start), len(self.emit)
         start, move, emit, like = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
-        _, begin, length = _segments(lengths)
+        text, begin, length, first = _segments(lengths, LONG_SEGMENT)
+        before, after = self._passed(classes, text, begin, length, first)
         order = np.argsort(-length, kind="stable")  # long ones first: step t works on a prefix
-        begin, length = begin[order], length[order]
-        for lo in range(0, len(begin), TOKENS // SEGMENT):
-            x = _pad(classes, begin[lo : lo + TOKENS // SEGMENT], length[lo : lo + TOKENS // SEGMENT])
+        begin, length, first, before, after = (v[order] for v in (begin, length, first, before, after))
+        for lo in range(0, len(begin), TOKENS // LONG_SEGMENT):
+            own = slice(lo, lo + TOKENS // LONG_SEGMENT)
+            x = _pad(classes, begin[own], length[own], LONG_SEGMENT)
+            opens, arrive = first[own], before[own]
             live = (x >= 0).sum(axis=0)
             steps = int((live > 0).sum())
             alpha, scale, b = [], [], []
             for t in range(steps):
                 n = live[t]
                 b.append(self.emit[x[:n, t]])
-                a = (self.start if t == 0 else alpha[-1][:n] @ self.move) * b[-1]
+                a = (np.where(opens[:, None], self.start, arrive @ self.move) if t == 0 else alpha[-1][:n] @ self.move) * b[-1]
                 s = a.sum(axis=1, keepdims=True)
                 alpha.append(a / s)
                 scale.append(s)
                 like += np.log(s).sum()
-            beta, gammas = np.ones((live[steps - 1], k)), [None] * steps
+            # what follows a segment, so scaled that the shares of its last states sum to 1
+            last = np.concatenate([alpha[t][(live[t + 1] if t + 1 < steps else 0) :] for t in range(steps - 1, -1, -1)])
+            follow = after[own] / (last * after[own]).sum(axis=1, keepdims=True)
+            beta, gammas = follow[: live[steps - 1]], [None] * steps
             for t in range(steps - 1, -1, -1):
-                gammas[t] = alpha[t].copy()
-                gammas[t][: len(beta)] = alpha[t][: len(beta)] * beta
+                gammas[t] = alpha[t] * beta
+                back = beta * b[t] / scale[t]
                 if t:
-                    full = np.ones((live[t], k))
-                    full[: len(beta)] = beta
-                    back = full * b[t] / scale[t]
                     move += self.move * (alpha[t - 1][: live[t]].T @ back)
-                    nxt = np.ones((live[t - 1], k))
-                    nxt[: live[t]] = back @ self.move.T
-                    beta = nxt
-            start += gammas[0].sum(axis=0)
+                    beta = np.concatenate([back @ self.move.T, follow[live[t] : live[t - 1]]])
+                else:
+                    move += self.move * (arrive[~opens].T @ back[~opens])
+            start += gammas[0][opens].sum(axis=0)
             g, c = np.concatenate(gammas), np.concatenate([x[: live[t], t] for t in range(steps)])
             for j in range(k):
                 emit[:, j] += np.bincount(c, weights=g[:, j], minlength=size)
         return start, move, emit, like
 
-    def log10(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 likelihood of every text (one token at least each), by scaled forward recursion."""
+    def _passed(self, classes: np.ndarray, text: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a text's earlier segments pass on (shares of the state before each segment) and what its later ones
+        make of each last state, up to a factor. Texts of one segment have neither."""
+        before, after = np.zeros((len(text), len(self.start))), np.ones((len(text), len(self.start)))
+        many = np.flatnonzero(~first | np.append(~first[1:], False)) if len(text) else np.zeros(0, np.int64)
+        if not len(many):
+            return before, after
+        mats, _ = self._matrices(classes, begin[many], length[many], first[many], LONG_SEGMENT)
+        at = np.flatnonzero(first[many])
+        n = np.diff(np.append(at, len(many)))
+        v, u = np.tile(self.start, (len(at), 1)), np.ones((len(at), len(self.start)))
+        for j in range(int(n.max()) - 1):
+            rows = np.flatnonzero(n > j + 1)
+            v[rows] = np.einsum("ni,nij->nj", v[rows], mats[at[rows] + j])
+            v[rows] /= v[rows].sum(axis=1, keepdims=True)
+            before[many[at[rows] + j + 1]] = v[rows]
+        for j in range(int(n.max()) - 1, 0, -1):
+            rows = np.flatnonzero(n > j)
+            u[rows] = np.einsum("nij,nj->ni", mats[at[rows] + j], u[rows])
+            u[rows] /= u[rows].sum(axis=1, keepdims=True)
+            after[many[at[rows] + j - 1]] = u[rows]
+        return before, after
+
+    def _matrices(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every segment's scaled forward recursion from every state, and the log10 of its scale."""
         k, eye = len(self.start), np.eye(len(self.start))
-        text, begin, length = _segments(lengths)
-        first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
-        mats, logs = np.empty((len(text), k, k)), np.zeros(len(text))
-        for lo in range(0, len(text), TOKENS // SEGMENT):
-            own = slice(lo, lo + TOKENS // SEGMENT)
-            x = _pad(classes, begin[own], length[own])
+        mats, logs = np.empty((len(begin), k, k)), np.zeros(len(begin))
+        for lo in range(0, len(begin), TOKENS // size):
+            own = slice(lo, lo + TOKENS // size)
+            x = _pad(classes, begin[own], length[own], size)
             m = np.where(first[own, None, None], eye, self.move) if len(x) else np.zeros((0, k, k))
-            for t in range(SEGMENT):
+            for t in range(size):
                 on = np.flatnonzero(x[:, t] >= 0)
                 if not len(on):
                     break
@@ -158,6 +183,12 @@ class Model:
                 m[on] = cur / s
                 logs[lo + on] += np.log10(s[:, 0, 0])
             mats[own] = m
+        return mats, logs
+
+    def log10(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 likelihood of every text (one token at least each), by scaled forward recursion."""
+        text, begin, length, first = _segments(lengths, SEGMENT)
+        mats, logs = self._matrices(classes, begin, length, first, SEGMENT)
         out, v = np.zeros(len(lengths)), np.tile(self.start, (len(lengths), 1))
         at = np.flatnonzero(first)
         n = np.diff(np.append(at, len(text)))

@@ -148,9 +148,38 @@ def test_recursion_equals_plain_forward():
         at += n
 
 
+def test_expected_counts_are_those_of_whole_texts():
+    rng = np.random.default_rng(4)
+    norm = lambda x, a: x / x.sum(axis=a, keepdims=True)
+    m = hmm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((7, 3)), 0))
+    lengths = np.array([1, 200, 256, 257, 700, 5, 1100, 512])
+    x = rng.integers(0, 7, lengths.sum()).astype(np.int32)
+    start, move, emit, like, at = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3)), 0.0, 0
+    for n in lengths:
+        own = x[at : at + n]
+        a, b = np.zeros((n, 3)), np.ones((n, 3))
+        for t, c in enumerate(own):
+            a[t] = (a[t - 1] @ m.move if t else m.start) * m.emit[c]
+            like += math.log(a[t].sum())
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = m.move @ (m.emit[own[t + 1]] * b[t + 1])
+            b[t] /= b[t].sum()
+        g = norm(a * b, 1)
+        start += g[0]
+        np.add.at(emit, own, g)
+        for t in range(n - 1):
+            both = a[t][:, None] * m.move * (m.emit[own[t + 1]] * b[t + 1])
+            move += both / both.sum()
+        at += n
+    got = m.expected(x, lengths)
+    for one, want in zip(got, (start, move, emit, like), strict=True):
+        assert np.allclose(one, want)
+
+
 def test_baum_welch_climbs():
     rng = np.random.default_rng(2)
-    x, lengths = np.concatenate([np.tile([0, 1], 100), np.tile([2, 3, 4], 70), rng.integers(0, 5, 30)]).astype(np.int32), np.array([200, 210, 30])
+    x, lengths = np.concatenate([np.tile([0, 1], 300), np.tile([2, 3, 4], 170), rng.integers(0, 5, 30)]).astype(np.int32), np.array([600, 510, 30])
     m, before = hmm.Model.initial(np.bincount(x).astype(float), 3), -np.inf
     for _ in range(8):
         start, move, emit, like = m.expected(x, lengths)
