@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and logistic regression on hashed character n-grams for the rest.
 
-DataFrame expressions only. The model is fitted by full-batch gradient steps, each one aggregation over
-a small labelled table; the driver holds the weights (2**BITS + 1 doubles) and nothing else.
+DataFrame expressions only. The model is fitted on the driver from the n-grams of at most SAMPLE labelled urls;
+judging is one pass over the urls without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,27 +12,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import common as C
-
 #: (host, path prefix, verdict); the longest that fits a url decides.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: The small labelled table that stands in where none is given: hosts and paths of kinds that filters block, and plain ones.
-BLOCKED_HOSTS = """
-casino-win casino-royal online-casino bestcasino poker-club slots-free free-slots free-bets bet-now sportbets lucky-win win-prizes jackpot-win
-spam-farm spam-links link-farm linkspam seo-spam ads-track ad-tracker track-clicks trackads adserver clickads popup-ads banner-ads
-cheap-pills pills-online viagra-shop adult-cams xxx-videos free-xxx hot-dating fast-loan payday-loans free-money get-rich crypto-win free-download warez crack-keys
+#: Words of the small labelled table that stands in where none is given: of hosts that filters block, and of plain ones. Every
+#: word is paired with words that come with either.
+BLOCKED_WORDS = """
+casino poker slots jackpot bets betting lottery roulette spam linkfarm seospam adserver adtrack trackclicks popup banner
+pills viagra pharmacy cams xxx dating payday loans richquick warez crack keygen torrent prizes winbig freemoney
 """.split()
-PLAIN_HOSTS = """
-www blog news library museum docs help support shop mail m mobile wiki forum school university health travel weather recipes garden history
-music sports science research journal press events city council bank post store media photo art books learning data open community people
+PLAIN_WORDS = """
+blog news library museum docs help support mail wiki forum school university health travel weather recipes garden history
+music sports science research journal press events city council bank post media photo art books learning data community people
 """.split()
+PARTNERS = "online best free my the new top world city club".split()
 BLOCKED_PATHS = ["/casino/bonus", "/free-bets", "/ads/click", "/track?id=1", "/pills/buy-now", "/win-prizes.html"]
 PLAIN_PATHS = ["/", "/en/12", "/fr/article/7", "/de/34.html", "/es/5/", "/about", "/news/2024/a.html", "/index.html"]
 BITS = 12
 GRAMS = (3, 4)
 #: Labelled urls that training reads at most.
 SAMPLE = 3000
-STEPS = 40
+STEPS = 200
 
 
 def host_of(url: Column) -> Column:
@@ -64,10 +63,18 @@ def features(host: Column, path: Column, bits: int = BITS) -> Column:
 
     def of(s: Column, tag: str) -> Column:
         marked = F.concat(F.lit("^"), s, F.lit("$"))
+        letters = F.filter(F.split(marked, ""), lambda c: c != "")
+
+        def runs(n: int) -> Column:
+            """Every n consecutive characters, a letter joined to all runs at a time: substring would walk the text for each."""
+            if n == 1:
+                return letters
+            longer = F.zip_with(runs(n - 1), F.slice(letters, F.lit(n), F.size(letters)), lambda a, b: F.concat(a, b))
+            return F.filter(longer, lambda x: x.isNotNull())
 
         def grams(n: int) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1))
-            return F.transform(places, lambda i: F.concat(F.lit(f"{tag}{n}"), F.substring(marked, i, F.lit(n))))
+            own = runs(n)
+            return F.transform(F.when(F.size(own) > 0, own).otherwise(F.array(marked)), lambda x: F.concat(F.lit(f"{tag}{n}"), x))
 
         return F.concat(*[grams(n) for n in GRAMS])
 
@@ -88,39 +95,44 @@ def probability(grams: Column, weights: np.ndarray) -> Column:
 
 
 def fit(labelled: DataFrame, bits: int = BITS, steps: int = STEPS, sample: int = SAMPLE) -> np.ndarray:
-    """Weights learned from (host, path, label 0/1), at most `sample` distinct rows in hash order; zeros without rows."""
-    scratch = C.Scratch(labelled.sparkSession)
-    rows = labelled.where(F.col("label").isNotNull()).groupBy("host", "path").agg(F.max("label").cast("double").alias("label"))
+    """Weights learned from (host, path, label 0/1), at most `sample` distinct rows in hash order, by full-batch gradient
+    steps on the logistic loss with the labels weighted alike; zeros without rows."""
+    rows = labelled.where(F.col("label").isNotNull()).groupBy("host", "path").agg(F.max("label").cast("int").alias("label"))
     rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample)
-    rows = scratch.save(rows.select("label", features(F.col("host"), F.col("path"), bits).alias("grams")).repartition(4))
-    shares = rows.agg(F.count(F.lit(1)), F.avg("label")).first()
+    rows = rows.select("label", features(F.col("host"), F.col("path"), bits).alias("grams")).collect()  # at most `sample`
     weights = np.zeros((1 << bits) + 1)
-    if not shares[0]:
+    if not rows:
         return weights
-    balance = F.when(F.col("label") == 1, 0.5 / max(shares[1], 0.02)).otherwise(0.5 / max(1 - shares[1], 0.02))
+    label, size = np.array([r.label for r in rows], float), np.array([len(r.grams) for r in rows])
+    gram, row = np.concatenate([r.grams for r in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+    unit = 1 / np.sqrt(size)  # features have length 1, so steps this long are stable
+    balance = np.where(label == 1, 0.5 / max(label.mean(), 0.02), 0.5 / max(1 - label.mean(), 0.02)) / len(rows)
     speed = np.zeros_like(weights)
-    for _ in range(steps):  # features have length 1, so steps this long are stable
-        p = probability(F.col("grams"), weights)
-        part = rows.select("grams", ((p - F.col("label")) * balance).alias("r"), F.sqrt(F.size("grams")).alias("s"))
-        part = part.select("r", F.explode(F.concat(F.transform("grams", lambda g: F.struct(g.alias("g"), (F.col("r") / F.col("s")).alias("x"))), F.array(F.struct(F.lit(1 << bits).alias("g"), F.col("r").alias("x"))))).alias("e"))
-        grad = np.zeros_like(weights)
-        for g, x in part.groupBy("e.g").agg(F.sum("e.x")).collect():  # a row per weight at most
-            grad[g] = x / shares[0]
-        grad[:-1] += 1e-4 * weights[:-1]
+    for _ in range(steps):
+        raw = weights[-1] + np.bincount(row, weights[gram], len(rows)) * unit
+        err = (1 / (1 + np.exp(-raw)) - label) * balance
+        grad = np.append(np.bincount(gram, (err * unit)[row], 1 << bits) + 1e-4 * weights[:-1], err.sum())
         speed = 0.9 * speed - 2.0 * grad
         weights = weights + speed
-    scratch.drop(rows)
     return weights
 
 
+def built_in_rows() -> list[tuple[str, int]]:
+    """(url, label): 1 for plain urls, 0 for those of kinds that filters block. Endings, subdomains and partner words are the same on both sides."""
+    tails, rows = [".example.com", ".example.org", ".example.net", ".com", ".net"], []
+    for label, names in ((0, BLOCKED_WORDS), (1, PLAIN_WORDS)):
+        for i, w in enumerate(names):
+            for j, p in enumerate(PARTNERS):
+                if (i + j) % 2 == 0:
+                    host = [f"{p}-{w}", f"{w}-{p}", f"{p}{w}", w][(i + j // 2) % 4]
+                    rows.append((f"http://{'www.' * (j % 2)}{host}{tails[(i + j) % 5]}{PLAIN_PATHS[(i + 3 * j) % len(PLAIN_PATHS)]}", label))
+    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 0) for i, p in enumerate(BLOCKED_PATHS) for a in PLAIN_WORDS[4:8]]
+    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 1) for i, p in enumerate(PLAIN_PATHS) for a in PLAIN_WORDS[4:8]]
+    return rows
+
+
 def built_in_labels(spark: SparkSession) -> DataFrame:
-    """(url, label): 1 for plain urls, 0 for those of kinds that filters block. Endings and subdomains are the same on both sides."""
-    tails = [".example.com", ".example.org", ".example.net", ".com", ".net"]
-    rows = [(f"http://{'www.' * (i % 2)}{h}{tails[i % 5]}{PLAIN_PATHS[i % len(PLAIN_PATHS)]}", 0) for i, h in enumerate(BLOCKED_HOSTS)]
-    rows += [(f"http://{h}{tails[i % 5]}{PLAIN_PATHS[(i + 3) % len(PLAIN_PATHS)]}", 1) for i, h in enumerate(PLAIN_HOSTS)]
-    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 0) for i, p in enumerate(BLOCKED_PATHS) for a in PLAIN_HOSTS[4:6]]
-    rows += [(f"http://www.{a}{tails[i % 5]}{p}", 1) for i, p in enumerate(PLAIN_PATHS) for a in PLAIN_HOSTS[6:8]]
-    return spark.createDataFrame(rows, "url string, label int")
+    return spark.createDataFrame(built_in_rows(), "url string, label int")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
