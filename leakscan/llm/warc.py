@@ -149,11 +149,15 @@ def frames(data: bytes):
         yield b"".join(out)
 
 
-def train_dictionary(pages: DataFrame, html: str, id: str) -> bytes:
-    """A dictionary from at most SAMPLE_PAGES payloads (their first 16 KB), or b'' where there are too few."""
-    rows = pages.where(F.octet_length(html) >= REVISIT_BYTES).select(F.substring(F.encode(html, "UTF-8"), 1, 16384).alias("x"), F.xxhash64(id, html).alias("o")).orderBy("o").limit(SAMPLE_PAGES).collect()
+def train_dictionary(pages: DataFrame, html: str) -> bytes:
+    """A dictionary from the distinct payloads (their first 16 KB) of least hash, about SAMPLE_PAGES of them; b'' where there are too few."""
+    long = pages.where(F.octet_length(html) >= REVISIT_BYTES).select(F.xxhash64(html).alias("o"), html)
+    n = long.agg(F.approx_count_distinct("o")).first()[0]
+    # the hash's share of its range is the payloads' share: only what is used leaves its task
+    chosen = long.where(F.col("o") <= min(2**63 - 1, int(SAMPLE_PAGES / max(1, n) * 2**64) - 2**63))
+    rows = chosen.groupBy("o").agg(F.first(F.substring(F.encode(html, "UTF-8"), 1, 16384)).alias("x")).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.x) for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.x) for r in sorted(rows)]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -180,7 +184,7 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
     """Archives of about ARCHIVE_BYTES of payload each under `path`, a record per row; null html is an empty payload."""
     spark = pages.sparkSession
     pages = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    dictionary = train_dictionary(pages, "html", "page_id")
+    dictionary = train_dictionary(pages, "html")
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
 
     def run(batches):
