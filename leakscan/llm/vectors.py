@@ -56,10 +56,13 @@ def usable(vectors: DataFrame, id: str, vec: str) -> DataFrame:
 
 
 def _pivots(reps: DataFrame, chunk: int) -> np.ndarray:
-    """At most MAX_PIVOTS vectors, spread out by farthest-first choice from at most SAMPLE."""
+    """At most MAX_PIVOTS vectors, spread out by farthest-first choice from those of least hash, SAMPLE of them expected at most."""
     n = reps.count()
     want = min(MAX_PIVOTS, -(-n // chunk))
-    rows = reps.orderBy(F.xxhash64("data"), "data").limit(min(SAMPLE, want * 40)).select("data").collect() if want > 1 else reps.select("data").limit(1).collect()
+    # vectors are distinct, so the hash's share of its range is theirs of the vectors; no partition sends rows that aren't used
+    share = min(1.0, min(SAMPLE, want * 40) / n)
+    rows = sorted(reps.select("data").where(F.xxhash64("data") <= min(2**63 - 1, int(share * 2**64) - 2**63)).collect()) if want > 1 else []
+    rows = rows or reps.select("data").limit(1).collect()
     pool = _unit(np.stack([np.frombuffer(r.data) for r in rows]))
     chosen, nearest = [0], pool @ pool[0]
     while len(chosen) < want and nearest.min() < 1 - 1e-9:
@@ -223,7 +226,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id"
 
     component_id is the smallest id reachable by links, the own included; kept is id = component_id.
     Null, empty and zero vectors and those with null or non-finite components link with nothing, and
-    vectors of different lengths don't link. Rows equal in id and vector are one vector. Null ids are left out.
+    vectors of different lengths don't link. Rows equal in id and vector are one vector. Rows with a null id link with
+    nothing: each has no links, a null component_id and kept false.
     """
     spark = vectors.sparkSession
     scratch = C.Scratch(spark)
@@ -233,6 +237,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id"
     nodes = scratch.save(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("data").alias("data"), F.first("dim").alias("dim")))
     # an id that repeats with other vectors may name two nodes; numbers tell them apart
     nodes = scratch.save(nodes.withColumn("first", F.col("node")).withColumn("node", F.xxhash64("key")))
+    none = vectors.where(F.col(id).isNull()).select(F.col(id), F.lit(0).cast("long").alias("n_links"), F.col(id).alias("component_id"), F.lit(False).alias("kept"))
     found = None
     for r in nodes.select("dim").distinct().collect():
         part = range_links(nodes.where(F.col("dim") == r.dim).select("node", "weight", "data"), threshold, chunk)
@@ -241,10 +246,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id"
     found = scratch.save(empty if found is None else found)
     counts = found.where(F.col("other").isNull()).groupBy("node").agg(F.sum("weight").alias("others"))
     roots = C.components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    of = nodes.select("key", "node", "first", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("id", "key").join(of, "key", "left")
+    of = scratch.save(nodes.select("key", "node", "first", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = scratch.save(of.groupBy("root").agg(F.min("first").alias("component_id")))
+    of = scratch.save(C.lookup(of, least, "root").select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    # unusable vectors have no key, and copies of one vector share theirs
+    out = C.lookup(rows.select("id", "key"), of, "key")
     return out.select(
         F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept")
-    )
+    ).unionByName(none)
