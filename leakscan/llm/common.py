@@ -34,9 +34,11 @@ ALNUM[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names; on one machine (tests) a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         base = tempfile.mkdtemp(prefix="leakscan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/leakscan"
@@ -206,6 +208,28 @@ def leftmost_min(g: np.ndarray, w: int) -> np.ndarray:
     return at[:n]
 
 
+# --- joins --------------------------------------------------------------------------------------
+
+#: A key is hot if it holds over one of HOT rows: there are fewer than HOT such keys, whatever the size.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `table`, whose `key` is unique, has for theirs (nulls for keys without a row and for null keys).
+
+    One key may hold most rows: hot keys' rows of the table are broadcast, so only the rows of others are shuffled.
+    `rows` and `table` are read several times and should be written tables.
+    """
+    own = rows.where(F.col(key).isNotNull())
+    added = [f for f in table.schema.fields if f.name != key]
+    total = rows.count()
+    hot = Scratch(rows.sparkSession).save(own.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(key))
+    held = F.broadcast(hot.join(table, key, "left"))  # fewer than HOT rows
+    rest = own.join(F.broadcast(hot), key, "left_anti").join(table, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return own.join(held, key).unionByName(rest).unionByName(none).select(*rows.columns, *[f.name for f in added])
+
+
 # --- components ---------------------------------------------------------------------------------
 
 

@@ -229,15 +229,17 @@ def links(values: DataFrame, radius: int = 3, tree: int = TREE) -> DataFrame:
 def label(ids: DataFrame, id: str = "doc_id", fp: str = "fp", radius: int = 3) -> DataFrame:
     """`ids` (id, fp) with component_id, the smallest id reachable by links, the row's own included.
 
-    Rows with equal fingerprints are linked whatever their texts, the zero fingerprint like any other.
+    Rows with equal fingerprints are linked whatever their texts, the zero fingerprint like any other. One fingerprint
+    or component may hold most rows. `ids` is read several times and should be a written table.
     Null ids count as largest: a component of null ids only has a null component_id.
     """
     first = ids.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("_first"))
     roots = C.components(links(first.select("fp"), radius))
-    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    of = rooted.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
-    return ids.join(of, ids[fp] == of["_fp"], "left").drop("_fp")
+    scratch = C.Scratch(ids.sparkSession)
+    rooted = scratch.save(first.join(roots, first["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root")))
+    least = scratch.save(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")))
+    of = scratch.save(C.lookup(rooted, least, "_root").select(F.col("fp").alias(fp), "component_id"))
+    return C.lookup(ids, of, fp)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
