@@ -73,7 +73,7 @@ def _bitmap(bench: DataFrame, n: int) -> np.ndarray:
     """Which cells hold an item hash; all of them where the benchmark is too large to list."""
     bits = int(min(MAX_BITMAP_BITS, max(BITMAP_BITS, np.ceil(np.log2(64 * n + 1)))))
     if n > LISTED_ROWS:
-        return np.full(max(1, (1 << bits) // 8), 255, np.uint8)
+        return np.full(1, 255, np.uint8)
     cells = np.asarray(bench.select(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("c")).distinct().toArrow()["c"], dtype=np.int64)
     out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     np.bitwise_or.at(out, cells >> 3, (1 << (cells & 7)).astype(np.uint8))

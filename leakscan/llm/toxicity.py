@@ -10,6 +10,7 @@ A logistic model over the weighed hits gives the score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -23,7 +24,6 @@ from leakscan.llm.quality import sample_rows
 
 #: Labelled rows that training reads at most, in hash order.
 SAMPLE = 12_000
-MAX_TERMS = 400
 #: Likelihood ratio, share of toxic documents and number of them that a term needs.
 LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 24.0, 0.95, 4
 STEM_LENGTHS = range(4, 9)
@@ -122,7 +122,7 @@ def held_out(id: Column) -> Column:
 
 
 def lexicon(rows: DataFrame, text: str = "text") -> tuple[list[str], list[str]]:
-    """Terms and stems, MAX_TERMS together at most, from rows with _label 0 or 1."""
+    """Terms and stems from rows with _label 0 or 1. Each needs several of the sample's toxic documents, which bounds their number."""
 
     def run(batches):
         for batch, texts in C.slices(batches, text):
@@ -149,18 +149,20 @@ def lexicon(rows: DataFrame, text: str = "text") -> tuple[list[str], list[str]]:
     n = F.col("pos") + F.col("neg")
     ratio = 2 * (F.col("pos") * F.log(F.col("pos") / n / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - base))).otherwise(0.0))
     found = found.where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") >= LEAST_SHARE * n)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    best = {r.term: r.pos for r in found.orderBy(F.desc("ratio"), "term").limit(20 * MAX_TERMS).collect()}
-    terms = {t for t in best if t[-1] != "*" and len(t) >= 4 and not t.isdigit()}
-    stems: list[str] = []
-    for s in sorted((t[:-1] for t in best if t[-1] == "*"), key=lambda t: (len(t), t)):
-        if any(s.startswith(x) for x in stems):
+    best = {r.term: r.pos for r in found.select("term", "pos").collect()}
+    terms = sorted(t for t in best if t[-1] != "*" and len(t) >= 4 and not t.isdigit())
+    begins = sorted(t[:-1] for t in best if t[-1] == "*")
+    under = lambda names, s: names[bisect_left(names, s) : bisect_left(names, s + "\U0010ffff")]
+    covered = lambda t: any(t[:k] in stems for k in STEM_LENGTHS)
+    stems: dict[str, None] = {}
+    for s in sorted(begins, key=lambda t: (len(t), t)):
+        if covered(s):
             continue
         # the longest beginning that keeps nearly all documents is the safest
-        longest = max((x[:-1] for x in best if x[-1] == "*" and x.startswith(s) and best[x] >= 0.9 * best[s + "*"]), key=lambda x: (len(x), x))
-        if max((best[t] for t in terms if t.startswith(s)), default=0) < 0.6 * best[s + "*"]:
-            stems.append(longest)
-    terms = [t for t in sorted(terms, key=lambda t: (-best[t], t)) if not any(t.startswith(s) for s in stems)]
-    return terms[: MAX_TERMS - len(stems)], stems[:MAX_TERMS]
+        longest = max((x for x in under(begins, s) if best[x + "*"] >= 0.9 * best[s + "*"]), key=lambda x: (len(x), x))
+        if max((best[t] for t in under(terms, s)), default=0) < 0.6 * best[s + "*"]:
+            stems[longest] = None
+    return [t for t in sorted(terms, key=lambda t: (-best[t], t)) if not covered(t)], list(stems)
 
 
 # --- scoring ------------------------------------------------------------------------------------
