@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics of the text and metadata columns.
 
 score = sigmoid(b + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): the pairwise part
 takes time linear in the features. The model is fitted on the driver from at most SAMPLE labelled rows'
@@ -32,7 +32,9 @@ _DIGIT[ord("0") : ord("9") + 1] = True
 _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"?-()"]] = True
 _HIGH = np.arange(256) >= 128
-D = (1 << WORD_BITS) + len(STATS) * BINS
+#: Metadata columns that are read where the documents have them: numbers, each lights one bin of its logarithm.
+METADATA = ("n_chars",)
+D = (1 << WORD_BITS) + len(STATS) * BINS + len(METADATA) * (BINS + 1)
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,10 +81,11 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.clip(x, 0, 1), offsets, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)[codes] if len(distinct) else np.zeros(0, np.int64)
 
 
-def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, metadata: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows: row, feature, value. Words weigh by the root of their share; each statistic lights one bin.
 
-    Bins are uniform in the root of the statistic, finer where most texts lie.
+    Bins are uniform in the root of the statistic, finer where most texts lie. metadata: a column for each of METADATA;
+    numbers below 0 and those that are none (NaN) share a bin of their own.
     """
     x, offsets, hashed = statistics(texts)
     pairs, count = np.unique(C.rows_of(offsets) << WORD_BITS | hashed, return_counts=True)
@@ -91,9 +94,25 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bins = np.minimum((np.sqrt(x) * BINS).astype(np.int64), BINS - 1)
     stat = (1 << WORD_BITS) + np.arange(len(STATS)) * BINS + bins
     n = len(x)
-    rows = np.concatenate([row, np.repeat(np.arange(n), len(STATS))])
+    told = np.full((n, len(METADATA)), np.nan) if metadata is None else metadata
+    known = told >= 0
+    level = np.minimum(np.log1p(np.where(known, told, 0)) / 16 * BINS, BINS - 1).astype(np.int64)
+    meta = (1 << WORD_BITS) + len(STATS) * BINS + np.arange(len(METADATA)) * (BINS + 1) + np.where(known, level, BINS)
+    lit = np.concatenate([stat, meta], axis=1)
+    rows = np.concatenate([row, np.repeat(np.arange(n), lit.shape[1])])
     order = np.argsort(rows, kind="stable")
-    return rows[order], np.concatenate([pairs & ((1 << WORD_BITS) - 1), stat.ravel()])[order], np.concatenate([share, np.full(n * len(STATS), 0.5)])[order]
+    return rows[order], np.concatenate([pairs & ((1 << WORD_BITS) - 1), lit.ravel()])[order], np.concatenate([share, np.full(lit.size, 0.5)])[order]
+
+
+def _told(docs: DataFrame) -> list[Column]:
+    """The metadata columns as _meta0, _meta1, ...: null where a value is no number or the column is absent."""
+    own = {c.lower(): c for c in docs.columns}
+    return [(F.col(f"`{own[c]}`").try_cast("double") if c in own else F.lit(None).cast("double")).alias(f"_meta{k}") for k, c in enumerate(METADATA)]
+
+
+def _encoded(batch: pa.RecordBatch, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    told = [pc.fill_null(batch.column(f"_meta{k}"), float("nan")) for k in range(len(METADATA))]
+    return encode(texts, np.stack([np.asarray(c, dtype=float) for c in told], axis=1))
 
 
 class Machine:
@@ -156,11 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """The machine learned from `labels.quality`; without labelled rows it scores every text 0.5."""
 
     def fn(batch, texts):
-        row, feature, value = encode(texts)
+        row, feature, value = _encoded(batch, texts)
         cuts = np.searchsorted(row, np.arange(1, len(texts)))
         return {"f": pa.array([x.astype(np.int32).tobytes() for x in np.split(feature, cuts)], pa.binary()), "x": pa.array([x.astype(np.float32).tobytes() for x in np.split(value, cuts)], pa.binary())}
 
-    chosen = sample_rows(docs.select(id, text), labels, "quality", held_out(F.col(id)), sample, id)
+    chosen = sample_rows(docs.select(id, text, *_told(docs)), labels, "quality", held_out(F.col(id)), sample, id)
     got = C.add_columns(chosen, text, [T.StructField("f", T.BinaryType()), T.StructField("x", T.BinaryType())], fn).select(id, "_label", "f", "x").toArrow().sort_by(id)
     m = Machine()
     if got.num_rows:
@@ -174,19 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with score (0 to 1, higher: good quality) and predicted (1 if score >= 0.5, else 0).
 
-    Reads the text alone; null reads as empty and has a score like any text. Repeated rows score alike.
-    Input columns named like an output give way.
+    Reads the text and the columns of METADATA. A null text reads as empty and has a score like any text; metadata that
+    is null, no number or absent is a feature of its own. Repeated rows score alike. Input columns named like an
+    output give way.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id, text))
 
-    def fn(_, texts):
-        s = model.value.score(*encode(texts), len(texts))
+    def fn(batch, texts):
+        s = model.value.score(*_encoded(batch, texts), len(texts))
         return {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
 
-    return C.add_columns(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], fn)
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return C.add_columns(docs.select("*", *_told(docs)), text, fields, fn, drop=tuple(f"_meta{k}" for k in range(len(METADATA))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine accepts."""
-    scored = classify(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text")), labels)
+    scored = classify(docs.select(F.struct("*").alias("row"), "doc_id", "text", *[c for c in docs.columns if c.lower() in METADATA]), labels)
     return scored.where("predicted = 1").select("row.*")

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *quality.METADATA)
     out = quality.classify(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
