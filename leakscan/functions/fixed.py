@@ -47,7 +47,7 @@ LINE_TYPES = [
     ("ASSIGNMENT", [r"^\s*(const|let|var)\s+\w+\s*[:=]", r"^\s*\w+\s*=\s*", r"^\s*\w+\s*:=\s*", r"^\s*(private|public|protected|static|final|readonly)\s+", r"^\s*\w+\s*:\s*\w+\s*="]),
     ("OBJECT_PROPERTY", [r"""^\s*["']?\w+["']?\s*:\s*""", r"^\s*\w+\s*=\s*[^=]"]),
     ("ARRAY_ELEMENT", [r"^\s*[\[,]", r"\[\s*\z"]),
-    ("FUNCTION_ARGUMENT", [r"\w+\s*\(", r"=>\s*\{"]),
+    ("FUNCTION_ARGUMENT", [r"\w\s*\(", r"=>\s*\{"]),
 ]
 
 # --- reductions: name, pattern, factor ----------------------------------------------------------
@@ -125,6 +125,13 @@ railway render fly.io digitalocean
 """.split()
 HTTP_STRINGS = "content-type application/json headers fetch axios request post get put delete patch http https endpoint baseurl base_url api_url".split()
 
+# --- rules --------------------------------------------------------------------------------------
+#: Words of a rule's id that say nothing about its values.
+COMMON_PARTS = """
+a an the of for and or in on to api key token secret access auth user id file password passwd url uri endpoint service account config value name
+string credential cred
+""".split()
+
 # --- scores -------------------------------------------------------------------------------------
 WEIGHTS = {"regex": 0.35, "entropy": 0.20, "context": 0.20, "string_group": 0.15, "file_context": 0.10}
 #: Severity, its rank and the least score.

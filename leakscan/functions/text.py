@@ -35,7 +35,7 @@ def entropy(s: Column) -> Column:
     Terms are summed in order of first occurrence.
     """
     own, n = chars(s), utf16_length(s).cast("double")
-    count = lambda c: F.size(F.filter(own, lambda x: x == c)).cast("double")
+    count = lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double")
     terms = F.transform(F.array_distinct(own), lambda c: count(c) / n)
     total = F.aggregate(terms, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(total)
@@ -94,6 +94,16 @@ def env_segment(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(s), "[^A-Z0-9]+", "_"), "^_+|_+\\z", "")
 
 
+def mean_entropy(values: Column) -> Column:
+    """The mean entropy of an array of strings; 0 without any."""
+    return F.when(F.size(values) > 0, F.aggregate(F.transform(values, entropy), F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(0.0)
+
+
+def finding_id(uri: Column, line_no: Column, start: Column, value: Column) -> Column:
+    """SHA-256 of where a finding is and of its value's hash: the same in every run."""
+    return F.sha2(F.concat_ws(":", F.coalesce(uri, F.lit("")), line_no.cast("string"), start.cast("string"), F.sha2(value, 256)), 256)
+
+
 def suppression_key(uri: Column, line_no: Column, line: Column, rule: Column) -> Column:
     """SHA-256 of uri:line number:trimmed line:rule, 'unknown' without a rule."""
     return F.sha2(F.concat(uri, F.lit(":"), line_no.cast("string"), F.lit(":"), trim_unicode(line), F.lit(":"), F.coalesce(rule, F.lit("unknown"))), 256)

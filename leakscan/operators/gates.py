@@ -85,6 +85,18 @@ def confidence(c: dict[str, Column], weights: dict[str, float]) -> dict[str, Col
     return {"base_score": base, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(name_like, 0.0).otherwise(score)))}
 
 
+def explanation(c: dict[str, Column]) -> Column:
+    """How a score came about: the layers, what reduced or raised it, and the result. c: `confidence`'s columns and its results."""
+    two = lambda x: F.format_string("%.2f", x)
+    base = F.concat(F.lit("Base score: "), F.format_string("%.3f", c["base_score"]), F.lit(" (regex="), two(c["l1_score"]), F.lit(", entropy="), two(c["l2_score"]), F.lit(", context="), two(c["l3_score"]), F.lit(", strings="), two(c["l4_score"]), F.lit(", file="), two(c["l5_score"]), F.lit(")"))
+    factor = lambda label, x, when: F.when(when, F.concat(F.lit(label + ": ×"), two(x)))
+    return F.concat_ws(
+        " | ", base, factor("File risk multiplier", c["file_factor"], c["file_factor"] != 1.0), factor("Allowlist reduction", F.lit(0.02), c["allowed"]),
+        factor("Placeholder reduction", c["placeholder_factor"], c["placeholder_factor"] < 1.0), factor("Format disambiguation", c["format_factor"], c["format_factor"] < 1.0),
+        F.when(c["known_provider"], F.lit("Known provider override: floor=0.90")), F.concat(F.lit("Final confidence: "), F.format_string("%.1f", c["score"] * 100), F.lit("%")),
+    )
+
+
 def severity(score: Column) -> Column:
     """Null below the least severity's score."""
     out = F.lit(None).cast("string")

@@ -48,15 +48,16 @@ def in_comment(line: Column, line_no: Column, blocks: Column) -> Column:
     return inside | line.contains("/*") | _single(line)
 
 
-def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
-    """`files` (content, optional changed_lines) with content replaced by line_no (from 0), line, in_comment, surrounding, n_lines.
+def with_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
+    """`files` (content, optional changed_lines), a row each, with content replaced by n_lines and lines (line_no from 0, line,
+    in_comment, surrounding).
 
     Lines end at \\n only. surrounding holds up to five lines before, then five after. Lines go out if
     changed_lines is not empty and none of it is within two lines, or if `keep` (of a column named line)
-    is false. A null content has no lines.
+    is false. A null content has null lines and n_lines.
     """
     columns = [c for c in files.columns if c not in ("content", "changed_lines")]
-    cut = files.where(F.col("content").isNotNull()).withColumn("_lines", F.split("content", "\n"))
+    cut = files.withColumn("_lines", F.split("content", "\n"))
     cut = cut.withColumn("_blocks", _blocks(_events(F.col("_lines"))))
     at = F.transform(F.col("_lines"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
     if "changed_lines" in files.columns:
@@ -71,9 +72,15 @@ def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool
         after = F.slice("_lines", F.least(i + 2, n + 1), F.least(F.lit(NEAR), n - i - 1))
         return F.concat(F.when(i > 0, before).otherwise(F.array().cast("array<string>")), F.when(i < n - 1, after).otherwise(F.array().cast("array<string>")))
 
-    fields = lambda r: [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], r["line_no"], F.col("_blocks")).alias("in_comment"), n.alias("n_lines")]
+    fields = lambda r: [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], r["line_no"], F.col("_blocks")).alias("in_comment")]
     at = F.transform(at, lambda r: F.struct(*fields(r), *([neighbours(r["line_no"]).alias("surrounding")] if surrounding else [])))
-    return cut.select(*columns, F.inline(at))
+    return cut.select(*columns, F.when(F.col("_lines").isNotNull(), n).alias("n_lines"), at.alias("lines"))
+
+
+def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
+    """The lines of `with_lines`, a row each."""
+    own = with_lines(files.where(F.col("content").isNotNull()), keep, surrounding)
+    return own.select(*[c for c in own.columns if c != "lines"], F.inline("lines"))
 
 
 def adjacent(surrounding: Column) -> Column:

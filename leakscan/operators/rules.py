@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakscan.functions import fixed
 from leakscan.functions.dialect import groups, rule_regex
 
 BUILT_IN = Path(__file__).parent.parent / "data" / "rules.toml"
@@ -70,12 +71,15 @@ def _usable(jvm, pattern: str) -> bool:
 
 
 def derive_keywords(rule_id: str) -> list[str]:
-    """For rules without keywords: the id's longer parts."""
-    return [p for p in rule_id.lower().split("-") if len(p) > 2 and p not in ("api", "key", "token", "access", "secret")] or [rule_id.lower()]
+    """For rules without keywords: the id's telling parts, alone and, if there are several, together with and without dashes; sorted."""
+    parts = [p for p in re.split("[^a-z0-9]+", rule_id.lower()) if p and p not in fixed.COMMON_PARTS]
+    together = ["-".join(parts), "".join(parts)] if len(parts) > 1 else []
+    return sorted({k for k in [*parts, *together] if len(k) > 1})
 
 
-def compile_rules(spark: SparkSession, data: dict) -> RuleSet:
-    """Patterns in Java's dialect; rules and allowlist patterns that don't compile are dropped. Keywords are lower-cased."""
+def compile_rules(spark: SparkSession, data: dict, derive: bool = True) -> RuleSet:
+    """Patterns in Java's dialect; rules and allowlist patterns that don't compile are dropped. Keywords are lower-cased,
+    and derived from the id for rules without any: a rule without keywords is never tried."""
     if not isinstance(data, dict) or not isinstance(data.get("rules"), list):
         raise BadRules("no list of rules")
     if not data["rules"]:
@@ -92,7 +96,7 @@ def compile_rules(spark: SparkSession, data: dict) -> RuleSet:
         out.rules.append(
             {"rule_id": r["id"], "description": r.get("description") or "", "java_regex": java, "n_groups": groups(source), "rule_entropy": float(r.get("entropy") or 0), "secret_group": int(r.get("secretGroup") or 0), "path_regex": r.get("path"), "generic": r["id"].lower().startswith("generic-")}
         )
-        out.keywords += [(k.lower(), r["id"]) for k in r.get("keywords") or []]
+        out.keywords += [(k.lower(), r["id"]) for k in r.get("keywords") or (derive_keywords(r["id"]) if derive else [])]
         for i, a in enumerate(r.get("allowlists") or ([r["allowlist"]] if r.get("allowlist") else [])):
             regexes = [p for p in ("(?iu)" + rule_regex(x) for x in a.get("regexes") or [] if "(?s:" not in x) if _usable(jvm, p)]
             paths = [p for p in ("(?iu)" + rule_regex(x) for x in a.get("paths") or []) if _usable(jvm, p)]
@@ -104,7 +108,18 @@ def compile_rules(spark: SparkSession, data: dict) -> RuleSet:
 
 
 def keyword_pattern(keywords: list[str]) -> str:
-    return "|".join(re.sub(r"([.^$*+?()\[\]{}|\\-])", r"\\\1", k) for k in sorted(keywords, key=len, reverse=True)) or r"(?!)"
+    """An alternation shaped as a trie, so that most places in a text are left after one character."""
+
+    def branch(words: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in words:
+            heads.setdefault(w[0], []).append(w[1:])
+        # a word that ends here makes what follows it needless
+        one = [re.sub(r"([.^$*+?()\[\]{}|\\&~#\s-])", r"\\\1", c) + ("" if "" in rest else branch(rest)) for c, rest in heads.items()]
+        return one[0] if len(one) == 1 else "(?:" + "|".join(one) + ")"
+
+    own = sorted({k for k in keywords if k})
+    return branch(own) if own else r"(?!)"
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:

@@ -2,7 +2,8 @@
 
 One row per file stays one row until its lines with candidate values go out, so the corpus is never
 shuffled; what is shuffled are candidate lines (for dictionary signals) and their rule matches. Both are
-checkpointed, so the files are read once however many branches the plan has.
+written to the shared folder, so the files are read once however many branches the plan has. Every row gets
+a number with the first of these tables: rows that share a uri, or are equal, keep their own matches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.functions.text import suppression_key, trim_unicode
+from leakscan.functions.text import finding_id, suppression_key, trim_unicode
 from leakscan.operators import gates as G
 from leakscan.operators import identifiers as I
 from leakscan.operators import layers as Y
@@ -21,7 +22,7 @@ from leakscan.operators import literals as S
 from leakscan.operators import paths, suppress
 from leakscan.operators import rules as R
 from leakscan.plans import config as K
-from leakscan.sources.state import checkpointed
+from leakscan.sources.state import written
 
 
 @dataclass
@@ -46,26 +47,33 @@ class Scanner:
 
     # --- stages ---
 
-    def files(self, files: DataFrame) -> DataFrame:
-        """`files` (file_uri, content, optional language_id, changed_lines) with risk, excluded ones left out."""
+    def read(self, files: DataFrame) -> DataFrame:
+        """The one pass over `files` (file_uri, content, optional language_id, changed_lines), written once: a row per row with row_id,
+        risk, n_lines (0 for excluded files) and lines, those that hold a candidate value, with their neighbours."""
         i = self.config["ignore"]
-        out = files.withColumn("risk", paths.risk(F.col("file_uri"), tuple(i["paths"]), i["useDefaultIgnorePaths"])).where("risk <> 'EXCLUDED'")
-        if self.config["options"]["skipFilesMarkedDisabled"]:
-            out = out.where(~F.substring_index("content", "\n", 1).contains("leakscan-disable-file"))
-        return out
-
-    def lines(self, files: DataFrame) -> DataFrame:
-        """Lines that hold a candidate value, with their neighbours and keyword hits."""
+        out = files.withColumn("risk", paths.risk(F.col("file_uri"), tuple(i["paths"]), i["useDefaultIgnorePaths"])).withColumn("row_id", F.monotonically_increasing_id())
+        excluded = F.coalesce(F.col("risk") == "EXCLUDED", F.lit(False))
+        content = F.coalesce("content", F.lit(""))
+        off = F.substring_index(content, "\n", 1).contains("leakscan-disable-file") if self.config["options"]["skipFilesMarkedDisabled"] else F.lit(False)
         has = lambda line: line.rlike("[\"'`=]") & (F.size(S.candidate_values(line)) > 0)
+        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "_off": off}), keep=has)
+        lines = F.when(~F.col("_off"), F.col("lines"))
+        return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("_off"))
+
+    def lines(self, read: DataFrame) -> DataFrame:
+        """The lines of `read` that may hold a secret, with their keyword hits."""
         keywords = self.ruleset.keyword_set
-        out = L.split_lines(self.files(files), keep=has).where(trim_unicode(F.col("line")) != "")
+        out = read.where(F.size("lines") > 0).select(*[c for c in read.columns if c != "lines"], F.inline("lines")).where(trim_unicode(F.col("line")) != "")
         out = out.withColumn("db1_hits", R.keyword_hits(F.col("line"), keywords)).withColumn("adjacent", L.adjacent(F.col("surrounding")))
         near = F.lower(F.concat_ws("\n", "adjacent")).rlike(R.keyword_pattern(keywords))
-        return out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "file_uri", "line_no"))
+        return out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "row_id", "line_no"))
 
     def candidates(self, files: DataFrame) -> DataFrame:
         """Candidate values of lines with a keyword, a dictionary name or a keyword beside them."""
-        lines = checkpointed(self.lines(files))  # the one pass over the files
+        return self._candidates(self.read(files))
+
+    def _candidates(self, read: DataFrame) -> DataFrame:
+        lines = self.lines(read)
         known = Y.signals(lines.select("line_id", "line_no", "line", "surrounding"), self.dictionary, self.broadcast_dictionary)
         out = lines.join(known, "line_id", "left").withColumn("signals", F.coalesce("signals", Y.no_signals())).withColumn("db2_hits", F.coalesce("db2_hits", F.array().cast("array<string>")))
         out = out.where((F.size("db1_hits") > 0) | (F.size("db2_hits") > 0) | F.col("adjacent_hit"))
@@ -73,8 +81,11 @@ class Scanner:
         return out.withColumn("cand_id", F.concat_ws(":", "line_id", "start_pos", "quote"))
 
     def scored(self, files: DataFrame) -> DataFrame:
-        """Candidates with all layers, reductions, score, severity and suppression key."""
-        c = checkpointed(self.candidates(files))
+        """Candidates with all layers, reductions, score, its explanation, severity, suppression key and id."""
+        return self._scored(self.read(files))
+
+    def _scored(self, read: DataFrame) -> DataFrame:
+        c = written(self._candidates(read))
         best = R.match_rules(c.select("cand_id", "value", "line", "db1_hits", F.col("file_uri").alias("path")), self.ruleset, self.config["options"]["useRulePaths"])
         c = c.join(best, "cand_id", "left")
         path = F.replace("file_uri", F.lit("\\"), F.lit("/"))
@@ -90,9 +101,11 @@ class Scanner:
         c = c.withColumn("allow_reason", G.allow_reason(value, line, F.col("rule_reason"), K.stopwords(cfg), K.patterns(cfg), K.marks(cfg)))
         specific = F.exists("signals", lambda s: (s["distance"] == 0) & s["group"].isin(Y.fixed.SPECIFIC_GROUPS))
         cols = {k: F.col(k) for k in ("l1_score", "l2_score", "l2_entropy", "l3_score", "l4_score", "l5_score", "matched", "known_provider", "generic", "file_factor", "placeholder_factor", "format_factor", "value")}
+        c = written(c)  # the scores are used several times from here on
         c = c.withColumns(G.confidence(cols | {"allowed": F.col("allow_reason").isNotNull(), "specific_context": specific}, K.weights(cfg)))
+        c = c.withColumn("explanation", G.explanation({k: F.col(k) for k in c.columns} | {"allowed": F.col("allow_reason").isNotNull()}))
         least = cfg["detection"]["minimumConfidenceToWarn"]
-        return c.withColumns({"severity": F.when(G.passes(F.col("score"), least), G.severity(F.col("score"))), "suppression_key": suppression_key(F.col("file_uri"), F.col("line_no"), line, F.col("rule_id"))})
+        return c.withColumns({"severity": F.when(G.passes(F.col("score"), least), G.severity(F.col("score"))), "suppression_key": suppression_key(F.col("file_uri"), F.col("line_no"), line, F.col("rule_id")), "finding_id": finding_id(F.col("file_uri"), F.col("line_no"), F.col("start_pos"), value)})
 
     def findings(self, files: DataFrame, suppressions: DataFrame | None = None, now=None) -> DataFrame:
         """Scored candidates with a severity that no suppression in force covers."""
@@ -100,15 +113,12 @@ class Scanner:
         return out if suppressions is None else suppress.apply(out, suppressions, now)
 
     def funnel(self, files: DataFrame) -> DataFrame:
-        """One row per file: lines, candidates, findings and what each gate took; excluded files have zeros."""
-        scored = self.scored(files)
-        counts = scored.groupBy("file_uri").agg(
+        """One row per row of `files`: lines, candidates, findings and what each gate took; excluded files have zeros."""
+        read = self.read(files)
+        counts = self._scored(read).groupBy("row_id").agg(
             F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("severity").isNotNull()).alias("findings"),
             F.count_if(F.col("allow_reason").isNotNull() & ~F.col("known_provider")).alias("skipped_gate5"), F.count_if(F.col("severity").isNull()).alias("skipped_gate7"),
         )
-        i = self.config["ignore"]
-        risk = paths.risk(F.col("file_uri"), tuple(i["paths"]), i["useDefaultIgnorePaths"])
-        base = files.select("file_uri", risk.alias("risk"), F.size(F.split(F.coalesce("content", F.lit("")), "\n")).alias("n"))
-        base = base.select("file_uri", (F.col("risk") == "EXCLUDED").cast("long").alias("skipped_gate0"), F.when(F.col("risk") == "EXCLUDED", 0).otherwise(F.col("n")).cast("long").alias("lines_scanned"))
-        out = base.join(counts, "file_uri", "left")
+        base = read.select("row_id", "file_uri", F.coalesce(F.col("risk") == "EXCLUDED", F.lit(False)).cast("long").alias("skipped_gate0"), F.col("n_lines").cast("long").alias("lines_scanned"))
+        out = base.join(counts, "row_id", "left")
         return out.select("file_uri", "lines_scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "findings")], "skipped_gate0", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("skipped_gate5", "skipped_gate7")])

@@ -12,17 +12,28 @@ MOST_BYTES = 10 * 1024 * 1024
 _SKIPPED = "/(?:node_modules|dist|build|\\.git|coverage)/"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it has less than a split's bytes for each: one file or row group is one task however it is split.
+
+    What is shuffled is bounded by a split a core; larger inputs stay as they are.
+    """
+    spark = df.sparkSession
+    size, cores = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()), spark.sparkContext.defaultParallelism
+    parts = min(2 * cores, -(-size // (1 << 20)))
+    return df.repartition(parts) if 1 < parts and size < cores * (128 << 20) else df
+
+
 def from_columns(df: DataFrame, uri: Column, content: Column) -> DataFrame:
-    return df.select(uri.alias("file_uri"), content.alias("content"), language(uri).alias("language_id"))
+    return spread(df).select(uri.alias("file_uri"), content.alias("content"), language(uri).alias("language_id"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
-    return from_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), uri, F.col("text"))
+    return from_columns(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text"), uri, F.col("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_columns(spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("url"), F.col("html"))
+    return from_columns(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html"), F.col("url"), F.col("html"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

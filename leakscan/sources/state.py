@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, where several branches of a plan read it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leakscan-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; on one machine (tests) a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
+        base = tempfile.mkdtemp(prefix="leakscan-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/") + "/leakscan"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder as Parquet, where several branches of a plan read what they need of it."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class StateStore:
