@@ -18,7 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
     What is shuffled is bounded by a split a core; larger inputs stay as they are.
     """
     spark = df.sparkSession
-    size, cores = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()), spark.sparkContext.defaultParallelism
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
     parts = min(2 * cores, -(-size // (1 << 20)))
     return df.repartition(parts) if 1 < parts and size < cores * (128 << 20) else df
 
