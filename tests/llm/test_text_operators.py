@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leakscan.llm import common as C
 from leakscan.llm import common, decontam, simhash, substring
 from tests.llm import brute
 from tests.llm.conftest import prose
@@ -121,3 +122,12 @@ def test_contamination_without_broadcast(spark, odd_docs, items, monkeypatch):
     rows = [*odd_docs, (900, dict(items)[6])]
     got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     same(got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256), "contaminated").collect(), brute.contamination(rows, items))
+
+
+def test_lookup_with_hot_and_null_keys(spark):
+    """A key that most rows hold, keys without a row in the table and null keys, against a plain left join."""
+    rows = C.Scratch(spark).save(spark.createDataFrame([(i, 7 if i % 3 else (None if i % 2 else i)) for i in range(3000)], "id long, k long").repartition(3))
+    table = C.Scratch(spark).save(spark.createDataFrame([(7, "hot"), (6, "six"), (12, None), (5000, "unused")], "k long, v string"))
+    got = C.lookup(rows, table, "k")
+    assert got.columns == ["id", "k", "v"] and sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(table, "k", "left").select("id", "k", "v").collect()))
+    assert C.lookup(rows.limit(0), table, "k").count() == 0
