@@ -90,6 +90,34 @@ def by_file(findings: DataFrame) -> DataFrame:
     return findings.groupBy("file_uri").agg(F.array_join(lines, "\n").alias("text"))
 
 
+def console(findings: DataFrame, scanned: int, blocking: dict[str, bool] | None = None) -> DataFrame:
+    """(part, file_uri, text) of a commit's report, to be shown in order of part and file_uri: a head, a text per file and advice,
+    or one line that the commit is allowed if no finding blocks it."""
+    spark = findings.sparkSession
+    stop = F.broadcast(blocked(findings, blocking).select("blocked"))  # one row
+    advice = f"How to go on:\n  1. Move the values to an ignored file or a secret store.\n  2. Stage the change and commit again.\n  Scanned {scanned} file(s)"
+    fixed_rows = [(True, 0, "Commit blocked: credentials in staged files"), (True, 2, advice), (False, 0, f"No blocking credentials in {scanned} staged file(s). Commit allowed.")]
+    said = spark.createDataFrame(fixed_rows, "blocked boolean, part int, text string").join(stop, "blocked").select("part", F.lit(None).cast("string").alias("file_uri"), "text")
+    files = by_file(findings).join(stop, F.col("blocked")).select(F.lit(1).alias("part"), "file_uri", F.concat(F.coalesce("file_uri", F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
+    return said.unionByName(files)
+
+
+def dashboard(findings: DataFrame, history: DataFrame, statistics: DataFrame, health: DataFrame, ignored: DataFrame, k: int = 100) -> DataFrame:
+    """(section, at, payload) rows of a dashboard, payload in JSON: findings with masked values, the k latest detections, statistics, health,
+    and ignored records without the text of their lines. Each section is shown by `at`, newest first. A row an item: nothing is gathered."""
+
+    def rows(section: str, df: DataFrame, at: Column | None, *columns) -> DataFrame:
+        when = F.lit(None).cast("timestamp") if at is None else at
+        return df.select(F.lit(section).alias("section"), when.alias("at"), F.to_json(F.struct(*columns)).alias("payload"))
+
+    latest = history.orderBy(F.desc("detected_at"), "suppression_key").limit(k)
+    out = rows("findings", findings, None, "finding_id", "file_uri", "line_no", "severity", "score", "rule_id", masked(F.col("value")).alias("value"), "explanation")
+    out = out.unionByName(rows("history", latest, F.col("detected_at"), "detected_at", "severity", "file_name", "rule_id", "is_fixed"))
+    out = out.unionByName(rows("statistics", statistics, None, "*")).unionByName(rows("health", health, None, "*"))
+    name = base_name(F.col("file_uri")).alias("file_name")
+    return out.unionByName(rows("ignored", ignored, F.col("suppressed_at"), "file_uri", name, F.coalesce("line_no", F.lit(0)).alias("line_no"), "severity", "rule_id", "reason", "suppressed_at", "kind"))
+
+
 def diagnostics(findings: DataFrame) -> DataFrame:
     """Messages with edit ranges, for a sink that overwrites a file's rows."""
     percent = F.round(F.col("score") * 100).cast("int")
