@@ -16,6 +16,7 @@ from leakscan.operators import ignores, layers, lines, literals, paths, remediat
 from leakscan.operators import rules as R
 from leakscan.plans.scan import Scanner
 from leakscan.sources import files as S
+from leakscan.sources.state import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -347,7 +348,15 @@ def a7_funnel(spark, sf_dir):
 
 @query()
 def k1_k3_k4_reports(spark, sf_dir):
-    return report.diagnostics(Scanner.default(spark).findings(_all_files(spark, sf_dir)))
+    """Diagnostics, the console report and the dashboard's rows of all files' findings and the events' history."""
+    files = _all_files(spark, sf_dir)
+    scanner = Scanner.default(spark)
+    found = written(scanner.findings(files))
+    past, ignored = _keyed(spark, sf_dir), spark.createDataFrame([], suppress.COLUMNS)
+    sizes = report.health(scanner.ruleset.rules_df(spark), scanner.ruleset.keywords_df(spark), scanner.dictionary)
+    rows = report.dashboard(found, past, report.counters(past, found, ignored), sizes, ignored)
+    parts = [report.diagnostics(found).select(F.lit("diagnostic").alias("kind"), "file_uri", F.col("message").alias("text")), report.console(found, files.count()).select(F.lit("console"), "file_uri", "text")]
+    return parts[0].union(parts[1]).union(rows.select("section", F.lit(None).cast("string"), "payload"))
 
 
 @query()
