@@ -126,7 +126,9 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The keywords that `text` holds, case-blind, in their order. One alternation spares most texts the list."""
     low = F.lower(text)
     all_ = F.split(F.lit("\n".join(keywords)), "\n")
-    return F.when(low.rlike(keyword_pattern(keywords)), F.filter(all_, lambda k: F.contains(low, k))).otherwise(F.array().cast("array<string>"))
+    # the outer function lowers a text once, not for every keyword
+    held = F.get(F.transform(F.array(low), lambda t: F.filter(all_, lambda k: F.contains(t, k))), 0)
+    return F.when(low.rlike(keyword_pattern(keywords)), held).otherwise(F.array().cast("array<string>"))
 
 
 def collisions(keywords: DataFrame) -> DataFrame:
