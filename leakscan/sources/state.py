@@ -61,6 +61,20 @@ class StateStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.folder}/{key}/v{own[-1]}")
 
+    def read(self, key: str, versions: list[int], schema: str | T.StructType) -> DataFrame:
+        """Several versions together, those that exist, or an empty table."""
+        own = [v for v in self.versions(key) if v in set(versions)]
+        if not own:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{key}/v{v}" for v in own])
+
+    def prune(self, key: str, below: int) -> None:
+        """Removes the versions below `below`."""
+        for v in self.versions(key):
+            if v < below:
+                fs, p = self._fs(f"{self.folder}/{key}/v{v}")
+                fs.delete(p, True)
+
     def delete(self, key: str) -> None:
         fs, p = self._fs(f"{self.folder}/{key}")
         fs.delete(p, True)

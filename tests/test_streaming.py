@@ -44,10 +44,10 @@ def test_stream_of_edits(spark, scanner, tmp_path):
     put = lambda *rows: spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
     put(edit("/a.py", 0, "x = 1\n"), edit("/a.py", 100, SECRET), edit("/b.py", 0, SECRET))
     run()
-    assert sorted(r.file_uri for r in state.load("results", ST.RESULT).collect()) == ["/a.py", "/b.py"] and state.load("new", ST.RESULT).count() == 2
+    assert sorted(r.file_uri for r in ST.results(state).collect()) == ["/a.py", "/b.py"] and state.load("new", ST.RESULT).count() == 2
     put(edit("/a.py", 5000, SECRET), edit("/b.py", 5000, "clean\n"))
     run()
-    assert [r.file_uri for r in state.load("results", ST.RESULT).collect()] == ["/a.py"] and state.load("new", ST.RESULT).count() == 0
+    assert [r.file_uri for r in ST.results(state).collect()] == ["/a.py"] and state.load("new", ST.RESULT).count() == 0
 
 
 def test_repeated_batch_changes_nothing(spark, scanner, tmp_path):
@@ -55,4 +55,31 @@ def test_repeated_batch_changes_nothing(spark, scanner, tmp_path):
     files = spark.createDataFrame([edit("/a.py", 0, SECRET)], SCHEMA)
     for _ in range(2):
         ST.merge_batch(scanner, state, files, 0)
-    assert state.load("new", ST.RESULT).count() == 1 and state.load("results", ST.RESULT).count() == 1
+    assert state.load("new", ST.RESULT).count() == 1 and ST.results(state).count() == 1
+
+
+def test_guards(spark):
+    rows = [edit("/a", 0, "1"), edit("file:///b", 0, "1", [2]), edit("untitled:c", 0, "1"), edit("C:\\d", 0, "1"), edit("/e", 0, "1", []), edit(None, 0, "1")]
+    assert sorted(r.file_uri for r in ST.guarded(spark.createDataFrame(rows, SCHEMA)).collect()) == ["/a", "C:\\d", "file:///b"]
+
+
+def test_debounced_stream(spark, scanner, tmp_path):
+    src, state = tmp_path / "in", StateStore(spark, str(tmp_path / "state"))
+    rows = [edit("/a.py", 0, SECRET), edit("/a.py", 100, "x = 1\n"), edit("/b.py", 0, "x = 1\n"), edit("/b.py", 200, SECRET), edit("/c.py", 60_000, SECRET)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(src))
+    ST.start(spark.readStream.schema(SCHEMA).parquet(str(src)), scanner, state, str(tmp_path / "ck"), gap="300 milliseconds").awaitTermination()
+    # /c.py's burst is not over before the watermark passes it
+    assert [r.file_uri for r in ST.results(state).collect()] == ["/b.py"]
+
+
+def test_bases_and_pruning(spark, scanner, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "COMPACT", 2)
+    state = StateStore(spark, str(tmp_path / "state"))
+    texts = [("/a.py", SECRET), ("/b.py", SECRET), ("/a.py", "clean\n"), ("/c.py", SECRET), ("/c.py", SECRET)]
+    seen = []
+    for n, (uri, text) in enumerate(texts):
+        for _ in range(2 if n in (1, 3) else 1):  # a batch that is run again, after its base was written
+            ST.merge_batch(scanner, state, spark.createDataFrame([edit(uri, n, text)], SCHEMA), n)
+        seen.append((sorted(r.file_uri for r in ST.results(state).collect()), state.load("new", ST.RESULT).count()))
+    assert seen == [(["/a.py"], 1), (["/a.py", "/b.py"], 1), (["/b.py"], 0), (["/b.py", "/c.py"], 1), (["/b.py", "/c.py"], 0)]
+    assert state.versions("base") == [2, 4] and state.versions("scans") == [2, 3, 4]
