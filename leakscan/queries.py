@@ -204,10 +204,25 @@ def p12_charset(spark, sf_dir):
     return values(spark, sf_dir).select("value", *[c.alias(k) for k, c in text.charset(F.col("value")).items()])
 
 
-@query()
+def _entropy_sql(table_: str) -> str:
+    """CTEs that end in es (value, e): entropy over UTF-16 lengths of the distinct values of a table."""
+    return f"""en AS (SELECT value, length(value) + length(regexp_replace(value, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS n FROM (SELECT DISTINCT value FROM {table_})),
+ec AS (SELECT value, n, count(*) AS k FROM (SELECT value, n, unnest(string_split(value, '')) AS ch FROM en) WHERE ch <> '' GROUP BY value, n, ch),
+es AS (SELECT value, -sum(k / CAST(n AS DOUBLE) * log2(k / CAST(n AS DOUBLE))) AS e FROM ec GROUP BY value)"""
+
+
+def _entropy_score_sql(threshold: str) -> str:
+    """The entropy layer's score from value and e."""
+    has = [f"CAST(regexp_matches(value, '{p}') AS INTEGER)" for p in ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")]
+    kinds, size = " + ".join(has), " + ".join(f"{n} * {h}" for n, h in zip((26, 26, 10, 32), has, strict=True))
+    adjusted = f"least(1.0, CASE WHEN e < 2 THEN 0.0 WHEN e < 3 THEN 0.2 WHEN e < 3.5 THEN 0.4 WHEN e < 4 THEN 0.6 WHEN e < 4.5 THEN 0.8 ELSE 1.0 END + CASE {kinds} WHEN 4 THEN 0.1 WHEN 3 THEN 0.05 ELSE 0.0 END)"
+    return f"CAST(CASE WHEN e < 2 THEN 0.0 WHEN e < {threshold} THEN least(0.3, {adjusted} * (e / {threshold})) ELSE least(1.0, {adjusted} + CASE WHEN {size} >= 94 THEN 0.05 WHEN {size} >= 62 THEN 0.03 ELSE 0.0 END) END AS DOUBLE)"
+
+
+@query(f"WITH {_VALUES}, {_entropy_sql('v')} SELECT value, round(e, 6) + 0.0 AS l2_entropy, CAST(3.5 AS DOUBLE) AS l2_threshold, round({_entropy_score_sql('3.5')}, 6) AS l2_score FROM es")
 def l2_p11_p13_entropy_layer(spark, sf_dir):
     cols = layers.entropy_layer(F.col("value"), F.lit(3.5))
-    return values(spark, sf_dir).select("value", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+    return values(spark, sf_dir).select("value", *[(F.round(c, 6) + 0.0).alias(k) for k, c in cols.items()])
 
 
 def _reduce(table_: list, subject: str) -> str:
@@ -292,7 +307,14 @@ def a14_s10_collisions(spark, sf_dir):
     return out.select("keyword", "n_rules", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-@query()
+_TITLE = "list_transform({}, lambda x: upper(x[1]) || x[2:])"
+_SEEDS = ", ".join(f"({lit(g)}, {i}, {lit(k)}, {j})" for i, (g, ks) in enumerate(I.SEED.items()) for j, k in enumerate(ks))
+
+
+@query(f"""WITH s AS (SELECT *, string_split(keyword, '_') AS w FROM (VALUES {_SEEDS}) t(grp, group_ord, keyword, keyword_ord)),
+n AS (SELECT grp, group_ord, keyword_ord, unnest([keyword, upper(keyword), w[1] || array_to_string({_TITLE.format('w[2:]')}, ''), array_to_string({_TITLE.format('w')}, ''), array_to_string(w, '-'), array_to_string(w, ''), upper(array_to_string(w, ''))]) AS name FROM s),
+f AS (SELECT name AS keyword, arg_min(grp, group_ord * 1000 + keyword_ord) AS grp FROM n GROUP BY name)
+SELECT keyword, grp AS "group", 'seed' AS source, trim(regexp_replace(lower(grp), '[^a-z0-9]+', '-', 'g'), '-') || '.json' AS file FROM f""")
 def s9_w5_dictionary(spark, sf_dir):
     return I.seed(spark).withColumn("file", I.file_name(F.col("group")))
 
@@ -364,6 +386,66 @@ def p20_p21_remediation_plan(spark, sf_dir):
     return remediate.plan(Scanner.default(spark).findings(_all_files(spark, sf_dir)))
 
 
+# Files made from the customers, a line each, so that there are findings of all severities. The SQL knows what each line is
+# (a provider's token, assignments to dictionary names, an argument, a comment) and adds the layers up on its own.
+_MADE_LINES = ['const githubToken = "ghp_{}"', 'const pwd = "{}"', 'const password = "{}"', 'login(pwd, "{}")', '# password = "{}"']
+_MADE_TAILS = ["/main.js", "/config.json", "/secrets.json", "/tests/a.js"]
+
+
+def _made_files(spark, sf_dir):
+    h, k = F.sha2("c_name", 256), F.col("c_custkey")
+    kind, tail = (k % 5).cast("int"), F.get(F.lit(_MADE_TAILS), (F.floor(k / 5) % 4).cast("int"))
+    value = F.when(kind == 0, F.substring(h, 1, 36)).otherwise(F.concat(F.upper(F.substring(h, 1, 14)), F.lit("-"), F.substring(h, 15, 14)))
+    content = F.concat(F.replace(F.get(F.lit(_MADE_LINES), kind), F.lit("{}"), value), F.when(k % 7 == 0, " // nosec").otherwise(""))
+    return S.from_columns(table(spark, sf_dir, "customer"), F.concat(F.lit("/made/"), k.cast("string"), tail), content)
+
+
+_MADE = f"""h AS (SELECT c_custkey % 5 AS kind, CAST(floor(c_custkey / 5) AS BIGINT) % 4 AS place, c_custkey % 7 = 0 AS allowed, '/made/' || c_custkey || CASE CAST(floor(c_custkey / 5) AS BIGINT) % 4 {" ".join(f"WHEN {i} THEN {lit(t)}" for i, t in enumerate(_MADE_TAILS))} END AS file_uri, sha256(c_name) AS h FROM customer),
+m AS (SELECT *, CASE kind WHEN 0 THEN 'ghp_' || h[1:36] ELSE upper(h[1:14]) || '-' || h[15:28] END AS value FROM h),
+t AS (SELECT *, CASE kind {" ".join(f"WHEN {i} THEN {lit(x.split('{}')[0].replace('ghp_', ''))} || value || {lit(x.split('{}')[1])}" for i, x in enumerate(_MADE_LINES))} END || CASE WHEN allowed THEN ' // nosec' ELSE '' END AS line,
+CASE place WHEN 0 THEN 1.0 WHEN 1 THEN 1.2 WHEN 2 THEN 1.4 ELSE 0.5 END AS factor, CASE kind WHEN 0 THEN 'github-token' WHEN 2 THEN 'generic-secret' WHEN 4 THEN 'generic-secret' END AS rule_id FROM m),
+{_entropy_sql("m")},
+x AS (SELECT t.*, {_entropy_score_sql("(CASE WHEN kind IN (2, 4) THEN 3.5 ELSE 3.0 END)").replace("value", "t.value")} AS l2, CAST(CASE kind WHEN 0 THEN 0.92 WHEN 2 THEN 0.8 WHEN 4 THEN 0.8 ELSE 0.0 END AS DOUBLE) AS l1,
+CASE kind WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 2 THEN 1 WHEN 4 THEN 0 ELSE CAST(0.7 AS DOUBLE) + CAST(0.1 AS DOUBLE) END AS l3, least(1.0, CAST(CASE kind WHEN 3 THEN 0.5 WHEN 4 THEN 0.15 ELSE 0.85 END AS DOUBLE) * CAST(factor AS DOUBLE)) AS l5 FROM t JOIN es ON es.value = t.value),
+b AS (SELECT *, CAST(l1 * 0.35 + l2 * 0.2 + l3 * 0.2 + l5 * 0.1 + CASE WHEN kind IN (1, 3) AND l2 >= 0.6 THEN 0.28 ELSE 0.0 END AS DOUBLE) AS base FROM x),
+r AS (SELECT *, CAST(CASE WHEN allowed THEN 0.0 ELSE least(1.0, CASE WHEN kind = 0 THEN greatest(base * factor, 0.9) ELSE base * factor END) END AS DOUBLE) AS score FROM b),
+found AS (SELECT *, CAST(instr(line, '"') AS INTEGER) AS start_pos, CASE {" ".join(f"WHEN score >= {least} THEN '{n}'" for n, _, least in fixed.SEVERITIES)} END AS severity,
+sha256(file_uri || ':0:' || line || ':' || coalesce(rule_id, 'unknown')) AS suppression_key, CASE kind WHEN 0 THEN 'GITHUB_TOKEN' WHEN 2 THEN 'PASSWORD' WHEN 4 THEN 'PASSWORD' ELSE 'PWD' END AS key FROM r)"""
+
+
+@query(f"WITH {_MADE} SELECT file_uri, 0 AS line_no, start_pos, rule_id, round(l1, 6) AS l1_score, round(l2, 6) AS l2_score, round(l3, 6) AS l3_score, round(l5, 6) AS l5_score, round(score, 6) AS score, severity FROM found")
+def l1_l5_g6_made_scores(spark, sf_dir):
+    out = Scanner.default(spark).scored(_made_files(spark, sf_dir))
+    return out.select("file_uri", "line_no", "start_pos", "rule_id", *[F.round(c, 6).alias(c) for c in ("l1_score", "l2_score", "l3_score", "l5_score", "score")], "severity")
+
+
+@query(f"WITH {_MADE} SELECT file_uri, 0 AS line_no, start_pos, rule_id, round(score, 6) AS score, severity, suppression_key FROM found WHERE severity IS NOT NULL AND suppression_key[1:1] <> '0'")
+def f10_f11_j5_made_findings(spark, sf_dir):
+    """Findings of made files; those whose key begins with 0 are suppressed."""
+    scored = written(Scanner.default(spark).findings(_made_files(spark, sf_dir)))
+    ignored = scored.where(F.col("suppression_key").startswith("0")).select("suppression_key", F.lit(None).cast("timestamp").alias("expires_at"))
+    return suppress.apply(scored, ignored).select("file_uri", "line_no", "start_pos", "rule_id", F.round("score", 6).alias("score"), "severity", "suppression_key")
+
+
+@query(f"""WITH {_MADE} SELECT file_uri, CAST(1 AS BIGINT) AS lines_scanned, CAST(1 AS BIGINT) AS candidates, CAST(severity IS NOT NULL AS BIGINT) AS findings, CAST(0 AS BIGINT) AS skipped_gate0,
+CAST(allowed AND kind <> 0 AS BIGINT) AS skipped_gate5, CAST(severity IS NULL AS BIGINT) AS skipped_gate7 FROM found""")
+def a7_made_funnel(spark, sf_dir):
+    return Scanner.default(spark).funnel(_made_files(spark, sf_dir))
+
+
+@query(f"""WITH {_MADE} SELECT file_uri, 0 AS line_no, start_pos - 1 AS from_pos, CAST(start_pos + length(value) + 1 AS INTEGER) AS to_pos, severity,
+'[' || upper(severity) || '] ' || coalesce(rule_id, 'Key & Token Abbreviations') || ' (' || CAST(round(score * 100) AS INTEGER) || '%)' AS message FROM found WHERE severity IS NOT NULL""")
+def k1_p22_p26_made_diagnostics(spark, sf_dir):
+    return report.diagnostics(Scanner.default(spark).findings(_made_files(spark, sf_dir)))
+
+
+@query(f"""WITH {_MADE}, s AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS ord FROM found WHERE severity IS NOT NULL)
+SELECT file_uri, 0 AS line_no, start_pos, suppression_key, CAST(ord AS INTEGER) AS ord, ['migrate', 'replace', 'ignore', 'example', 'mark fixed'][ord + 1] AS step,
+[key, 'process.env.' || key, '.env', key || '=your-' || lower(replace(key, '_', '-')) || '-here', suppression_key][ord + 1] AS detail FROM s""")
+def p20_p21_made_plan(spark, sf_dir):
+    return remediate.plan(Scanner.default(spark).findings(_made_files(spark, sf_dir)))
+
+
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS l1, l_tax * 12 AS l2, l_quantity / 50.0 AS l3, (l_partkey % 10) / 10.0 AS l4, (l_suppkey % 10) / 10.0 AS l5 FROM lineitem),
 b AS (SELECT *, CAST(l1 AS DOUBLE) * 0.35 + CAST(l2 AS DOUBLE) * 0.2 + CAST(l3 AS DOUBLE) * 0.2 + CAST(l4 AS DOUBLE) * 0.15 + CAST(l5 AS DOUBLE) * 0.1 + CASE WHEN l1 = 0 AND l3 >= 0.4 AND l2 >= 0.6 THEN 0.28 ELSE 0.0 END AS base FROM i)
 SELECT l_orderkey, l_linenumber, round(base, 6) AS base_score, round(greatest(0.0, least(1.0, CASE WHEN l_linenumber = 7 THEN 0.0 WHEN l_linenumber = 6 THEN greatest(base * 1.2 * CASE WHEN l_linenumber = 5 THEN 0.05 ELSE 1.0 END, 0.9) ELSE base * 1.2 * CASE WHEN l_linenumber = 5 THEN 0.05 ELSE 1.0 END END)), 6) AS score FROM b""")
