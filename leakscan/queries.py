@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leakscan.functions import fixed, text
 from leakscan.operators import gates as G
 from leakscan.operators import identifiers as I
-from leakscan.operators import ignores, layers, lines, literals, paths, remediate, report, suppress
+from leakscan.operators import ignores, layers, lines, literals, paths, registry, remediate, report, suppress
 from leakscan.operators import rules as R
 from leakscan.plans.scan import Scanner
 from leakscan.sources import files as S
@@ -225,6 +225,26 @@ def l2_p11_p13_entropy_layer(spark, sf_dir):
     return values(spark, sf_dir).select("value", *[(F.round(c, 6) + 0.0).alias(k) for k, c in cols.items()])
 
 
+_DOC_WORDS = r"w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS value FROM documents)"
+
+
+@query(f"WITH {_DOC_WORDS}, {_entropy_sql('w')}, m AS (SELECT doc_id, count(*) AS n, avg(e) AS m FROM w JOIN es USING (value) GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_words, round(coalesce(m, 0.0), 6) + 0.0 AS mean_entropy FROM documents LEFT JOIN m USING (doc_id)")
+def l2b_mean_entropy(spark, sf_dir):
+    """The mean entropy of the distinct words of each document, within its row."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("words", words)
+    return docs.select("doc_id", F.size("words").alias("n_words"), (F.round(text.mean_entropy(F.col("words")), 6) + 0.0).alias("mean_entropy"))
+
+
+@query("""WITH k AS (SELECT n_nationkey AS id, n_name AS name FROM nation), x AS (SELECT c_nationkey AS id, bool_or(c_acctbal > 9000) AS active FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1)
+SELECT id, name, active IS NOT NULL AS installed, coalesce(active, false) AS active FROM k LEFT JOIN x USING (id)""")
+def f18_j11_left_outer_flags(spark, sf_dir):
+    """Known rows with flags of what is installed and active, over nations and their customers."""
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    have = table(spark, sf_dir, "customer").where("c_nationkey % 3 > 0").select(F.col("c_nationkey").alias("id"), (F.col("c_acctbal") > 9000).alias("is_active"))
+    return registry.installed_assistants(known, have)
+
+
 def _reduce(table_: list, subject: str) -> str:
     # RE2 has no back-references
     one = lambda p: f"(length({subject}) >= 8 AND {subject} = repeat({subject}[1], length({subject})))" if "\\1" in p else f"regexp_matches({subject}, {lit(p)})"
