@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.llm import common as C
-from leakscan.llm import decontam, hmm, pieces, quality, simhash, substring, toxicity, urlfilter, vectors, warc
+from leakscan.llm import decontam, hmm, negatives, pieces, quality, runs, simhash, substring, topk, toxicity, urlfilter, vectors, warc
 
 #: The vocabulary file; every machine has the package that holds it.
 PIECES = os.environ.get("LEAKSCAN_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -73,17 +75,53 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Word numbers of a text whose end repeats a stretch, for a tenth of the ids; None for the others."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, sf_dir, "documents"), edit=planted).withColumn("r", runs.longest(F.col("runs")))
+    milli = F.expr("1000 * r.length div r.period")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", milli.alias("exponent_milli"), F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_urls, op3_decontamination, op4_pieces, op5_warc, op6_vectors, op7_simhash, op8_toxicity, op9_substrings, op10_hmm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_urls, op3_decontamination, op4_pieces, op5_warc, op6_vectors, op7_simhash, op8_toxicity, op9_substrings, op10_hmm, op11_runs, op12_topk, op13_negatives, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)))"""
+
+
+def _integers(factor: int, columns: str, where: str = "true") -> str:
+    """Numbered rows of embeddings whose vectors take part, e their integers."""
+    return f"""SELECT row_number() OVER () AS r, {columns}, list_transform(embedding, lambda x: floor({factor} * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {where}"""
+
+
 SQL = {
     "op3_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -120,4 +158,34 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM s WHERE r >
 words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
 kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_runs": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w, {_CRC32} AS h FROM documents),
+g AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM b),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 6], ' ') AS x FROM (SELECT doc_id, n, w, unnest(range(n - 5)) AS i FROM t)),
+pairs AS (SELECT u.doc_id, u.i, v.i - u.i AS p FROM grams u JOIN grams v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i AND 2 * (v.i - u.i) <= u.n),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM pairs),
+found AS (SELECT doc_id, min(i) AS start, count(*) + 5 + p AS length, p FROM islands GROUP BY doc_id, p, k HAVING count(*) + 5 >= p AND count(*) + 5 + p >= 12),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM found GROUP BY doc_id, start, length),
+l AS (SELECT doc_id, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length, first(period ORDER BY length DESC, start, period) AS period,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+words AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS c FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256 FROM t LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_topk": f"""
+WITH v AS MATERIALIZED ({_integers(1024, "vec_id")}),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score, c.r AS cr FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 10""",
+    "op13_negatives": f"""
+WITH v AS MATERIALIZED ({_integers(256, "vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "label IS NOT NULL")}),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score, c.r AS cr, a.label = c.label AS alike FROM v a JOIN v c ON a.r <> c.r AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, cr AS pr FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.pr ORDER BY s.score DESC, s.vec_id, s.cr) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
