@@ -27,6 +27,8 @@ SAMPLE_PAGES = 400
 DICTIONARY_BYTES = 64 << 10
 ARCHIVE_BYTES = 32 << 20
 SALTS = 32
+#: Of an archive, given to the decoder at a time.
+PART_BYTES = 16 << 10
 
 
 class BadArchive(ValueError):
@@ -137,15 +139,17 @@ def frames(data: bytes):
             raise BadArchive(f"no frame at byte {at}")
         if decoder is None:
             decoder = _decoder(b"")
-        stream, out = decoder.decompressobj(), []
-        rest = view[at:]
-        try:
-            out.append(stream.decompress(rest))
-        except zstandard.ZstdError as e:
-            raise BadArchive(f"frame at byte {at}: {e}") from e
-        if not stream.eof:
-            raise BadArchive("a cut frame")
-        at = len(view) - len(stream.unused_data)
+        stream, out, to = decoder.decompressobj(), [], at
+        # a frame's length is not known before its end: fed in parts, no more than a part is read beyond it
+        while not stream.eof:
+            if to >= len(view):
+                raise BadArchive("a cut frame")
+            try:
+                out.append(stream.decompress(view[to : to + PART_BYTES]))
+            except zstandard.ZstdError as e:
+                raise BadArchive(f"frame at byte {at}: {e}") from e
+            to = min(len(view), to + PART_BYTES)
+        at = to - len(stream.unused_data)
         yield b"".join(out)
 
 
