@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +111,25 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def apart(docs: DataFrame, text: str, outputs: list[str], **own: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` as (rest, text, **own), rest a struct of the other columns, so that none clashes with a column the operator works with, and
+    what brings them back in their order, followed by `outputs`; columns named like an output (any case) give way."""
+    taken = {n.lower() for n in outputs}
+    keep = [c for c in docs.columns if c.lower() not in taken]
+    rest = [named(c) for c in keep if c != text] or [F.lit(0).alias("none")]
+    packed = docs.select(F.struct(*rest).alias("rest"), named(text).alias("text"), *[c.alias(n) for n, c in own.items()])
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[(F.col("text") if c == text else F.col("rest").getField(c)).alias(c) for c in keep], *outputs)
+
+    return packed, back
+
+
 # --- words --------------------------------------------------------------------------------------
 
 

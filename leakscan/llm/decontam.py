@@ -164,6 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, as they are."""
-    bad = C.Scratch(docs.sparkSession).save(contamination(docs, items).where("contaminated").select(F.col("row_key").alias("_bad")).distinct())
+    bad = C.Scratch(docs.sparkSession).save(contamination(docs.select("doc_id", "text"), items).where("contaminated").select(F.col("row_key").alias("key")).distinct())
     small = bad.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.join(F.broadcast(bad) if small else bad, "key", "left_anti").select("doc.*")

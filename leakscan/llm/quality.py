@@ -204,10 +204,12 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
         return {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))}
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return C.add_columns(docs.select("*", *_told(docs)), text, fields, fn, drop=tuple(f"_meta{k}" for k in range(len(METADATA))))
+    told = {f"_meta{k}": c for k, c in enumerate(_told(docs))}
+    rows, back = C.apart(docs, text, ["score", "predicted"], **told)
+    return back(C.add_columns(rows, "text", fields, fn, drop=tuple(told)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the machine accepts."""
-    scored = classify(docs.select(F.struct("*").alias("row"), "doc_id", "text", *[c for c in docs.columns if c.lower() in METADATA]), labels)
-    return scored.where("predicted = 1").select("row.*")
+    own, back = C.apart(docs, "text", [], doc_id=F.col("doc_id"), **{c.lower(): C.named(c) for c in docs.columns if c.lower() in METADATA})
+    return back(classify(own, labels).where("predicted = 1"))

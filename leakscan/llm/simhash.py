@@ -255,8 +255,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     # a null id counts as largest
     row = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("text_hash"))
-    ids = near_duplicates(docs.select(row().alias("_row"), "text"), "_row")
-    gone = ids.where(~F.col("_row.none") & (F.col("_row") != F.col("component_id"))).select(F.col("_row.id").alias("_gone"), F.col("_row.text_hash").alias("_gone_hash"))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("*", row().alias("_row")).select(*docs.columns, F.col("_row.id").alias("_id"), F.col("_row.text_hash").alias("_hash"))
-    kept = rows.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti").dropDuplicates(["_id", "_hash"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    ids = near_duplicates(docs.select(row().alias("row"), "text"), "row")
+    gone = ids.where(~F.col("row.none") & (F.col("row") != F.col("component_id"))).select("row.id", "row.text_hash")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct("*").alias("doc"), row().alias("row")).select("doc", "row.id", "row.text_hash")
+    kept = rows.join(gone, ["id", "text_hash"], "left_anti").dropDuplicates(["id", "text_hash"])
+    return kept.select("doc.*").unionByName(docs.where(F.col("doc_id").isNull()))

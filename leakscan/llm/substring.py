@@ -134,15 +134,16 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     kind = docs.schema[id].dataType
     fields = T.StructType([T.StructField("w", T.LongType()), T.StructField("x", T.IntegerType()), T.StructField("doc", kind)])
     first = docs.select(id, text).mapInArrow(windows, fields).groupBy("w", "x").agg(F.min("doc").alias("doc"))
-    own = first.groupBy(F.col("doc").alias("_own_id")).agg(F.collect_list("w").alias("_own"))
-    joined = docs.join(own, docs[id].eqNullSafe(own["_own_id"]), "left").drop("_own_id")
+    own = first.groupBy(F.col("doc").alias("owner")).agg(F.collect_list("w").alias("own"))
+    rows, back = C.apart(docs, text, ["n_words", "n_removed", "kept_text"], id=C.named(id))
+    joined = rows.join(own, F.col("id").eqNullSafe(F.col("owner")), "left").select("rest", "text", "own")
 
     def judge(batch, texts):
         offsets, flat, _, starts, key = candidates(texts)
         rows = C.rows_of(offsets)
         gone = np.zeros(len(flat), bool)
         if len(starts):
-            own = batch.column("_own")
+            own = batch.column("own")
             of = np.repeat(np.arange(len(own)), np.asarray(pc.fill_null(pc.list_value_length(own), 0)))
             salt = np.uint64(0x9E3779B97F4A7C15)
             kept = C.mix(np.asarray(own.flatten(), dtype=np.int64).view(np.uint64) + of.astype(np.uint64) * salt)
@@ -160,7 +161,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
         return {"n_words": pa.array(n), "n_removed": pa.array(lost), "kept_text": left.cast(pa.string())}
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return C.add_columns(joined, text, fields, judge, drop=("_own",))
+    return back(C.add_columns(joined, "text", fields, judge, drop=("own",)))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -168,10 +169,9 @@ def clean(docs: DataFrame) -> DataFrame:
 
     No row goes: a document that was all repetition stays with an empty text. n_chars follows the text.
     """
-    columns = docs.columns
-    out = remove_repeats(docs)
-    lost = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(columns)
+    own = docs.select(F.struct(*[C.named(c) for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
+    out, lost = remove_repeats(own), F.col("n_removed") > 0
+    new = {"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return out.select(*[(new[c] if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns])

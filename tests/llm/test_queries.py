@@ -11,8 +11,8 @@ def test_query_equals_sql(spark, name):
     compare(QUERIES[name](spark, DATA), SQL[name])
 
 
-def test_ten_operators_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+def test_all_operators_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"pipeline"}))
