@@ -15,6 +15,12 @@ def any_of(col: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.rlike(ascii_words(p)) for p in patterns], F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body reads it, inside lambdas too: the optimiser can't copy a lambda's
+    variable to where it is read, as it does with a column."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def utf16_length(s: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.length(s) + F.length(F.regexp_replace(s, r"[^\x{10000}-\x{10FFFF}]", ""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.functions import fixed
+from leakscan.functions import fixed, text
 from leakscan.functions.dialect import SPACE
 from leakscan.functions.text import any_of, trim_unicode
 
@@ -30,57 +30,69 @@ def _events(lines: Column) -> Column:
     return F.array_join(F.transform(lines, event), "")
 
 
-def _blocks(events: Column) -> Column:
-    """(begin, end) line numbers of block comments: open after begin, up to end itself."""
-    found = F.regexp_extract_all(events, F.lit("o[^c]*c?"), F.lit(0))
-    gaps = F.transform(F.split(events, "o[^c]*c?"), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
-    pairs = F.transform(found, lambda b, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), F.length(b).alias("size")))
-    step = lambda a, p: F.struct(
-        (a["at"] + p["gap"] + p["size"]).alias("at"),
-        F.array_append(a["out"], F.struct((a["at"] + p["gap"]).alias("begin"), (a["at"] + p["gap"] + p["size"] - 1).alias("end"))).alias("out"),
-    )
-    return F.aggregate(pairs, start, step)["out"]
+def _inside(events: Column) -> Column:
+    """One letter a line: i inside a block comment (after the line that opens it, up to the one that closes it), else the event."""
+    # a line is inside if the one before opens, or is inside itself (the last match ends here) and doesn't close
+    return F.regexp_replace(events, r"(?<=o).|(?!^)\G(?<!c).", "i")
 
 
-def in_comment(line: Column, line_no: Column, blocks: Column) -> Column:
-    inside = F.exists(blocks, lambda b: (line_no > b["begin"]) & (line_no <= b["end"]))
+def in_comment(line: Column, inside: Column) -> Column:
     return inside | line.contains("/*") | _single(line)
 
 
+def _near_changed(changed: Column, n: Column) -> Column:
+    """One letter a line: x within CHANGED_NEAR lines of a changed one."""
+    own = F.array_sort(F.array_distinct(F.filter(changed, lambda c: (c >= -CHANGED_NEAR) & (c < n + CHANGED_NEAR))))
+    own = F.transform(own, lambda c: c + CHANGED_NEAR)  # from 0, so that lines beyond both ends count too
+    gaps = lambda a: F.transform(a, lambda c, i: c - F.when(i == 0, F.lit(0)).otherwise(F.get(a, i - 1) + 1))
+    marks = text.let(own, lambda a: F.concat(F.array_join(F.transform(gaps(a), lambda g: F.concat(F.repeat(F.lit("."), g), F.lit("x"))), ""), F.repeat(F.lit("."), n + 2 * CHANGED_NEAR)))
+    # what follows or precedes an x by that much
+    spread = F.regexp_replace(marks, f"(?<=x.{{0,{CHANGED_NEAR - 1}}}).|.(?=.{{0,{CHANGED_NEAR - 1}}}x)", "x")
+    return F.substring(spread, F.lit(CHANGED_NEAR + 1), n)
+
+
 def with_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
     """`files` (content, optional changed_lines), a row each, with content replaced by n_lines and lines (line_no from 0, line,
     in_comment, surrounding).
 
     Lines end at \\n only. surrounding holds up to five lines before, then five after. Lines go out if
     changed_lines is not empty and none of it is within two lines, or if `keep` (of a column named line)
-    is false. A null content has null lines and n_lines.
+    is false. A null content has null lines and n_lines. Time is linear in a file's lines.
     """
+    content, incremental = F.col("content"), "changed_lines" in files.columns
+    some = F.array().cast("array<string>")
+
+    def neighbours(all_, n, i):
+        before = F.slice(all_, F.greatest(F.lit(1), i - NEAR + 1), F.least(i, F.lit(NEAR)))
+        after = F.slice(all_, F.least(i + 2, n + 1), F.least(F.lit(NEAR), n - i - 1))
+        return F.concat(F.when(i > 0, before).otherwise(some), F.when(i < n - 1, after).otherwise(some))
+
+    def lines(all_, inside, near):
+        n = F.size(all_)
+        at = F.transform(all_, lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
+        if incremental:
+            at = F.filter(at, lambda r: F.coalesce(F.size("changed_lines") <= 0, F.lit(True)) | (F.get(near, r["line_no"]) == "x"))
+        if keep is not None:
+            at = F.filter(at, lambda r: keep(r["line"]))
+
+        def row(r):
+            own = [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], F.get(inside, r["line_no"]) == "i").alias("in_comment")]
+            return F.struct(*own, *([neighbours(all_, n, r["line_no"]).alias("surrounding")] if surrounding else []))
+
+        return F.transform(at, row)
+
+    near_of = lambda all_: F.split(_near_changed(F.col("changed_lines"), F.size(all_)), "") if incremental else some
+    own = text.let(F.split(content, "\n"), lambda all_: text.let(F.split(_inside(_events(all_)), ""), lambda inside: text.let(near_of(all_), lambda near: lines(all_, inside, near))))
+    n = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
     columns = [c for c in files.columns if c not in ("content", "changed_lines")]
-    cut = files.withColumn("_lines", F.split("content", "\n"))
-    cut = cut.withColumn("_blocks", _blocks(_events(F.col("_lines"))))
-    at = F.transform(F.col("_lines"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    if "changed_lines" in files.columns:
-        near = lambda r: F.exists("changed_lines", lambda c: F.abs(c - r["line_no"]) <= CHANGED_NEAR)
-        at = F.filter(at, lambda r: F.coalesce(F.size("changed_lines") <= 0, F.lit(True)) | near(r))
-    if keep is not None:
-        at = F.filter(at, lambda r: keep(r["line"]))
-    n = F.size("_lines")
-
-    def neighbours(i):
-        before = F.slice("_lines", F.greatest(F.lit(1), i - NEAR + 1), F.least(i, F.lit(NEAR)))
-        after = F.slice("_lines", F.least(i + 2, n + 1), F.least(F.lit(NEAR), n - i - 1))
-        return F.concat(F.when(i > 0, before).otherwise(F.array().cast("array<string>")), F.when(i < n - 1, after).otherwise(F.array().cast("array<string>")))
-
-    fields = lambda r: [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], r["line_no"], F.col("_blocks")).alias("in_comment")]
-    at = F.transform(at, lambda r: F.struct(*fields(r), *([neighbours(r["line_no"]).alias("surrounding")] if surrounding else [])))
-    return cut.select(*columns, F.when(F.col("_lines").isNotNull(), n).alias("n_lines"), at.alias("lines"))
+    return files.select(*columns, n.alias("n_lines"), F.when(content.isNotNull(), own).alias("lines"))
 
 
 def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
     """The lines of `with_lines`, a row each."""
     own = with_lines(files.where(F.col("content").isNotNull()), keep, surrounding)
-    return own.select(*[c for c in own.columns if c != "lines"], F.inline("lines"))
+    # for an outer generator no filter is inferred, which would compute the lines again; files without lines go by theirs
+    return own.select(*[c for c in own.columns if c != "lines"], F.inline_outer("lines")).where("line_no is not null")
 
 
 def adjacent(surrounding: Column) -> Column:

@@ -25,6 +25,18 @@ from leakscan.plans import config as K
 from leakscan.sources.state import written
 
 
+#: What a scan reads of a file's row.
+INPUTS = ("file_uri", "content", "language_id", "changed_lines")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """`rows` with the columns that `extra` packs, but for those named like one of their own (any case)."""
+    own = [c for c in rows.columns if c != "extra"]
+    taken, kind = {c.lower() for c in own}, rows.schema["extra"].dataType
+    more = [c for c in getattr(kind, "names", []) if c.lower() not in taken]
+    return rows.select(*own, *[F.col("extra").getField(c).alias(c) for c in more])
+
+
 @dataclass
 class Scanner:
     """What a scan needs besides files."""
@@ -49,16 +61,20 @@ class Scanner:
 
     def read(self, files: DataFrame) -> DataFrame:
         """The one pass over `files` (file_uri, content, optional language_id, changed_lines), written once: a row per row with row_id,
-        risk, n_lines (0 for excluded files) and lines, those that hold a candidate value, with their neighbours."""
+        risk, n_lines (0 for excluded files) and lines, those that hold a candidate value, with their neighbours. Further columns are
+        packed as `extra`, where none clashes with the scan's."""
         i = self.config["ignore"]
-        out = files.withColumn("risk", paths.risk(F.col("file_uri"), tuple(i["paths"]), i["useDefaultIgnorePaths"])).withColumn("row_id", F.monotonically_increasing_id())
+        extra = [c for c in files.columns if c not in INPUTS]
+        packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in extra]) if extra else F.lit(None).cast("int")
+        out = files.select(*[c for c in files.columns if c in INPUTS], packed.alias("extra"))
+        out = out.withColumn("risk", paths.risk(F.col("file_uri"), tuple(i["paths"]), i["useDefaultIgnorePaths"])).withColumn("row_id", F.monotonically_increasing_id())
         excluded = F.coalesce(F.col("risk") == "EXCLUDED", F.lit(False))
         content = F.coalesce("content", F.lit(""))
         off = F.substring_index(content, "\n", 1).contains("leakscan-disable-file") if self.config["options"]["skipFilesMarkedDisabled"] else F.lit(False)
         has = lambda line: line.rlike("[\"'`=]") & (F.size(S.candidate_values(line)) > 0)
-        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "_off": off}), keep=has)
-        lines = F.when(~F.col("_off"), F.col("lines"))
-        return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("_off"))
+        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=has)
+        lines = F.when(~F.col("off"), F.col("lines"))
+        return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("off"))
 
     def lines(self, read: DataFrame) -> DataFrame:
         """The lines of `read` that may hold a secret, with their keyword hits."""
@@ -69,8 +85,9 @@ class Scanner:
         return out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "row_id", "line_no"))
 
     def candidates(self, files: DataFrame) -> DataFrame:
-        """Candidate values of lines with a keyword, a dictionary name or a keyword beside them."""
-        return self._candidates(self.read(files))
+        """Candidate values of lines with a keyword, a dictionary name or a keyword beside them. The files' further columns come along,
+        but for those named like a column of the scan."""
+        return unpacked(self._candidates(self.read(files)))
 
     def _candidates(self, read: DataFrame) -> DataFrame:
         lines = self.lines(read)
@@ -81,8 +98,9 @@ class Scanner:
         return out.withColumn("cand_id", F.concat_ws(":", "line_id", "start_pos", "quote"))
 
     def scored(self, files: DataFrame) -> DataFrame:
-        """Candidates with all layers, reductions, score, its explanation, severity, suppression key and id."""
-        return self._scored(self.read(files))
+        """Candidates with all layers, reductions, score, its explanation, severity, suppression key and id. The files' further columns
+        come along, but for those named like a column of the scan."""
+        return unpacked(self._scored(self.read(files)))
 
     def _scored(self, read: DataFrame) -> DataFrame:
         c = written(self._candidates(read))
