@@ -111,5 +111,5 @@ def finding_id(uri: Column, line_no: Column, start: Column, value: Column) -> Co
 
 
 def suppression_key(uri: Column, line_no: Column, line: Column, rule: Column) -> Column:
-    """SHA-256 of uri:line number:trimmed line:rule, 'unknown' without a rule."""
-    return F.sha2(F.concat(uri, F.lit(":"), line_no.cast("string"), F.lit(":"), trim_unicode(line), F.lit(":"), F.coalesce(rule, F.lit("unknown"))), 256)
+    """SHA-256 of uri:line number:trimmed line:rule, 'unknown' without a rule, an empty uri without one."""
+    return F.sha2(F.concat(F.coalesce(uri, F.lit("")), F.lit(":"), line_no.cast("string"), F.lit(":"), trim_unicode(line), F.lit(":"), F.coalesce(rule, F.lit("unknown"))), 256)

@@ -50,12 +50,6 @@ def build(fragments: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("name").alias("keyword"), "group", "source")
 
 
-def consistency(index: DataFrame, groups: DataFrame) -> DataFrame:
-    """Where index (keyword, group) and groups (group, keyword) disagree: keyword, in_index, in_groups."""
-    a, b = index.select("keyword", F.col("group").alias("in_index")), groups.select("keyword", F.col("group").alias("in_groups"))
-    return a.join(b, "keyword", "full_outer").where(~F.col("in_index").eqNullSafe(F.col("in_groups")))
-
-
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(keyword, group, source) of group files {name, keywords}; a keyword listed twice keeps the group first by name."""
     rows = spark.read.schema("name string, keywords array<string>").option("multiLine", True).json(path).select(F.col("name").alias("group"), F.explode("keywords").alias("keyword"))

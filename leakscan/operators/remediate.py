@@ -49,6 +49,49 @@ def upsert_env(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     return e.join(w, "key", "full_outer").select("key", F.when(action == "rejected", F.col("old")).otherwise(F.coalesce("new", "old")).alias("value"), action.alias("action"))
 
 
+_END = "\\r?\\n|\\r"
+
+
+def upsert_text(files: DataFrame, wanted: DataFrame, date: Column) -> DataFrame:
+    """(file_uri, text, replaced, appended, unchanged, rejected) of env files (file_uri, text) after `wanted` (file_uri, ord, key, value).
+
+    A key keeps the place of its first line and that line's ending, whatever it is; other lines stay byte for byte. A key that the file
+    lacks is appended under a comment with `date`, in order of ord, behind an empty line but in an empty file. Of several values for a key
+    the last by ord counts, in the place of the first. Names other than capitals, digits and underscores are rejected. A file that only
+    `wanted` names, or whose text is null, is made; null uris are left out.
+
+    Lines meet their edits by (file, key); a file's lines are gathered again as the one row that it came in.
+    """
+    # a line with its ending is a piece; lookbehinds cut without taking anything
+    pieces = F.posexplode(F.split("text", r"(?<=\n)|(?<=\r)(?!\n)"))
+    own = files.where(F.col("file_uri").isNotNull()).select("file_uri", F.coalesce("text", F.lit("")).alias("text"))
+    lines = own.select("file_uri", pieces.alias("pos", "piece")).withColumn("key", F.regexp_extract("piece", r"^([A-Z_][A-Z0-9_]*)=", 1))
+    order = F.struct("ord", "value")
+    edits = wanted.where(F.col("file_uri").isNotNull()).groupBy("file_uri", "key").agg(F.max_by("value", order).alias("value"), F.min(order).alias("first"))
+    valid = F.coalesce(F.col("key").rlike(KEY), F.lit(False))
+    first = lines.where("key <> ''").groupBy("file_uri", "key").agg(F.min("pos").alias("pos"))
+    edits = edits.join(first, ["file_uri", "key"], "left").withColumn("valid", valid)
+    # in place
+    place = edits.where("valid and pos is not null").select("file_uri", "pos", F.col("value").alias("new"))
+    rows = lines.join(place, ["file_uri", "pos"], "left")
+    ending = F.regexp_extract("piece", rf"({_END})?\z", 0)
+    old = F.regexp_replace(F.substring("piece", F.instr("piece", "=") + 1, F.length("piece")), rf"(?:{_END})\z", "")
+    edited = F.col("new").isNotNull()
+    piece = F.when(edited, F.concat("key", F.lit("="), "new", ending)).otherwise(F.col("piece"))
+    body = rows.groupBy("file_uri").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda p: p["piece"]), "").alias("body"),
+        F.count_if(edited & (old != F.col("new"))).alias("replaced"), F.count_if(edited & (old == F.col("new"))).alias("unchanged"),
+    )
+    # at the end
+    entry = F.struct("first", F.concat(F.lit("# Added on "), date, F.lit("\n"), F.col("key"), F.lit("="), F.coalesce("value", F.lit("")), F.lit("\n")).alias("entry"))
+    new = F.col("valid") & F.col("pos").isNull()
+    added = edits.groupBy("file_uri").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(new, entry))), lambda e: e["entry"]), "\n").alias("tail"), F.count_if(new).alias("appended"), F.count_if(~F.col("valid")).alias("rejected"))
+    out = body.join(added, "file_uri", "full_outer")
+    head, tail, zero = F.coalesce("body", F.lit("")), F.coalesce("tail", F.lit("")), F.lit(0)
+    text = F.concat(head, F.when((head != "") & (tail != ""), "\n").otherwise(""), tail)
+    return out.select("file_uri", text.alias("text"), *[F.coalesce(c, zero).alias(c) for c in ("replaced", "appended", "unchanged", "rejected")])
+
+
 def missing_entries(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """Ignore entries that no line (column line) holds yet."""
     have = lines.select(F.trim("line").alias("entry")).where("entry <> '' and not startswith(entry, '#')").distinct()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
 from leakscan.operators import gates as G
+from leakscan.operators.intervals import locate
 from leakscan.operators.paths import base_name
 
 
@@ -127,8 +128,8 @@ def diagnostics(findings: DataFrame) -> DataFrame:
 
 def at_position(findings: DataFrame, places: DataFrame) -> DataFrame:
     """Findings under places (file_uri, line_no, pos): the literal with its quotes."""
-    inside = (F.col("pos") >= F.col("start_pos") - 1) & (F.col("pos") <= F.col("end_pos") + 1)
-    return places.join(findings, ["file_uri", "line_no"]).where(inside)
+    ranged = findings.withColumns({"from_pos": F.col("start_pos") - 1, "to_pos": F.col("end_pos") + 1})
+    return locate(places, ranged, ["file_uri", "line_no"], "pos", "from_pos", "to_pos").drop("from_pos", "to_pos")
 
 
 def filter_findings(findings: DataFrame, severity: str | None = None, query: str = "") -> DataFrame:
@@ -139,12 +140,14 @@ def filter_findings(findings: DataFrame, severity: str | None = None, query: str
 
 
 def export(history: DataFrame, suppressions: DataFrame, statistics: DataFrame, at: Column, k: int = 100) -> DataFrame:
-    """One JSON document: the time, the statistics, the k latest detections and all suppressions' keys; no values."""
-    latest = history.orderBy(F.desc("detected_at"), "suppression_key").limit(k).agg(F.collect_list(F.struct("detected_at", "severity", "file_name", "rule_id", "is_fixed")).alias("history"))
-    kept = suppressions.agg(F.collect_list(F.struct("suppression_key", "file_uri", "line_no", "reason")).alias("suppressions"))
-    stats = statistics.select(F.struct("*").alias("statistics"))
-    doc = stats.join(latest, F.lit(True)).join(kept, F.lit(True))
-    return doc.select(F.to_json(F.struct(at.alias("generatedAt"), "statistics", "history", "suppressions")).alias("value"))
+    """(section, ord, payload) of a report, a JSON text a row: the time with the statistics, the k latest detections numbered from the
+    newest, and every suppression's key, whose rows have no number. Nothing is gathered, and no row carries a value."""
+    newest = Window.orderBy(F.desc("detected_at"), "suppression_key")
+    latest = history.orderBy(F.desc("detected_at"), "suppression_key").limit(k).withColumn("ord", F.row_number().over(newest))  # k rows
+    row = lambda section, df, ord_, *columns: df.select(F.lit(section).alias("section"), ord_.cast("int").alias("ord"), F.to_json(F.struct(*columns)).alias("payload"))
+    out = row("report", statistics, F.lit(0), at.alias("generatedAt"), F.struct("*").alias("statistics"))
+    out = out.unionByName(row("history", latest, F.col("ord"), "detected_at", "severity", "file_name", "rule_id", "is_fixed"))
+    return out.unionByName(row("suppressions", suppressions, F.lit(None), "suppression_key", "file_uri", "line_no", "reason"))
 
 
 def health(rules: DataFrame, keywords: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -70,11 +70,19 @@ def _usable(jvm, pattern: str) -> bool:
     return True
 
 
-def derive_keywords(rule_id: str) -> list[str]:
-    """For rules without keywords: the id's telling parts, alone and, if there are several, together with and without dashes; sorted."""
-    parts = [p for p in re.split("[^a-z0-9]+", rule_id.lower()) if p and p not in fixed.COMMON_PARTS]
-    together = ["-".join(parts), "".join(parts)] if len(parts) > 1 else []
-    return sorted({k for k in [*parts, *together] if len(k) > 1})
+def derived_keywords(rule_id: Column) -> Column:
+    """For rules without keywords: the id's telling parts and, if there are several, both ways to write them as one; sorted."""
+    words = F.filter(F.split(F.lower(rule_id), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(fixed.COMMON_PARTS))
+    joins = F.when(F.size(words) > 1, F.array(F.array_join(words, "-"), F.array_join(words, ""))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(words, joins), lambda k: F.length(k) > 1)))
+
+
+def derive_keywords(spark: SparkSession, rule_ids: list[str]) -> dict[str, list[str]]:
+    """The derived keywords of some rules, at most MOST_RULES."""
+    if not rule_ids:
+        return {}
+    rows = spark.createDataFrame([(i,) for i in rule_ids], "rule_id string")
+    return {r.rule_id: r.k for r in rows.select("rule_id", derived_keywords(F.col("rule_id")).alias("k")).collect()}
 
 
 def compile_rules(spark: SparkSession, data: dict, derive: bool = True) -> RuleSet:
@@ -87,6 +95,7 @@ def compile_rules(spark: SparkSession, data: dict, derive: bool = True) -> RuleS
     if len(data["rules"]) > MOST_RULES:
         raise BadRules(f"more than {MOST_RULES} rules")
     jvm, out = spark._jvm, RuleSet([], [])
+    derived = derive_keywords(spark, [r["id"] for r in data["rules"] if r.get("id") and not r.get("keywords")] if derive else [])
     for r in data["rules"]:
         source = r.get("regex")
         java = rule_regex(source) if source else None
@@ -96,7 +105,7 @@ def compile_rules(spark: SparkSession, data: dict, derive: bool = True) -> RuleS
         out.rules.append(
             {"rule_id": r["id"], "description": r.get("description") or "", "java_regex": java, "n_groups": groups(source), "rule_entropy": float(r.get("entropy") or 0), "secret_group": int(r.get("secretGroup") or 0), "path_regex": r.get("path"), "generic": r["id"].lower().startswith("generic-")}
         )
-        out.keywords += [(k.lower(), r["id"]) for k in r.get("keywords") or (derive_keywords(r["id"]) if derive else [])]
+        out.keywords += [(k.lower(), r["id"]) for k in r.get("keywords") or derived.get(r["id"], [])]
         for i, a in enumerate(r.get("allowlists") or ([r["allowlist"]] if r.get("allowlist") else [])):
             regexes = [p for p in ("(?iu)" + rule_regex(x) for x in a.get("regexes") or [] if "(?s:" not in x) if _usable(jvm, p)]
             paths = [p for p in ("(?iu)" + rule_regex(x) for x in a.get("paths") or []) if _usable(jvm, p)]
@@ -122,11 +131,28 @@ def keyword_pattern(keywords: list[str]) -> str:
     return branch(own) if own else r"(?!)"
 
 
+def _layers(keywords: list[str]) -> list[list[str]]:
+    """The keywords in layers, in none of which one begins with another: as many layers as the longest chain of such."""
+    depth: dict[str, int] = {}
+    for k in sorted({k for k in keywords if k}):  # what a keyword begins with comes before it
+        depth[k] = 1 + max((depth[k[:n]] for n in range(1, len(k)) if k[:n] in depth), default=-1)
+    out: list[list[str]] = [[] for _ in range(1 + max(depth.values(), default=-1))]
+    for k, d in depth.items():
+        out[d].append(k)
+    return out
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """The keywords that `text` holds, case-blind, in their order. One alternation spares most texts the list."""
+    """The distinct keywords that `text` holds, case-blind.
+
+    One alternation spares most texts the search. The search reads the text once a layer, looking ahead from every place into a trie:
+    in a layer at most one keyword begins at a place, so none is missed, and the cost does not grow with the keywords' number.
+    """
     low = F.lower(text)
-    all_ = F.split(F.lit("\n".join(keywords)), "\n")
-    return F.when(low.rlike(keyword_pattern(keywords)), F.filter(all_, lambda k: F.contains(low, k))).otherwise(F.array().cast("array<string>"))
+    found = [F.regexp_extract_all(low, F.lit(f"(?=({keyword_pattern(own)}))"), F.lit(1)) for own in _layers(keywords)]
+    if not found:
+        return F.array().cast("array<string>")
+    return F.when(low.rlike(keyword_pattern(keywords)), F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
 
 
 def collisions(keywords: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ def counts(suppressions: DataFrame) -> DataFrame:
 
 
 def new_findings(findings: DataFrame, previous: DataFrame) -> DataFrame:
-    """Findings of files whose last scan did not have their key."""
-    return findings.join(previous.select("file_uri", "suppression_key").distinct(), ["file_uri", "suppression_key"], "left_anti")
+    """Findings of files whose last scan did not have their key; files without a uri are one file."""
+    own = previous.select("file_uri", "suppression_key").distinct().toDF("uri", "key")
+    return findings.join(own, findings["file_uri"].eqNullSafe(own["uri"]) & (findings["suppression_key"] == own["key"]), "left_anti")
 
 
 def replace_files(results: DataFrame, scanned: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.functions import fixed, text
+from leakscan.functions import sql as sql_functions
+from leakscan.operators import assets, ignores, intervals, keywords, layers, lines, literals, paths, registry, remediate, report, suppress
 from leakscan.operators import gates as G
 from leakscan.operators import identifiers as I
-from leakscan.operators import ignores, layers, lines, literals, paths, registry, remediate, report, suppress
 from leakscan.operators import rules as R
 from leakscan.plans.scan import Scanner
 from leakscan.sources import files as S
-from leakscan.sources.state import written
+from leakscan.sources.state import drop_paths, scratch_path, written
+from leakscan.streaming import memory
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -321,28 +323,109 @@ def j1_j4_triggered_rules(spark, sf_dir):
     return out.join(F.broadcast(sc.keywords_df(spark)), "keyword").select("file_uri", "line_no", "rule_id").distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query(f"WITH {_DIM} SELECT keyword, count(DISTINCT rule_id) AS n_rules, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rule_ids FROM k GROUP BY keyword HAVING count(DISTINCT rule_id) > 1")
+#: Keywords that the parts claim: each word of a part's name, for the part's brand.
+_CLAIMS = "cl AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS keyword, p_brand AS rule_id FROM part)"
+
+
+def _claims(spark, sf_dir):
+    words = F.explode(F.split(F.lower("p_name"), " ")).alias("keyword")
+    return table(spark, sf_dir, "part").select(words, F.col("p_brand").alias("rule_id")).distinct()
+
+
+@query(f"WITH {_CLAIMS} SELECT keyword, count(*) AS n_rules, array_to_string(list_sort(list(rule_id)), ',') AS rule_ids FROM cl GROUP BY keyword HAVING count(*) > 1")
 def a14_s10_collisions(spark, sf_dir):
-    out = R.collisions(R.compile_rules(spark, R.load()).keywords_df(spark))
-    return out.select("keyword", "n_rules", F.array_join("rule_ids", ",").alias("rule_ids"))
+    """Words of the parts' names that several brands claim."""
+    return R.collisions(_claims(spark, sf_dir)).select("keyword", "n_rules", F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+_PART_TEXTS = "t AS (SELECT l_orderkey, l_linenumber, 'order ' || l_orderkey || ': ' || upper(p_name) || ' ' || p_partkey || ' x' || CAST(l_quantity AS INTEGER) AS line FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"WITH {_PART_TEXTS}, k AS (SELECT DISTINCT lower(p_name) || ' ' || p_partkey AS keyword FROM part UNION SELECT DISTINCT lower(p_brand) FROM part) SELECT keyword, count(*) AS n_lines FROM t JOIN k ON contains(lower(line), keyword) GROUP BY keyword")
+def j2_part_keywords(spark, sf_dir):
+    """A keyword for every part, in a line for every order line: the keywords grow with the table."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    own = p.select(F.concat_ws(" ", "p_name", "p_partkey").alias("keyword")).union(p.select("p_brand"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    line = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(": "), F.upper("p_name"), F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" x"), F.col("l_quantity").cast("int").cast("string"))
+    return keywords.hits(rows.select(line.alias("text")), own).groupBy("keyword").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+# Rules of unlike shape, a JSON text for every event.
+def _rule_texts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    names = F.transform(F.sequence(F.lit(1), k % 4 + 1), lambda n: F.concat(F.upper("event_type"), F.lit("_"), (n + i % 50).cast("string")))
+    lists = F.array(F.struct(F.when(i % 2 == 0, F.array(F.lit("^x"))).alias("regexes"), F.when(i % 3 == 0, F.lit("line")).alias("regexTarget"), F.when(i % 4 == 0, F.array(F.lit("test"))).alias("stopwords")))
+    entropy = F.when(i % 5 < 3, k.cast("string"))
+    made = F.to_json(F.struct(F.concat(F.lit("r"), i.cast("string")).alias("id"), F.when(i % 7 > 0, names).alias("keywords"), F.when(i % 5 == 3, k).alias("entropy"), entropy.alias("level"), F.when(i % 11 == 0, lists).alias("allowlists")))
+    # some write the entropy as text, and some texts are cut
+    made = F.when(i % 5 == 4, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit(',"entropy":"high"}'))).otherwise(made)
+    return e.select(F.when(i % 97 == 0, F.substring(made, F.lit(1), F.length(made) - 2)).otherwise(made).alias("json"))
+
+
+_RULE_ROWS = "e AS (SELECT event_id AS i, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), o AS (SELECT * FROM e WHERE i % 97 <> 0)"
+
+
+@query(f"""WITH {_RULE_ROWS}, f AS (SELECT 'id' AS field, 'STRING' AS type, count(*) AS n FROM o UNION ALL SELECT 'keywords', 'ARRAY', count(*) FROM o WHERE i % 7 > 0 UNION ALL SELECT 'entropy', 'BIGINT', count(*) FROM o WHERE i % 5 = 3
+UNION ALL SELECT 'entropy', 'STRING', count(*) FROM o WHERE i % 5 = 4 UNION ALL SELECT 'level', 'STRING', count(*) FROM o WHERE i % 5 < 3 UNION ALL SELECT 'allowlists', 'ARRAY', count(*) FROM o WHERE i % 11 = 0
+UNION ALL SELECT 'allowlists[].regexes', 'ARRAY', count(*) FROM o WHERE i % 11 = 0 AND i % 2 = 0 UNION ALL SELECT 'allowlists[].regexTarget', 'STRING', count(*) FROM o WHERE i % 11 = 0 AND i % 3 = 0
+UNION ALL SELECT 'allowlists[].stopwords', 'ARRAY', count(*) FROM o WHERE i % 11 = 0 AND i % 4 = 0)
+SELECT field, CAST(sum(n) AS BIGINT) AS n_rules, string_agg(type, ',' ORDER BY type) AS types FROM f WHERE n > 0 GROUP BY field""")
+def a14_field_usage(spark, sf_dir):
+    """Which fields rules use, and of what types, where no two rules need to agree."""
+    return assets.field_usage(assets.parsed(_rule_texts(spark, sf_dir), "json")).select("field", "n_rules", F.array_join("types", ",").alias("types"))
+
+
+@query(f"""WITH {_RULE_ROWS}, s AS (SELECT array_to_string(list_sort(list_filter([CASE WHEN i % 11 = 0 THEN 'allowlists' END, CASE WHEN i % 5 > 2 THEN 'entropy' END, 'id', CASE WHEN i % 7 > 0 THEN 'keywords' END, CASE WHEN i % 5 < 3 THEN 'level' END], lambda x: x IS NOT NULL)), ',') AS fields FROM o UNION ALL SELECT NULL FROM e WHERE i % 97 = 0)
+SELECT fields, count(*) AS n_rules FROM s GROUP BY fields""")
+def a14_shapes(spark, sf_dir):
+    return assets.shapes(assets.parsed(_rule_texts(spark, sf_dir), "json"))
+
+
+@query(f"WITH {_RULE_ROWS} SELECT CAST(CASE WHEN i % 97 > 0 AND i % 7 > 0 THEN k % 4 + 1 ELSE 0 END AS INTEGER) AS n_keywords, count(*) AS n_rules FROM e GROUP BY 1")
+def a14_keyword_counts(spark, sf_dir):
+    return assets.keyword_histogram(assets.parsed(_rule_texts(spark, sf_dir), "json"))
+
+
+@query(f"""WITH {_RULE_ROWS}, c AS (SELECT DISTINCT lower(event_type) || '_' || (unnest(range(1, k % 4 + 2)) + i % 50) AS keyword, 'r' || i AS rule_id FROM o WHERE i % 7 > 0)
+SELECT keyword, count(*) AS n_rules, sha256(array_to_string(list_sort(list(rule_id)), ',')) AS rules_sha256 FROM c GROUP BY keyword HAVING count(*) > 1""")
+def s10_claimed_keywords(spark, sf_dir):
+    """Keywords that rules of unlike shape share."""
+    out = R.collisions(assets.claimed(assets.parsed(_rule_texts(spark, sf_dir), "json")))
+    return out.select("keyword", "n_rules", F.sha2(F.array_join("rule_ids", ","), 256).alias("rules_sha256"))
 
 
 _TITLE = "list_transform({}, lambda x: upper(x[1]) || x[2:])"
-_SEEDS = ", ".join(f"({lit(g)}, {i}, {lit(k)}, {j})" for i, (g, ks) in enumerate(I.SEED.items()) for j, k in enumerate(ks))
+_FRAGMENTS = "fr AS (SELECT p_brand AS grp, CAST(substr(p_brand, 7) AS INTEGER) AS group_ord, replace(lower(p_name), ' ', '_') || '_' || p_partkey % 400 AS keyword, p_partkey AS keyword_ord FROM part)"
+
 
+def _fragments(spark, sf_dir):
+    """Keywords of the parts, with their brands as groups; many are claimed by several."""
+    name = F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")), F.lit("_"), (F.col("p_partkey") % 400).cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.substring("p_brand", 7, 9).cast("int").alias("group_ord"), name.alias("keyword"), F.col("p_partkey").alias("keyword_ord"), F.lit("part").alias("source"))
 
-@query(f"""WITH s AS (SELECT *, string_split(keyword, '_') AS w FROM (VALUES {_SEEDS}) t(grp, group_ord, keyword, keyword_ord)),
+
+_DICTIONARY = f"""{_FRAGMENTS}, s AS (SELECT *, string_split(keyword, '_') AS w FROM fr),
 n AS (SELECT grp, group_ord, keyword_ord, unnest([keyword, upper(keyword), w[1] || array_to_string({_TITLE.format('w[2:]')}, ''), array_to_string({_TITLE.format('w')}, ''), array_to_string(w, '-'), array_to_string(w, ''), upper(array_to_string(w, ''))]) AS name FROM s),
-f AS (SELECT name AS keyword, arg_min(grp, group_ord * 1000 + keyword_ord) AS grp FROM n GROUP BY name)
-SELECT keyword, grp AS "group", 'seed' AS source, trim(regexp_replace(lower(grp), '[^a-z0-9]+', '-', 'g'), '-') || '.json' AS file FROM f""")
+f AS (SELECT name AS keyword, arg_min(grp, CAST(group_ord AS BIGINT) * 100000000 + keyword_ord) AS grp FROM n GROUP BY name)"""
+
+
+@query(f"""WITH {_DICTIONARY} SELECT keyword, grp AS "group", 'part' AS source, trim(regexp_replace(lower(grp), '[^a-z0-9]+', '-', 'g'), '-') || '.json' AS file FROM f""")
 def s9_w5_dictionary(spark, sf_dir):
-    return I.seed(spark).withColumn("file", I.file_name(F.col("group")))
+    """A dictionary built from the parts: every spelling goes to the first that claims it."""
+    return I.build(_fragments(spark, sf_dir)).withColumn("file", I.file_name(F.col("group")))
 
 
-@query()
+@query(f"""WITH {_DICTIONARY}, g AS (SELECT keyword, CASE WHEN crc % 211 = 0 THEN 'other' ELSE grp END AS grp FROM (SELECT *, length(keyword) * 31 + ascii(keyword[-1:]) * 17 + ascii(keyword[1:1]) AS crc FROM f) WHERE crc % 307 <> 0)
+SELECT keyword, f.grp AS in_index, g.grp AS in_groups FROM f FULL JOIN g USING (keyword) WHERE f.grp IS DISTINCT FROM g.grp""")
 def s7_j12_consistency(spark, sf_dir):
-    own = I.seed(spark)
-    return own.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(I.consistency(own, own).groupBy(F.col("in_index").alias("group")).agg(F.count(F.lit(1)).alias("bad")), "group", "left").select("group", "n", F.coalesce("bad", F.lit(0)).alias("bad"))
+    """The dictionary of the parts against a copy with rows moved and rows missing."""
+    index = written(I.build(_fragments(spark, sf_dir)))
+    k = F.col("keyword")
+    mark = F.length(k) * 31 + F.ascii(F.substring(k, -1, 1)) * 17 + F.ascii(k)
+    copy = index.where(mark % 307 != 0).select("keyword", F.when(mark % 211 == 0, "other").otherwise(F.col("group")).alias("group"))
+    return assets.consistency(index, copy)
 
 
 @query()
@@ -352,10 +435,12 @@ def j3_groups(spark, sf_dir):
     return I.resolve(out.select(F.explode(literals.identifiers(F.col("line"))).alias("name")), I.seed(spark))
 
 
-@query("SELECT 12 AS rules, " + f"{len(_KEYWORDS)} AS rule_keywords")
+@query(f"""WITH {_CLAIMS}, d AS (SELECT DISTINCT lower(c_name) AS keyword, c_mktsegment AS grp FROM customer)
+SELECT (SELECT count(*) FROM part) AS rules, (SELECT count(DISTINCT keyword) FROM cl) AS rule_keywords, (SELECT count(*) FROM d) AS names, (SELECT count(DISTINCT grp) FROM d) AS groups""")
 def a15_health(spark, sf_dir):
-    rs = R.compile_rules(spark, R.load())
-    return report.health(rs.rules_df(spark), rs.keywords_df(spark), I.seed(spark)).select(F.col("rules").cast("int").alias("rules"), F.col("rule_keywords").cast("int").alias("rule_keywords"))
+    """Sizes of dimensions made from parts and customers."""
+    names = table(spark, sf_dir, "customer").select(F.lower("c_name").alias("keyword"), F.col("c_mktsegment").alias("group")).distinct()
+    return report.health(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id")), _claims(spark, sf_dir), names)
 
 
 # --- scan ---------------------------------------------------------------------------------------
@@ -621,10 +706,126 @@ def k9_example_sync(spark, sf_dir):
     return remediate.sync_example(s, s.where("s_suppkey % 4 = 0")).select("key", "value")
 
 
-@query("SELECT entry FROM (VALUES " + ", ".join(f"({lit(e)})" for e in fixed.RECOMMENDED_IGNORES) + ") t(entry) WHERE entry NOT IN ('.env', '*.pem')")
+@query("""WITH h AS (SELECT CASE c_custkey % 5 WHEN 0 THEN '# /out/' ELSE '  /out/' END || c_nationkey || '/' || c_custkey % 50 || CASE c_custkey % 3 WHEN 0 THEN ' ' ELSE '' END AS line FROM customer),
+e AS (SELECT DISTINCT '/out/' || s_nationkey || '/' || s_suppkey % 60 AS entry FROM supplier)
+SELECT entry FROM e WHERE entry NOT IN (SELECT trim(line) FROM h WHERE NOT starts_with(trim(line), '#'))""")
 def k8_j10_missing_ignores(spark, sf_dir):
-    have = spark.createDataFrame([(" .env ",), ("# *.key",), ("*.pem",)], "line string")
-    return remediate.missing_entries(have, spark.createDataFrame([(e,) for e in fixed.RECOMMENDED_IGNORES], "entry string"))
+    """Ignore entries for the suppliers that the lines of the customers lack."""
+    k = F.col("c_custkey")
+    tail = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("/"), b.cast("string"))
+    line = F.concat(F.when(k % 5 == 0, "# /out/").otherwise("  /out/"), tail("c_nationkey", k % 50), F.when(k % 3 == 0, " ").otherwise(""))
+    entries = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/out/"), tail("s_nationkey", F.col("s_suppkey") % 60)).alias("entry")).distinct()
+    return remediate.missing_entries(table(spark, sf_dir, "customer").select(line.alias("line")), entries)
+
+
+_ENV_FILES = """c AS (SELECT c_custkey AS i, c_nationkey AS f, 'C' || c_custkey % 800 AS key, CAST(c_acctbal AS VARCHAR) AS v, CASE WHEN c_nationkey % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS nl FROM customer),
+own AS (SELECT *, CASE WHEN i % 10 = 4 THEN '# ' || key || '=' || v ELSE key || '=' || v END AS line, i % 10 <> 4 AS live FROM c WHERE i % 3 > 0),
+w AS (SELECT f, key, min(i) AS first, arg_max(CASE WHEN i % 2 = 0 THEN v ELSE 'x' END, i) AS new FROM c WHERE i % 5 > 1 GROUP BY f, key)"""
+
+
+@query(f"""WITH {_ENV_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY f, key, live ORDER BY i) AS n FROM own),
+m AS (SELECT r.f, r.i, r.nl, r.line, r.v, CASE WHEN live AND n = 1 THEN w.new END AS new, r.key FROM r LEFT JOIN w ON w.f = r.f AND w.key = r.key),
+b AS (SELECT f, string_agg(CASE WHEN new IS NULL THEN line ELSE key || '=' || new END || nl, '' ORDER BY i) AS body, count(*) FILTER (new IS NOT NULL AND new <> v) AS replaced, count(*) FILTER (new = v) AS unchanged FROM m GROUP BY f),
+a AS (SELECT f, string_agg('# Added on 2024-01-01' || chr(10) || key || '=' || new || chr(10), chr(10) ORDER BY first) AS tail, count(*) AS appended FROM w WHERE NOT EXISTS (SELECT 1 FROM own WHERE live AND own.f = w.f AND own.key = w.key) GROUP BY f)
+SELECT '/env/' || coalesce(b.f, a.f) AS file_uri, sha256(coalesce(body, '') || CASE WHEN body IS NOT NULL AND tail IS NOT NULL THEN chr(10) ELSE '' END || coalesce(tail, '')) AS text_sha256,
+coalesce(replaced, 0) AS replaced, coalesce(appended, 0) AS appended, coalesce(unchanged, 0) AS unchanged, CAST(0 AS BIGINT) AS rejected FROM b FULL JOIN a ON a.f = b.f""")
+def k6_env_text(spark, sf_dir):
+    """Env files, one for every nation's customers, edited in place: order, comments and line endings stay."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.concat(F.lit("/env/"), F.col("c_nationkey").cast("string")).alias("file_uri"), F.concat(F.lit("C"), (F.col("c_custkey") % 800).cast("string")).alias("key"),
+                                                F.col("c_acctbal").cast("string").alias("v"), F.when(F.col("c_nationkey") % 2 == 0, "\r\n").otherwise("\n").alias("nl"))
+    line = F.concat(F.when(F.col("i") % 10 == 4, "# ").otherwise(""), "key", F.lit("="), "v", "nl")
+    files = c.where("i % 3 > 0").groupBy("file_uri").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "").alias("text"))
+    want = c.where("i % 5 > 1").select("file_uri", F.col("i").alias("ord"), "key", F.when(F.col("i") % 2 == 0, F.col("v")).otherwise("x").alias("value"))
+    out = remediate.upsert_text(files, want, F.lit("2024-01-01"))
+    return out.select("file_uri", F.sha2("text", 256).alias("text_sha256"), "replaced", "appended", "unchanged", F.col("rejected").cast("long").alias("rejected"))
+
+
+# --- intervals, streams, SQL functions ----------------------------------------------------------
+
+_SPANS = "sp AS (SELECT event_id AS span_id, event_type, epoch_us(ts) // 1000 AS from_ms, epoch_us(ts) // 1000 + (CASE WHEN event_id % 50 = 0 THEN 720 ELSE event_id % 40 END) * 60000 AS to_ms FROM events WHERE event_type = 'purchase' OR event_id % 10 = 0)"
+
+
+@query(f"WITH {_SPANS} SELECT span_id, count(*) AS n_events, min(event_id) AS first_event FROM sp JOIN events e ON e.event_type = sp.event_type AND epoch_us(e.ts) // 1000 BETWEEN from_ms AND to_ms GROUP BY span_id")
+def j8_events_in_spans(spark, sf_dir):
+    """Events within spans of very unlike lengths that begin at other events of their type."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    i = F.col("event_id")
+    minutes = F.when(i % 50 == 0, 720).otherwise(i % 40)
+    spans = e.where((F.col("event_type") == "purchase") | (i % 10 == 0)).select("event_type", i.alias("span_id"), F.col("at").alias("from_ms"), (F.col("at") + minutes * 60_000).alias("to_ms"))
+    return intervals.locate(e, spans, ["event_type"], "at", "from_ms", "to_ms").groupBy("span_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+
+
+def _event_stream(spark, sf_dir):
+    """The events as a stream; the pattern lets a single file be one."""
+    path = f"{sf_dir}/events.parque[t]"
+    e = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(path)
+    return e.select(F.col("user_id").cast("string").alias("file_uri"), F.col("event_type").alias("suppression_key"), F.col("ts").cast("timestamp").alias("at"))
+
+
+def _ran(spark, stream: DataFrame, schema: str, mode: str = "append") -> DataFrame:
+    """What a stream gives, in a table of the shared folder; the checkpoint goes with the run."""
+    out, checkpoint = scratch_path(spark), scratch_path(spark)
+    memory.run_once(stream, out, checkpoint, mode)
+    drop_paths(spark, checkpoint)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, event_type AS k, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY u, k ORDER BY t) <= 86400000 THEN 0 ELSE 1 END AS cut FROM e),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY u, k ORDER BY t ROWS UNBOUNDED PRECEDING) AS z FROM g), a AS (SELECT u, k, z, min(t) AS f, max(t) AS l, count(*) AS n, max(z) OVER (PARTITION BY u, k) AS last FROM s GROUP BY u, k, z)
+SELECT u AS file_uri, k AS suppression_key, 'new' AS event, f AS first_ms, f AS last_ms, CAST(1 AS BIGINT) AS n FROM a
+UNION ALL SELECT u, k, 'expired', f, l, n FROM a WHERE z < last OR l + 86400000 <= (SELECT max(t) - 3600000 FROM e)""")
+def st5_st6_sightings(spark, sf_dir):
+    """New and expired detections of the event stream, kept in keyed state until a day has passed without one."""
+    return _ran(spark, memory.sightings(_event_stream(spark, sf_dir), quiet=24 * 3600_000, late=3600_000), memory.SIGHTING)
+
+
+@query("""WITH s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u, date_trunc('day', ts) AS d, event_type AS k FROM events), d AS (SELECT u, d, lag(d) OVER (PARTITION BY u ORDER BY d) AS before, lead(d) OVER (PARTITION BY u ORDER BY d) AS after FROM (SELECT DISTINCT u, d FROM s))
+SELECT s.u AS file_uri, CAST(s.d AS TIMESTAMP) AS at, s.k AS suppression_key, 'new' AS event FROM s JOIN d USING (u, d) WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.u = s.u AND p.d = d.before AND p.k = s.k)
+UNION ALL SELECT s.u, CAST(d.after AS TIMESTAMP), s.k, 'gone' FROM s JOIN d USING (u, d) WHERE d.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.u = s.u AND p.d = d.after AND p.k = s.k)""")
+def st4_st5_scan_changes(spark, sf_dir):
+    """Each user's day of events as a scan: what it found that the day before had not, and what was gone."""
+    scans = _event_stream(spark, sf_dir).withColumn("at", F.date_trunc("day", "at"))
+    return _ran(spark, memory.scan_changes(scans), memory.CHANGE, "update")
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS value FROM l), {_entropy_sql('w')}, m AS (SELECT doc_id, count(DISTINCT line_no) AS lines_with_words, count(*) AS n_words, max(e) AS top FROM w JOIN es USING (value) GROUP BY doc_id)
+SELECT doc_id, lines_with_words, n_words, round(top, 6) + 0.0 AS top_entropy, CASE {" ".join(f"WHEN round(top, 6) / 5 >= {x} THEN '{n}'" for n, _, x in fixed.SEVERITIES)} END AS severity FROM m""")
+def p10_f11_sql_functions(spark, sf_dir):
+    """The session's SQL functions and table functions in a SQL text: a text's lines, their words, the highest entropy and its severity."""
+    sql_functions.register(spark)
+    docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.sql(
+        """WITH words AS (SELECT doc_id, l.line_no, w.word FROM {docs} d, LATERAL lines_of(d.text) l, LATERAL words_of(l.line) w),
+        top AS (SELECT doc_id, count(DISTINCT line_no) AS lines_with_words, count(*) AS n_words, max(shannon_entropy(word)) AS e FROM words GROUP BY doc_id)
+        SELECT doc_id, lines_with_words, n_words, round(e, 6) + 0D AS top_entropy, severity_of(round(e, 6) / 5) AS severity FROM top""", docs=docs,
+    )
+
+
+@query(f"""WITH {_HISTORY}, k AS (SELECT *, sha256(file_name || ':' || rule_id || ':' || CAST(event_id % 500 AS VARCHAR)) AS suppression_key FROM hs),
+t AS (SELECT *, row_number() OVER (ORDER BY detected_at DESC, suppression_key) AS n FROM k)
+SELECT 'report' AS section, 0 AS ord, (SELECT CAST(count(*) AS VARCHAR) FROM k) AS a, NULL AS b UNION ALL SELECT 'history', CAST(n AS INTEGER), file_name, severity FROM t WHERE n <= 100
+UNION ALL SELECT 'suppressions', NULL, suppression_key, file_name FROM k WHERE event_id % 5 = 0""")
+def k2_export(spark, sf_dir):
+    """The report's rows, with what their JSON texts hold."""
+    k = _keyed(spark, sf_dir)
+    ignored = k.where("event_id % 5 = 0").select("suppression_key", F.col("file_name").alias("file_uri"), F.lit(1).alias("line_no"), F.lit("test").alias("reason"))
+    out = report.export(k, ignored, k.agg(F.count(F.lit(1)).alias("detected")), F.lit("2024-01-01"))
+    j = lambda path: F.get_json_object("payload", path)
+    return out.select("section", "ord", F.coalesce(j("$.statistics.detected"), j("$.file_name"), j("$.suppression_key")).alias("a"), F.coalesce(j("$.severity"), j("$.file_uri")).alias("b"))
+
+
+_CHANGED = "ch AS (SELECT '/corpus/' || source || '/' || CAST(doc_id AS VARCHAR) AS file_uri, CASE WHEN doc_id % 4 > 0 THEN [doc_id % 7, doc_id % 7 + doc_id % 23, doc_id % 50] END AS changed FROM documents)"
+
+
+@query(f"WITH {_lines(_DOCS)}, {_CHANGED} SELECT file_uri, line_no, sha256(line) AS line_sha256 FROM l JOIN ch USING (file_uri) WHERE changed IS NULL OR len(list_filter(changed, lambda c: abs(c - line_no) <= 2)) > 0")
+def f3_changed_lines(spark, sf_dir):
+    """Lines within two of a changed one, where a file says which changed."""
+    d = F.col("doc_id")
+    uri = F.concat(F.lit("/corpus/"), "source", F.lit("/"), d.cast("string"))
+    changed = F.when(d % 4 > 0, F.array(d % 7, d % 7 + d % 23, d % 50).cast("array<int>"))
+    files = S.spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select(uri.alias("file_uri"), F.col("text").alias("content"), changed.alias("changed_lines"))
+    return lines.split_lines(files, surrounding=False).select("file_uri", "line_no", F.sha2("line", 256).alias("line_sha256"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder as Parquet, where several branches of a plan read what they need of it."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if owners := getattr(_local, "owners", None):
+        owners[-1].append(path)
+    return out
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_paths(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_local = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that `written` makes inside, in this thread, are removed at the end: for work whose results are stored, such as a stream's
+    batch."""
+    _local.owners = [*getattr(_local, "owners", []), []]
+    try:
+        yield
+    finally:
+        drop_paths(spark, *_local.owners.pop())
 
 
 class StateStore:

@@ -96,22 +96,23 @@ class _LastScan(StatefulProcessor):
     """Map state: the keys that a file's last scan found; value state: when that was."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "suppression_key string", "at timestamp")
-        self.scanned = handle.getValueState("scanned", "at timestamp")
+        self.held = handle.getMapState("held", "suppression_key string", "at_us long")
+        self.scanned = handle.getValueState("scanned", "at_us long")
 
     def handleInputRows(self, key, rows, timerValues):
-        scans: dict = {}
+        scans, when = {}, {}
         for r in rows:
-            scans.setdefault(r.at, set()).update(set() if r.suppression_key is None else {r.suppression_key})
+            when[r.at_us] = r.at
+            scans.setdefault(r.at_us, set()).update(set() if r.suppression_key is None else {r.suppression_key})
         last = (self.scanned.get() or (None,))[0]
         held = {k[0] for k in self.held.keys()}
         for at in sorted(a for a in scans if last is None or a > last):
             for k in sorted(scans[at] - held):
                 self.held.updateValue((k,), (at,))
-                yield Row(file_uri=key[0], at=at, suppression_key=k, event="new")
+                yield Row(file_uri=key[0], at=when[at], suppression_key=k, event="new")
             for k in sorted(held - scans[at]):
                 self.held.removeKey((k,))
-                yield Row(file_uri=key[0], at=at, suppression_key=k, event="gone")
+                yield Row(file_uri=key[0], at=when[at], suppression_key=k, event="gone")
             held, last = scans[at], at
         if last is not None:
             self.scanned.update((last,))
@@ -127,7 +128,7 @@ def scan_changes(scans: DataFrame) -> DataFrame:
     Rows of one file and time are one scan; a scan without findings is a row with a null key. A scan comes in one batch; one that is
     not later than the file's last is passed over. Rows without a time are left out.
     """
-    own = scans.where(F.col("at").isNotNull()).select("file_uri", F.col("at").cast("timestamp").alias("at"), "suppression_key")
+    own = scans.where(F.col("at").isNotNull()).select("file_uri", F.col("at").cast("timestamp").alias("at"), "suppression_key").withColumn("at_us", F.unix_micros("at"))
     return own.groupBy("file_uri").transformWithState(_LastScan(), CHANGE, "Update", "None")
 
 
@@ -175,9 +176,12 @@ def unsuppressed(edits: DataFrame, ttl: int) -> DataFrame:
 # --- running ------------------------------------------------------------------------------------
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Takes what a stream has and appends what comes out to a Parquet table at `path`; a later run goes on from the checkpoint."""
-    sink = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", one_batch: bool = False) -> None:
+    """Takes what a stream has and appends what comes out to a Parquet table at `path`; a later run goes on from the checkpoint.
+
+    Streams on the clock (`unsuppressed`) never run dry, as time alone may change what they hold: they take `one_batch`.
+    """
+    sink = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**({"once": True} if one_batch else {"availableNow": True}))
     with rocksdb(stream.sparkSession):
         if mode == "append":
             query = sink.format("parquet").option("path", path).start()

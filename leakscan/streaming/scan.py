@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.operators import suppress
 from leakscan.plans.scan import Scanner
-from leakscan.sources.state import StateStore, written
+from leakscan.sources.state import StateStore, scratch, written
 
 RESULT = "file_uri string, line_no int, start_pos int, end_pos int, severity string, score double, rule_id string, suppression_key string"
 _SCANS = RESULT + ", batch long"
@@ -57,9 +57,10 @@ def merge_batch(scanner: Scanner, state: StateStore, files: DataFrame, batch: in
     # of several edits of a file the last counts
     last = files.groupBy("file_uri").agg(F.max_by(F.struct("content", "changed_lines"), "ts").alias("e")).select("file_uri", "e.*")
     columns = [c.split()[0] for c in RESULT.split(", ")]
-    fresh = written(scanner.findings(last, suppressions).select(*columns))
-    state.save("new", suppress.new_findings(fresh, results(state, batch, last)), batch)
-    state.save("scans", last.select("file_uri").join(fresh, "file_uri", "left").select(*columns, F.lit(batch).cast("long").alias("batch")), batch)
+    with scratch(files.sparkSession):  # the scan's tables go with the batch
+        fresh = written(scanner.findings(last, suppressions).select(*columns))
+        state.save("new", suppress.new_findings(fresh, results(state, batch, last)), batch)
+        state.save("scans", last.select("file_uri").join(fresh, "file_uri", "left").select(*columns, F.lit(batch).cast("long").alias("batch")), batch)
     if (batch + 1) % COMPACT == 0:
         state.save("base", results(state, batch + 1), batch + 1)
         kept = batch + 1 - COMPACT
