@@ -57,6 +57,10 @@ def scratch(spark: SparkSession):
         drop_paths(spark, *_local.owners.pop())
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
 class StateStore:
     """Versioned Parquet tables under a folder that all machines share."""
 
@@ -84,6 +88,32 @@ class StateStore:
         n = version if version is not None else (self.versions(key) or [-1])[-1] + 1
         df.write.mode("overwrite").parquet(f"{self.folder}/{key}/v{n}")
 
+    def commit(self, key: str, df: DataFrame, after: int | None) -> int:
+        """Writes `df` as the version that follows `after` (None: the first) and returns its number.
+
+        The table is written aside and takes its place by one rename, which fails if another writer has taken it: of two writers that
+        read the same version one gets Conflict, and has to read again. For keys that are always written so.
+        """
+        n = 0 if after is None else after + 1
+        if (self.versions(key) or [None])[-1] != after:
+            raise Conflict(f"{key}: {after} is not the latest version")
+        aside = f"{self.folder}/{key}/_{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        source, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{key}/v{n}")
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        fs = source.getFileSystem(conf)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(source).toUri(), conf).rename(source, target, options)
+        except Exception as e:
+            fs.delete(source, True)
+            if fs.exists(target):
+                raise Conflict(f"{key}: version {n} was written by another") from e
+            raise
+        return n
+
     def load(self, key: str, schema: str | T.StructType, before: int | None = None) -> DataFrame:
         """The latest version (below `before`), or an empty table."""
         own = [v for v in self.versions(key) if before is None or v < before]
