@@ -828,6 +828,137 @@ def f3_changed_lines(spark, sf_dir):
     return lines.split_lines(files, surrounding=False).select("file_uri", "line_no", F.sha2("line", 256).alias("line_sha256"))
 
 
+# --- operators over candidates made from customers -----------------------------------------------
+# The SQL knows what each kind of row is, so it needs none of the engine's patterns.
+
+
+@query(f"WITH {_MADE} SELECT file_uri, start_pos, rule_id, sha256(file_uri || ':0:' || start_pos || ':' || sha256(value)) AS finding_id FROM found")
+def p15_made_finding_ids(spark, sf_dir):
+    return Scanner.default(spark).scored(_made_files(spark, sf_dir)).select("file_uri", "start_pos", "rule_id", "finding_id")
+
+
+_RIVALS = {"rules": [
+    {"id": "acme-b", "regex": "acme_[0-9a-f]+", "keywords": ["acme"], "entropy": 2.5}, {"id": "acme-a", "regex": "acme_[0-9a-f]{20}", "keywords": ["ACME"]},
+    {"id": "generic-token", "regex": 'token\\s*=\\s*"([^"]{8,})"', "keywords": ["token"], "secretGroup": 1},
+]}
+
+
+@query("""WITH c AS (SELECT c_custkey AS cand_id, c_custkey % 6 AS kind, sha256(c_name)[1:20] AS h FROM customer)
+SELECT cand_id, CASE kind WHEN 2 THEN 'generic-token' ELSE 'acme-a' END AS rule_id, CASE kind WHEN 2 THEN h ELSE 'acme_' || h END AS matched_value, CAST(CASE kind WHEN 2 THEN 0.8 WHEN 5 THEN 0.85 ELSE 0.92 END AS DOUBLE) AS l1_score, kind <> 2 AS known_provider,
+CASE kind WHEN 0 THEN 'acme-a:0.92,acme-b:0.92' WHEN 1 THEN 'acme-a:0.92,acme-b:0.92,generic-token:0.8' WHEN 2 THEN 'generic-token:0.8' ELSE 'acme-a:0.85,acme-b:0.85' END AS matched FROM c WHERE kind IN (0, 1, 2, 5)""")
+def l1b_l1c_f14_w4_rivals(spark, sf_dir):
+    """Of several rules that match the best counts, provider rules before generic ones; a match beside the value rejects a rule."""
+    k, h = F.col("c_custkey"), F.substring(F.sha2("c_name", 256), 1, 20)
+    own, near = F.concat(F.lit("acme_"), h), F.concat(F.lit("val-"), F.substring(h, 1, 8))
+    line = F.concat(F.lit('x = "'), own, F.lit('"'))
+    kind = (k % 6).cast("int")
+    line = F.when(kind == 0, line).when(kind == 1, F.concat(F.lit('token = "'), own, F.lit('"'))).when(kind == 2, F.concat(F.lit('token = "'), h, F.lit('"'))).when(kind == 3, "see acme here").when(kind == 4, F.concat(own, F.lit(' and "'), near, F.lit('"'))).otherwise("the acme value is elsewhere")
+    value = F.when(kind == 2, h).when(kind == 3, "nothing").when(kind == 4, near).otherwise(own)
+    rules = R.compile_rules(spark, _RIVALS)
+    rows = table(spark, sf_dir, "customer").select(k.alias("cand_id"), value.alias("value"), line.alias("line"), F.lit("/a").alias("path"), R.keyword_hits(line, rules.keyword_set).alias("db1_hits"))
+    shown = F.array_join(F.transform("all_matched", lambda m: F.concat_ws(":", m["rule_id"], m["score"].cast("string"))), ",")
+    return R.match_rules(rows, rules).select("cand_id", "rule_id", "matched_value", "l1_score", "known_provider", shown.alias("matched"))
+
+
+_ALLOWED = {"rules": [
+    {"id": "r0", "regex": "x", "keywords": ["x"], "allowlists": [{"stopwords": ["R#0", "007"]}]}, {"id": "r1", "regex": "x", "keywords": ["x"], "allowlists": [{"regexes": ["#0+[1-9]*5$"]}]},
+    {"id": "r2", "regex": "x", "keywords": ["x"], "allowlists": [{"condition": "AND", "regexes": ["[02468]$"], "paths": ["/EVEN/"]}]},
+    {"id": "r3", "regex": "x", "keywords": ["x"], "allowlists": [{"stopwords": ["none"], "regexTarget": "line", "regexes": ["note$"]}, {"regexes": ["[37]$"]}]},
+]}
+
+
+@query("""WITH c AS (SELECT c_custkey AS cand_id, c_custkey % 4 AS r, c_name AS v, c_nationkey % 2 = 0 AS even, c_custkey % 3 = 0 AS note FROM customer), x AS (SELECT cand_id, CASE
+WHEN r = 0 THEN 'stopword match: "r#0"' WHEN r = 1 AND regexp_matches(v, '#0+[1-9]*5$') THEN 'OR condition met' WHEN r = 2 AND even AND v[-1:] IN ('0', '2', '4', '6', '8') THEN 'AND condition met (regex + path)'
+WHEN r = 3 AND (note OR v[-1:] IN ('3', '7')) THEN 'OR condition met' END AS rule_reason FROM c) SELECT * FROM x WHERE rule_reason IS NOT NULL""")
+def f8_rule_allowlists(spark, sf_dir):
+    """Stop words, patterns on value or line, and conditions with paths."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("cand_id"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("rule_id"), F.col("c_name").alias("value"), F.concat("c_name", F.when(k % 3 == 0, " note").otherwise(" x")).alias("line"),
+        F.when(F.col("c_nationkey") % 2 == 0, "/a/even/b").otherwise("/a/odd/b").alias("path"),
+    )
+    return R.allowlisted(rows, R.compile_rules(spark, _ALLOWED))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 8 AS kind FROM customer) SELECT id, CASE kind WHEN 0 THEN 'Inline suppression comment' WHEN 1 THEN 'Rule allowlist: x' WHEN 2 THEN 'Global allowlist pattern' WHEN 3 THEN 'Global stopword: "demo"'
+WHEN 4 THEN 'Developer stopword: "mine"' WHEN 5 THEN 'Developer pattern: ^keep-' WHEN 6 THEN 'Inline suppression comment' END AS reason FROM c""")
+def f7_f9_allow_cascade(spark, sf_dir):
+    """All steps of the cascade, of which the first counts; a stop word inside a longer word is none."""
+    k = F.col("c_custkey")
+    kind, n = (k % 8).cast("int"), k.cast("string")
+    value = F.when(kind == 2, F.concat(F.lit("http://localhost:"), n)).when(kind == 3, F.concat(F.lit("Demo-Q"), n)).when(kind == 4, F.concat(F.lit("q"), n, F.lit("-mine"))).when(kind == 5, F.concat(F.lit("KEEP-"), n)).when(kind == 7, F.concat(F.lit("xdemox"), n)).otherwise(F.concat(F.lit("keep-demo-"), n))
+    line = F.concat(F.lit("v = "), value, F.when(kind == 0, " # nosec").when(kind == 6, " // own-mark").otherwise(""))
+    rows = written(table(spark, sf_dir, "customer").select(k.alias("id"), value.alias("value"), line.alias("line"), F.when(kind == 1, "x").alias("rule_reason")))
+    return rows.select("id", G.allow_reason(F.col("value"), F.col("line"), F.col("rule_reason"), fixed.DEVELOPER_STOPWORDS, ["^keep-"], ["own-mark"]).alias("reason"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 5 AS a, c_custkey // 5 % 3 AS p, c_custkey // 15 % 2 AS h FROM customer)
+SELECT id, round(least(1.0, least(0.55, a * 0.2) + least(0.25, p * 0.2) + h * 0.1 + CASE WHEN a > 0 AND p > 0 THEN 0.1 ELSE 0.0 END) + 0.0::DOUBLE, 6) AS l4_score FROM c""")
+def l4_a9_other_literals(spark, sf_dir):
+    """What literals beside the value say: distinct ones count once, the value itself not at all."""
+    k = F.col("c_custkey")
+    some = lambda n, word: F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < n), lambda i: F.concat(F.lit(f'f("{word} '), i.cast("string"), F.lit(f'", "plain", "{word.upper()} '), i.cast("string"), F.lit('")')))
+    around = F.concat(some(k % 5, "bearer"), some(F.floor(k / 5) % 3, "stripe"), F.when(F.floor(k / 15) % 2 == 1, F.array(F.lit("go('endpoint q', `endpoint q`)"))).otherwise(F.array().cast("array<string>")), F.array(F.lit('"a bearer value"')))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.round(layers.string_score(F.lit("a bearer value"), F.lit('x = "a bearer value"'), around), 6).alias("l4_score"))
+
+
+_KINDS = ["AWS", "Misc", "Generic Secrets", "Stripe", "Other"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, unnest(range(c_custkey % 7)) AS i, c_custkey AS k FROM customer), s AS (SELECT id, i, [{in_list(_KINDS)}][(k + i * i) % 5 + 1] AS g, (k // 7 + i * 5) % 6 AS d FROM c),
+w AS (SELECT *, CAST([{", ".join(map(str, fixed.DISTANCE_WEIGHTS))}][d + 1] AS DOUBLE) AS w, CASE WHEN g IN ('Misc', 'Other') THEN CAST(0.7 AS DOUBLE) ELSE 1 END AS v FROM s),
+t AS (SELECT id, least(1.0, sum(w * v) / sum(w) + least(0.2, (count(DISTINCT g) - 1) * 0.05) + CASE WHEN min(d) = 0 THEN 0.1 ELSE 0.0 END) AS score FROM w GROUP BY id),
+f AS (SELECT id, string_agg(g, ',' ORDER BY d, i) AS groups FROM (SELECT id, g, min(d) AS d, min(i) AS i FROM s GROUP BY id, g) GROUP BY id)
+SELECT c_custkey AS id, round(coalesce(CAST(score AS DOUBLE), 0.0), 6) AS l3_score, coalesce(groups, '') AS groups FROM customer LEFT JOIN t ON t.id = c_custkey LEFT JOIN f ON f.id = c_custkey""")
+def l3_l3b_made_signals(spark, sf_dir):
+    """The context score and the groups, over signals of every distance."""
+    k = F.col("c_custkey")
+    at = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < k % 7)
+    distance = lambda i: ((F.floor(k / 7) + i * 5) % 6).cast("int")
+    signals = F.transform(at, lambda i: F.struct(i.alias("ord"), F.lit("x").alias("identifier"), F.get(F.lit(_KINDS), ((k + i * i) % 5).cast("int")).alias("group"), distance(i).alias("distance"), F.get(F.lit(fixed.DISTANCE_WEIGHTS), distance(i)).alias("weight")))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), signals.alias("signals"))
+    return rows.select("id", F.round(layers.context_score(F.col("signals")), 6).alias("l3_score"), F.array_join(layers.matched_groups(F.col("signals")), ",").alias("groups"))
+
+
+@query(f"""WITH {_HISTORY}, f AS (SELECT *, {_RANK} AS rank, event_id % 100 + 1 AS line FROM hs WHERE severity IS NOT NULL)
+SELECT file_name AS file_uri, sha256(string_agg('  [' || upper(severity) || '] line ' || line || ': ' || coalesce(rule_id, 'unknown'), chr(10) ORDER BY rank DESC, line, severity, rule_id)) AS text_sha256 FROM f GROUP BY file_name""")
+def a12_by_file(spark, sf_dir):
+    """Each file's findings as a text, worst first."""
+    found = history(spark, sf_dir).where("severity is not null").select(F.col("file_name").alias("file_uri"), "severity", (F.col("event_id") % 100).cast("int").alias("line_no"), "rule_id")
+    return report.by_file(found).select("file_uri", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""WITH {_lines(_PAGES)}, n AS (SELECT file_uri, line_no, list_concat(ls[greatest(1, line_no - 4):line_no], ls[line_no + 2:line_no + 6]) AS s FROM l)
+SELECT file_uri, line_no, sha256(array_to_string(s[greatest(1, len(s) // 2):len(s) // 2 + 1], chr(10))) AS adjacent_sha256 FROM n""")
+def w2_adjacent(spark, sf_dir):
+    """The two lines about the middle of a line's neighbours."""
+    out = lines.split_lines(S.pages(spark, sf_dir))
+    return out.select("file_uri", "line_no", F.sha2(F.array_join(lines.adjacent(F.col("surrounding")), "\n"), 256).alias("adjacent_sha256"))
+
+
+@query(f"""WITH i AS (SELECT DISTINCT p_type || '-Access_' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '--file' WHEN 1 THEN ' ' || p_name ELSE '' END AS rule_id FROM part),
+w AS (SELECT rule_id, list_filter(string_split_regex(lower(rule_id), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({in_list(fixed.COMMON_PARTS)})) AS w FROM i)
+SELECT rule_id, array_to_string(list_sort(list_distinct(list_filter(CASE WHEN len(w) > 1 THEN list_concat(w, [array_to_string(w, '-'), array_to_string(w, '')]) ELSE w END, lambda x: length(x) > 1))), ',') AS keywords FROM w""")
+def p27_derived_keywords(spark, sf_dir):
+    """Keywords for rules that list none, from ids made of the parts."""
+    k = F.col("p_partkey") % 3
+    ids = F.concat("p_type", F.lit("-Access_"), "p_brand", F.when(k == 0, "--file").when(k == 1, F.concat(F.lit(" "), "p_name")).otherwise(""))
+    return table(spark, sf_dir, "part").select(ids.alias("rule_id")).distinct().select("rule_id", F.array_join(R.derived_keywords(F.col("rule_id")), ",").alias("keywords"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 6 AS kind, CAST(c_acctbal AS VARCHAR) AS v FROM customer)
+SELECT id, CASE kind WHEN 1 THEN v || ' ' || v ELSE v END AS value, CAST(CASE kind WHEN 1 THEN 12 ELSE 4 END AS INTEGER) AS start_pos FROM c WHERE kind < 4""")
+def p5_made_env_values(spark, sf_dir):
+    """Unquoted values: blanks and a comment around them go, lines that are no assignment have none."""
+    k, v = F.col("c_custkey"), F.col("c_acctbal").cast("string")
+    forms = {0: ("KEY=", ""), 1: ("  key.name= ", "\t"), 2: ("K = ", "  # note"), 3: ("K-1=", " #= x")}
+    line = F.concat(F.lit("9K="), v)
+    for kind, (head, tail) in forms.items():
+        line = F.when(k % 6 == kind, F.concat(F.lit(head), v, F.concat(F.lit(" "), v) if kind == 1 else F.lit(""), F.lit(tail))).otherwise(line)
+    line = F.when(k % 6 == 5, "K =   ").otherwise(line)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.inline(literals.env_value(line))).select("id", "value", "start_pos")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: what became of every file's lines and candidates."""
     return Scanner.default(spark).funnel(_all_files(spark, sf_dir))
