@@ -959,6 +959,67 @@ def p5_made_env_values(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.inline(literals.env_value(line))).select("id", "value", "start_pos")
 
 
+_NAMES = f"""pn AS (SELECT DISTINCT replace(lower(p_name), ' ', '_') AS snake, string_split(lower(p_name), ' ') AS w FROM part),
+nm AS (SELECT snake, upper(snake) AS up, w[1] || array_to_string({_TITLE.format('w[2:]')}, '') AS camel, array_to_string({_TITLE.format('w')}, '') AS pascal, replace(snake, '_', '-') AS dash, replace(snake, '_', '') AS flat FROM pn)"""
+
+
+def _part_names(spark, sf_dir):
+    """The parts' names as identifiers, each in the spellings that code uses."""
+    words = F.split(F.lower("p_name"), " ")
+    pascal = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
+    own = table(spark, sf_dir, "part").select(F.array_join(words, "_").alias("snake"), pascal.alias("pascal")).distinct()
+    return own.select("snake", "pascal", F.concat(F.lower(F.substring("pascal", 1, 1)), F.substring("pascal", F.lit(2), F.length("pascal"))).alias("camel"), F.upper("snake").alias("up"))
+
+
+@query(f"""WITH {_NAMES}, d AS (SELECT replace(lower(p_name), ' ', '_') AS snake, min(p_brand) AS grp FROM part GROUP BY 1), n AS (SELECT snake, unnest([snake, up, camel, 'get' || pascal, 'set' || pascal, 'is' || pascal]) AS name FROM nm)
+SELECT DISTINCT name, grp AS "group", snake AS matched_variant FROM n JOIN d USING (snake)""")
+def j3_part_names(spark, sf_dir):
+    """Names in several spellings, found through their forms in a dictionary that lists one; others are not found."""
+    own = _part_names(spark, sf_dir)
+    listed = table(spark, sf_dir, "part").groupBy(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")).alias("keyword")).agg(F.min("p_brand").alias("group"))
+    names = F.array("snake", "up", "camel", *[F.concat(F.lit(p), "pascal") for p in ("get", "set", "is", "xx")], F.replace("snake", F.lit("_"), F.lit("-")))
+    return I.resolve(own.select(F.explode(names).alias("name")), listed)
+
+
+@query(f"""WITH {_NAMES} SELECT snake AS name, array_to_string([snake, up, camel, pascal, dash], ',') AS variants, array_to_string([snake, up, camel, pascal, dash, flat, upper(flat)], ',') AS listed FROM nm
+UNION ALL SELECT camel, array_to_string([camel, flat, upper(flat), snake, up, dash], ','), array_to_string([camel, snake, up, pascal, dash, flat, upper(flat)], ',') FROM nm""")
+def p16_p17_part_variants(spark, sf_dir):
+    """Spellings of snake_case and camelCase names, for lookups and for a dictionary's builder."""
+    own = _part_names(spark, sf_dir).select(F.explode(F.array("snake", "camel")).alias("name"))
+    return own.select("name", F.array_join(text.case_variants(F.col("name")), ",").alias("variants"), F.array_join(I.builder_variants(F.col("name")), ",").alias("listed"))
+
+
+@query(f"""WITH {_NAMES}, l AS (SELECT unnest([camel, pascal, snake, up, snake]) AS name FROM nm) SELECT name, count(*) AS n FROM l GROUP BY name""")
+def p6_made_identifiers(spark, sf_dir):
+    """Names in lines of code: not those in literals and comments, not keywords and single letters."""
+    line = lambda form: F.format_string(form, "camel", "pascal", "snake", "up")
+    code = F.array(line("const %1$s = %2$s(\"lit %3$s\", 'x%4$s'); // %1$s"), line("if (%3$s > a) return %4$s /* %1$s */ # %2$s"), line("`%1$s` + %3$s - 12"))
+    lines_ = _part_names(spark, sf_dir).select(F.explode(code).alias("line"))
+    return lines_.select(F.explode(literals.identifiers(F.col("line"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS v, sha256(c_name)[1:c_custkey % 6 + 5] AS h, repeat(' ', c_custkey % 4) AS pad FROM customer), l AS (SELECT id, v AS value, length(pad) + 3 AS s, '"' AS quote FROM c
+UNION ALL SELECT id, v, length(pad) + 3 + length(v) + 4, '"' FROM c UNION ALL SELECT id, h, length(pad) + 3 + 2 * length(v) + 8, chr(39) FROM c UNION ALL SELECT id, 'b' || v, length(pad) + 3 + 2 * length(v) + length(h) + 12, '`' FROM c)
+SELECT id, value, CAST(s AS INTEGER) AS start_pos, CAST(s + length(value) AS INTEGER) AS end_pos, quote FROM l WHERE length(value) >= 8""")
+def p3_made_literals(spark, sf_dir):
+    """Literals of three kinds with positions; one occurs twice, short ones are left out."""
+    k, v = F.col("c_custkey"), F.col("c_name")
+    h = F.substring(F.sha2(v, 256), F.lit(1), (k % 6 + 5).cast("int"))
+    line = F.concat(F.repeat(F.lit(" "), (k % 4).cast("int")), F.lit('f("'), v, F.lit('", "'), v, F.lit("\", '"), h, F.lit("', `b"), v, F.lit("`)"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.inline(literals.literals(line))).select("id", "value", "start_pos", "end_pos", "quote")
+
+
+@query(f"""WITH {_ENV_FILES} SELECT '/env/' || f AS file_uri, count(*) AS n_keys, sha256(string_agg(key || '=' || v, chr(10) ORDER BY i)) AS pairs_sha256 FROM own WHERE live GROUP BY f""")
+def k7_env_keys(spark, sf_dir):
+    """Keys and values of env files, one for every nation's customers."""
+    i = F.col("c_custkey")
+    nl = F.when(F.col("c_nationkey") % 2 == 0, "\r\n").otherwise("\n")
+    line = F.concat(F.when(i % 10 == 4, "# ").otherwise(""), F.lit("C"), (i % 800).cast("string"), F.lit("="), F.col("c_acctbal").cast("string"), nl)
+    files = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").groupBy(F.concat(F.lit("/env/"), F.col("c_nationkey").cast("string")).alias("file_uri")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("x")))), lambda r: r["x"]), "").alias("text"))
+    pairs = remediate.parse_env(F.col("text"))
+    return files.select("file_uri", F.size(pairs).cast("long").alias("n_keys"), F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "\n"), 256).alias("pairs_sha256"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: what became of every file's lines and candidates."""
     return Scanner.default(spark).funnel(_all_files(spark, sf_dir))
