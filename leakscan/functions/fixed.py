@@ -136,6 +136,9 @@ string credential cred
 WEIGHTS = {"regex": 0.35, "entropy": 0.20, "context": 0.20, "string_group": 0.15, "file_context": 0.10}
 #: Severity, its rank and the least score.
 SEVERITIES = [("critical", 5, 0.88), ("high", 4, 0.75), ("medium", 3, 0.65), ("low", 2, 0.55), ("informational", 1, 0.40)]
+#: How an editor marks each severity, and the theme's colour for it.
+MARKER_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "information", "informational": "hint"}
+MARKER_COLORS = {"critical": "errorForeground", "high": "charts.orange", "medium": "charts.yellow", "low": "charts.green", "informational": "charts.blue"}
 BLOCKING = {"critical": True, "high": True, "medium": False, "low": False, "informational": False}
 SHORTEST, LONGEST = 8, 512
 RECOMMENDED_IGNORES = ".env .env.local .env.*.local .env.production .env.staging .env.development *.pem *.key *.p12 *.pfx secrets.json credentials.json service-account.json .netrc".split()

@@ -112,6 +112,25 @@ def severity_rank(name: Column) -> Column:
     return out
 
 
+def _named(name: Column, words: dict[str, str]) -> Column:
+    return F.get(F.lit(list(words.values())), F.array_position(F.lit(list(words)), name).cast("int") - 1)
+
+
+def severity_label(name: Column) -> Column:
+    """The severity in words; a name that is none stays."""
+    return F.coalesce(F.when(name.isin([n for n, _, _ in fixed.SEVERITIES]), F.initcap(name)), name)
+
+
+def marker_level(name: Column) -> Column:
+    """error, warning, information or hint; warning for a name that is no severity."""
+    return F.coalesce(_named(name, fixed.MARKER_LEVELS), F.lit("warning"))
+
+
+def marker_color(name: Column) -> Column:
+    """A theme's colour; null for a name that is no severity."""
+    return _named(name, fixed.MARKER_COLORS)
+
+
 def passes(score: Column, least: float) -> Column:
     """At or above the configured score, which counts from the least severity's up."""
     return score >= max(least, fixed.SEVERITIES[-1][2])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
 from leakscan.operators import gates as G
+from leakscan.operators import remediate
 from leakscan.operators.intervals import locate
 from leakscan.operators.paths import base_name
 
@@ -126,6 +127,23 @@ def diagnostics(findings: DataFrame) -> DataFrame:
     return findings.select("file_uri", "line_no", F.greatest(F.lit(0), F.col("start_pos") - 1).alias("from_pos"), (F.col("end_pos") + 1).alias("to_pos"), "severity", text.alias("message"))
 
 
+def details(findings: DataFrame) -> DataFrame:
+    """What is shown for a finding on demand: severity in words, marker level and colour, a line for lists, and a text in Markdown with
+    confidence, kind, entropy, the layers' scores and the steps of a fix. No value is part of it."""
+    key, name = remediate.env_key(), F.coalesce("rule_id", F.get("matched_groups", 0), F.lit("Possible secret"))
+    percent = lambda c: F.format_string("%.0f%%", F.col(c) * 100)
+    kind = F.when(F.col("rule_id").isNotNull(), F.concat(F.lit("**Type:** "), "rule_id")).when(F.size("matched_groups") > 0, F.concat(F.lit("**Category:** "), F.get("matched_groups", 0)))
+    layers = {"Rules": "l1_score", "Entropy": "l2_score", "Context": "l3_score", "Strings": "l4_score", "File": "l5_score"}
+    table = F.concat_ws("\n", F.lit("| Layer | Score |"), F.lit("|-|-|"), *[F.concat(F.lit(f"| {k} | "), percent(c), F.lit(" |")) for k, c in layers.items()])
+    expr = remediate.replacement(F.col("key"), F.coalesce("language_id", F.lit("plaintext")))
+    steps = F.concat_ws("\n", F.concat(F.lit("1. Add "), "key", F.lit(" to .env")), F.concat(F.lit("2. Write "), expr, F.lit(" instead of the value")), F.lit("3. See that .env is ignored"))
+    head = F.concat(F.lit("### "), G.severity_label(F.col("severity")), F.lit(" risk"))
+    text = F.concat_ws("\n\n", head, F.format_string("**Confidence:** %.1f%%", F.col("score") * 100), kind, F.format_string("**Entropy:** %.2f", "l2_entropy"), table, steps)
+    line = F.concat(name, F.lit(" ("), percent("score"), F.lit("), line "), (F.col("line_no") + 1).cast("string"), F.lit(": "), expr)
+    shown = {"label": G.severity_label(F.col("severity")), "level": G.marker_level(F.col("severity")), "color": G.marker_color(F.col("severity")), "summary": line, "text": text}
+    return findings.withColumn("key", key).select("file_uri", "line_no", "start_pos", "severity", *[c.alias(k) for k, c in shown.items()])
+
+
 def at_position(findings: DataFrame, places: DataFrame) -> DataFrame:
     """Findings under places (file_uri, line_no, pos): the literal with its quotes."""
     ranged = findings.withColumns({"from_pos": F.col("start_pos") - 1, "to_pos": F.col("end_pos") + 1})

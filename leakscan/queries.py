@@ -544,6 +544,18 @@ def k1_p22_p26_made_diagnostics(spark, sf_dir):
     return report.diagnostics(Scanner.default(spark).findings(_made_files(spark, sf_dir)))
 
 
+@query(f"""WITH {_MADE}, d AS (SELECT *, CASE WHEN rule_id IS NULL THEN 'Key & Token Abbreviations' ELSE rule_id END AS name, 'process.env.' || key AS expr,
+upper(severity[1:1]) || severity[2:] AS label FROM found JOIN es USING (value) WHERE severity IS NOT NULL)
+SELECT file_uri, 0 AS line_no, start_pos, severity, label, CASE severity WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'information' WHEN 'informational' THEN 'hint' ELSE 'error' END AS level,
+CASE severity WHEN 'critical' THEN 'errorForeground' ELSE 'charts.' || CASE severity WHEN 'high' THEN 'orange' WHEN 'medium' THEN 'yellow' WHEN 'low' THEN 'green' ELSE 'blue' END END AS color,
+name || ' (' || CAST(round(score * 100) AS INTEGER) || '%), line 1: ' || expr AS summary,
+'### ' || label || ' risk\n\n**Confidence:** ' || format('{{:.1f}}', round(score * 100, 1)) || '%\n\n**' || CASE WHEN rule_id IS NULL THEN 'Category' ELSE 'Type' END || ':** ' || name || '\n\n**Entropy:** ' || format('{{:.2f}}', round(e, 2))
+|| '\n\n| Layer | Score |\n|-|-|' || list_aggregate(list_transform([('Rules', l1), ('Entropy', l2), ('Context', l3), ('Strings', 0.0), ('File', l5)], lambda x: '\n| ' || x[1] || ' | ' || CAST(round(x[2] * 100) AS INTEGER) || '% |'), 'string_agg', '')
+|| '\n\n1. Add ' || key || ' to .env\n2. Write ' || expr || ' instead of the value\n3. See that .env is ignored' AS text FROM d""")
+def p25_p26_made_details(spark, sf_dir):
+    return report.details(Scanner.default(spark).findings(_made_files(spark, sf_dir)))
+
+
 @query(f"""WITH {_MADE}, s AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS ord FROM found WHERE severity IS NOT NULL)
 SELECT file_uri, 0 AS line_no, start_pos, suppression_key, CAST(ord AS INTEGER) AS ord, ['migrate', 'replace', 'ignore', 'example', 'mark fixed'][ord + 1] AS step,
 [key, 'process.env.' || key, '.env', key || '=your-' || lower(replace(key, '_', '-')) || '-here', suppression_key][ord + 1] AS detail FROM s""")
@@ -689,6 +701,18 @@ def f15_f16_j9_ignored(spark, sf_dir):
     return ignores.evaluate(u, ignores.rules(spark, _IGNORES))
 
 
+@query("""WITH p AS (SELECT *, replace(p_brand, '#', '-') AS dir FROM part), d AS (SELECT DISTINCT p_size FROM p WHERE starts_with(p_name, 'cold') AND p_type = 'PROMO'), k AS (SELECT DISTINCT dir, p_type, p_size FROM p WHERE starts_with(p_name, 'small'))
+SELECT '/parts/' || dir || '/' || p_partkey || '.' || p_type || '.' || p_size AS file_uri, p_size IN (SELECT p_size FROM d) AND (dir, p_type, p_size) NOT IN (SELECT (dir, p_type, p_size) FROM k) AS ignored FROM p""")
+def f15_f16_s13_made_ignores(spark, sf_dir):
+    """A file a part, ignored by size, which ignore files of the brands' folders take back by type and size; the files are a table."""
+    p, text = table(spark, sf_dir, "part").withColumn("dir", F.replace("p_brand", F.lit("#"), F.lit("-"))), lambda c: F.array_join(F.collect_set(c), "\n")
+    size = F.col("p_size").cast("string")
+    root = p.where("startswith(p_name, 'cold') AND p_type = 'PROMO'").agg(text(F.concat(F.lit("*."), size)).alias("text")).select(F.lit("").alias("dir"), "text")  # a line a size
+    own = p.where("startswith(p_name, 'small')").groupBy("dir").agg(text(F.concat_ws(".", F.lit("!*"), "p_type", size)).alias("text"))  # a line a type and size
+    files = p.select(F.concat(F.lit("/parts/"), "dir", F.lit("/"), F.concat_ws(".", F.col("p_partkey").cast("string"), "p_type", size)).alias("file_uri"))
+    return ignores.ignored(files, "/parts", ignores.rules_of(root.unionByName(own)))
+
+
 @query("""WITH e AS (SELECT upper(replace(c_name, '#', '_')) AS key, CAST(c_acctbal AS VARCHAR) AS old FROM customer WHERE c_custkey % 3 > 0), w AS (SELECT upper(replace(c_name, '#', '_')) AS key, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS VARCHAR) ELSE 'x' END AS new FROM customer WHERE c_custkey % 5 > 1)
 SELECT key, coalesce(new, old) AS value, CASE WHEN new IS NULL THEN 'kept' WHEN old IS NULL THEN 'appended' WHEN old = new THEN 'unchanged' ELSE 'replaced' END AS action FROM e FULL JOIN w USING (key)""")
 def k6_k7_env_upsert(spark, sf_dir):
