@@ -38,7 +38,9 @@ ADDRESS = frozenset("you your you're du dein deine ihr tu toi vous votre usted t
 
 _TABLE = C.ALNUM.copy()
 _TABLE[[ord("@"), ord("$")]] = [ord("@"), ord("$")]
-_TOKEN = re.compile(r"[0-9a-z@$\u0080-\U0010ffff]+|[\"\n]")
+# Signs of Latin-1 and general punctuation end a word as those of ASCII do.
+_PART = re.compile(r"[0-9a-z@$\u00c0-\u1fff\u2070-\U0010ffff]+")
+_TOKEN = re.compile(_PART.pattern + r"|[\"\n]")
 _QUOTES = str.maketrans({c: '"' for c in "«»“”„‟"} | {chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -131,9 +133,9 @@ def lexicon(rows: DataFrame, text: str = "text") -> tuple[list[str], list[str]]:
             pairs = np.unique(C.rows_of(offsets) * max(1, len(distinct)) + codes)
             row, code = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
             label = np.asarray(batch.column("_label"), dtype=np.int64)[row]
-            names = [w.decode() for w in distinct]
+            parts = [_PART.findall(w.decode()) for w in distinct]
             # a document counts once for a word and once for a beginning
-            seen = {(r, n) for r, c in zip(row.tolist(), code.tolist(), strict=True) for n in {names[c][:k] + "*" for k in STEM_LENGTHS if len(names[c]) >= k} | {names[c]}}
+            seen = {(r, n) for r, c in zip(row.tolist(), code.tolist(), strict=True) for p in parts[c] for n in {p[:k] + "*" for k in STEM_LENGTHS if len(p) >= k} | {p}}
             of = dict(zip(row.tolist(), label.tolist(), strict=True))
             count = defaultdict(lambda: [0, 0])
             for r, n in seen:
@@ -202,11 +204,11 @@ def hits(texts: pa.Array, trie: FuzzyTrie, known: dict[bytes, int]) -> np.ndarra
     for i, w in enumerate(distinct):
         k = known.get(w)
         if k is None:
-            k = known[w] = trie.match(normal(w.decode()))
+            k = known[w] = max((trie.match(normal(p)) for p in _PART.findall(w.decode())), default=0)
         kinds[i] = k
     out = np.zeros((len(texts), 2))
     if kinds.any():
-        found = {w.decode(): int(k) for w, k in zip(distinct, kinds, strict=True) if k}
+        found = {p: trie.match(normal(p)) for w, k in zip(distinct, kinds, strict=True) if k for p in _PART.findall(w.decode())}
         for r in np.unique(C.rows_of(offsets)[kinds[codes] > 0]).tolist():
             tokens = _TOKEN.findall(texts[r].as_py().translate(_QUOTES))
             out[r] = context(tokens, [found.get(t, 0) for t in tokens])
