@@ -52,5 +52,12 @@ def new_findings(findings: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def replace_files(results: DataFrame, scanned: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The results table after `scanned` files were scanned anew: their rows give way to `fresh`, whatever it covers."""
-    return results.join(scanned.select("file_uri").distinct(), "file_uri", "left_anti").unionByName(fresh)
+    """The results table after `scanned` files were scanned anew: their rows give way to `fresh`, whatever it covers.
+    Files without a uri are one file."""
+    return of_files(results, scanned, "left_anti").unionByName(fresh)
+
+
+def of_files(rows: DataFrame, files: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the files, or with left_anti of others; no uri equals no uri."""
+    own = files.select(F.col("file_uri").alias("uri")).distinct()
+    return rows.join(own, rows["file_uri"].eqNullSafe(own["uri"]), how)

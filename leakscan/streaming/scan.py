@@ -41,14 +41,14 @@ def results(state: StateStore, before: int | None = None, files: DataFrame | Non
     since = [v for v in state.versions("scans") if v >= start and (before is None or v < before)]
     rows = state.read("base", [start], _SCANS).unionByName(state.read("scans", since, _SCANS))
     if files is not None:
-        rows = rows.join(files.select("file_uri").distinct(), "file_uri", "left_semi")
-    last = rows.groupBy("file_uri").agg(F.max("batch").alias("batch"))
+        rows = suppress.of_files(rows, files)
+    last = rows.groupBy(F.col("file_uri").alias("uri")).agg(F.max("batch").alias("newest"))
     # a scan without findings left a row without a place
-    return rows.join(last, ["file_uri", "batch"], "left_semi").where("line_no is not null")
+    return rows.join(last, rows["file_uri"].eqNullSafe(last["uri"]) & (rows["batch"] == last["newest"]), "left_semi").where("line_no is not null")
 
 
 def merge_batch(scanner: Scanner, state: StateStore, files: DataFrame, batch: int, suppressions: DataFrame | None = None) -> None:
-    """Scans one batch and writes version `batch` of scans (its files' results) and of new (what their files' last scan lacked).
+    """Scans one batch, in which rows without a uri are one file, and writes version `batch` of scans (its files' results) and of new (what their files' last scan lacked).
 
     Only the batch's own files are written; every COMPACT batches a base gathers what is current, and versions that no
     batch reads any more go. A batch that is run again reads the versions before its own, so repeating it changes nothing.
@@ -60,7 +60,9 @@ def merge_batch(scanner: Scanner, state: StateStore, files: DataFrame, batch: in
     with scratch(files.sparkSession):  # the scan's tables go with the batch
         fresh = written(scanner.findings(last, suppressions).select(*columns))
         state.save("new", suppress.new_findings(fresh, results(state, batch, last)), batch)
-        state.save("scans", last.select("file_uri").join(fresh, "file_uri", "left").select(*columns, F.lit(batch).cast("long").alias("batch")), batch)
+        own = last.select(F.col("file_uri").alias("uri"))
+        scans = own.join(fresh, own["uri"].eqNullSafe(fresh["file_uri"]), "left").drop("file_uri").withColumnRenamed("uri", "file_uri")
+        state.save("scans", scans.select(*columns, F.lit(batch).cast("long").alias("batch")), batch)
     if (batch + 1) % COMPACT == 0:
         state.save("base", results(state, batch + 1), batch + 1)
         kept = batch + 1 - COMPACT

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from leakscan.operators import suppress
 from leakscan.plans.scan import Scanner
 from leakscan.sources.state import StateStore
 from leakscan.streaming import scan as ST
@@ -83,3 +84,21 @@ def test_bases_and_pruning(spark, scanner, tmp_path, monkeypatch):
         seen.append((sorted(r.file_uri for r in ST.results(state).collect()), state.load("new", ST.RESULT).count()))
     assert seen == [(["/a.py"], 1), (["/a.py", "/b.py"], 1), (["/b.py"], 0), (["/b.py", "/c.py"], 1), (["/b.py", "/c.py"], 0)]
     assert state.versions("base") == [2, 4] and state.versions("scans") == [2, 3, 4]
+
+
+def test_rows_without_a_uri_are_one_file(spark, scanner, tmp_path):
+    state = StateStore(spark, str(tmp_path / "s"))
+    batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    ST.merge_batch(scanner, state, batch(edit(None, 0, SECRET), edit("/a", 0, SECRET)), 0)
+    assert sorted(str(r.file_uri) for r in ST.results(state).collect()) == ["/a", "None"]
+    ST.merge_batch(scanner, state, batch(edit(None, 5, SECRET)), 1)  # nothing new
+    assert state.read("new", [1], ST.RESULT).count() == 0 and ST.results(state).count() == 2
+    ST.merge_batch(scanner, state, batch(edit(None, 9, "x = 1\n")), 2)
+    assert [r.file_uri for r in ST.results(state).collect()] == ["/a"]
+
+
+def test_replaced_rows_without_a_uri(spark):
+    rows = spark.createDataFrame([(None, 1), ("/a", 2), ("/b", 3)], "file_uri string, uri int")
+    scanned = spark.createDataFrame([(None,), ("/b",), (None,)], "file_uri string")
+    fresh = spark.createDataFrame([(None, 9)], "file_uri string, uri int")
+    assert sorted(r.uri for r in suppress.replace_files(rows, scanned, fresh).collect()) == [2, 9]
