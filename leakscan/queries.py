@@ -346,7 +346,7 @@ def j2_part_keywords(spark, sf_dir):
     """A keyword for every part, in a line for every order line: the keywords grow with the table."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     own = p.select(F.concat_ws(" ", "p_name", "p_partkey").alias("keyword")).union(p.select("p_brand"))
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity").join(p.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     line = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(": "), F.upper("p_name"), F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" x"), F.col("l_quantity").cast("int").cast("string"))
     return keywords.hits(rows.select(line.alias("text")), own).groupBy("keyword").agg(F.count(F.lit(1)).alias("n_lines"))
 
