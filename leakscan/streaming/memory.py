@@ -48,6 +48,7 @@ class _Sightings(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         now = self.state.get()
+        timed = now is not None  # a key with state has a timer, set no later than its end
         for at in sorted(r.at_ms for r in rows):
             if now is not None and at - now[1] > self.quiet:
                 yield self._row(key, "expired", now)
@@ -55,10 +56,11 @@ class _Sightings(StatefulProcessor):
             if now is None:
                 now = (at, at, 0)
                 yield self._row(key, "new", (at, at, 1))
-                self.handle.registerTimer(at + self.quiet)
             now = (min(now[0], at), max(now[1], at), now[2] + 1)
         if now is not None:
             self.state.update(now)
+            if not timed:  # one a key, not one for each time that it is seen anew
+                self.handle.registerTimer(now[1] + self.quiet)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = self.state.get()
@@ -104,17 +106,24 @@ class _LastScan(StatefulProcessor):
         for r in rows:
             when[r.at_us] = r.at
             scans.setdefault(r.at_us, set()).update(set() if r.suppression_key is None else {r.suppression_key})
-        last = (self.scanned.get() or (None,))[0]
-        held = {k[0] for k in self.held.keys()}
+        last = before = (self.scanned.get() or (None,))[0]
+        kept = {} if last is None else {k[0]: v[0] for k, v in self.held.iterator()}
+        held = dict(kept)
         for at in sorted(a for a in scans if last is None or a > last):
-            for k in sorted(scans[at] - held):
-                self.held.updateValue((k,), (at,))
+            for k in sorted(scans[at] - held.keys()):
+                held[k] = at
                 yield Row(file_uri=key[0], at=when[at], suppression_key=k, event="new")
-            for k in sorted(held - scans[at]):
-                self.held.removeKey((k,))
+            for k in sorted(held.keys() - scans[at]):
+                del held[k]
                 yield Row(file_uri=key[0], at=when[at], suppression_key=k, event="gone")
-            held, last = scans[at], at
-        if last is not None:
+            last = at
+        # the state is written once a batch, where it differs from what it was
+        for k in kept.keys() - held.keys():
+            self.held.removeKey((k,))
+        for k, at in held.items():
+            if kept.get(k) != at:
+                self.held.updateValue((k,), (at,))
+        if last != before:
             self.scanned.update((last,))
 
     def close(self) -> None:

@@ -93,3 +93,21 @@ def test_scratch_tables_go(spark):
         written(spark.range(5))
         assert written(spark.range(4)).count() == 4 and count() == before + 2
     assert count() == before and kept.count() == 3
+
+
+def test_state_is_written_once_a_key_and_batch():
+    """However often a key expires, or a file is scanned, within a batch."""
+    from types import SimpleNamespace as N
+
+    calls = []
+    value = lambda: N(get=lambda: None, update=lambda v: calls.append(("value", v)))
+    s = M._Sightings(10)
+    s.state, s.handle = value(), N(registerTimer=lambda at: calls.append(("timer", at)))
+    assert len(list(s.handleInputRows(("f", "k"), [N(at_ms=100 * i) for i in range(5)], None))) == 9
+    assert calls == [("value", (400, 400, 1)), ("timer", 410)]
+    calls.clear()
+    p = M._LastScan()
+    p.scanned, p.held = value(), N(iterator=lambda: iter(()), keys=lambda: iter(()), updateValue=lambda k, v: calls.append((k, v)), removeKey=lambda k: calls.append((k, None)))
+    rows = [N(at_us=i, at=i, suppression_key=f"k{i % 2}") for i in range(6)]
+    assert len(list(p.handleInputRows(("f",), rows, None))) == 11
+    assert calls == [(("k1",), (5,)), ("value", (5,))]
