@@ -44,8 +44,15 @@ def builder_variants(keyword: Column) -> Column:
 
 
 def build(fragments: DataFrame) -> DataFrame:
-    """(keyword, group, source) from fragments (group, group_ord, keyword, keyword_ord, source): every spelling goes to the first that claims it."""
-    rows = fragments.select("group", "group_ord", "keyword_ord", "source", F.posexplode(builder_variants(F.col("keyword"))).alias("variant_ord", "name"))
+    """(keyword, group, source) from fragments (group, group_ord, keyword, keyword_ord, source): every spelling goes to the first that claims it.
+
+    Rows that repeat a keyword claim the same spellings, so the first of them stands for all before they are spelled out. What is
+    sorted follows the number of distinct keywords and groups, not of rows.
+    """
+    own = fragments.groupBy("keyword", "group", "group_ord", "source").agg(F.min("keyword_ord").alias("keyword_ord"))  # by hash, unsorted
+    order = F.struct("group_ord", "keyword_ord")
+    own = own.groupBy("keyword").agg(F.min_by(F.struct("group", "source", "group_ord", "keyword_ord"), order).alias("f")).select("keyword", "f.*")
+    rows = own.select("group", "group_ord", "keyword_ord", "source", F.posexplode(builder_variants(F.col("keyword"))).alias("variant_ord", "name"))
     first = Window.partitionBy("name").orderBy("group_ord", "keyword_ord", "variant_ord")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("name").alias("keyword"), "group", "source")
 
