@@ -26,12 +26,17 @@ def language(path: Column) -> Column:
     return out
 
 
+def _found(glob: str) -> str:
+    """A glob's pattern where it is only searched for: .* at its ends would try every end from every place and changes nothing."""
+    return glob_regex(glob).removeprefix("(?i)").removeprefix(".*").removesuffix(".*")
+
+
 def risk(path: Column, extra_globs: tuple[str, ...] = (), defaults: bool = True) -> Column:
     """EXCLUDED, HIGH, ELEVATED, REDUCED or NORMAL, the first that applies."""
     own = F.replace(path, F.lit("\\"), F.lit("/"))
     ext, name = extension(own), F.lower(base_name(own))
     globs = [*(fixed.EXCLUDED_GLOBS if defaults else []), *extra_globs]
-    excluded = own.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs)) if globs else F.lit(False)
+    excluded = own.rlike("(?i)" + "|".join(f"(?:{_found(g)})" for g in globs)) if globs else F.lit(False)
     folders = own.rlike(f"(?i)/(?:{'|'.join(fixed.REDUCED_FOLDERS)})/")
     suffixes = name.rlike("(?:" + "|".join(s.replace(".", r"\.") for s in fixed.REDUCED_SUFFIXES) + ")\\z")
     return (
