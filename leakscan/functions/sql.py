@@ -11,9 +11,10 @@ _RANK = "CASE severity " + " ".join(f"WHEN '{name}' THEN {rank}" for name, rank,
 
 #: name(parameters) -> what it returns: scalars in terms of their parameters, tables as a query.
 SCALARS = {
-    "utf16_length(s STRING) RETURNS INT": r"length(s) + length(regexp_replace(s, '[^\\x{10000}-\\x{10FFFF}]', ''))",
-    "shannon_entropy(s STRING) RETURNS DOUBLE": """CASE WHEN length(s) = 0 THEN 0D ELSE aggregate(
-        transform(array_distinct(filter(split(s, ''), c -> c <> '')), c -> CAST(length(s) - length(replace(s, c, '')) AS DOUBLE) / utf16_length(s)), 0D, (a, p) -> a - p * log2(p)) END""",
+    # each is worked out once a string, outside the lambda over its characters
+    "utf16_length(s STRING) RETURNS INT": r"CASE WHEN octet_length(s) < length(s) + 3 THEN length(s) ELSE length(s) + length(regexp_replace(s, '[^\\x{10000}-\\x{10FFFF}]+', '')) END",
+    "shannon_entropy(s STRING) RETURNS DOUBLE": """CASE WHEN length(s) = 0 THEN 0D ELSE transform(array(CAST(utf16_length(s) AS DOUBLE)), n -> aggregate(
+        transform(array_distinct(filter(split(s, ''), c -> c <> '')), c -> CAST(length(s) - length(replace(s, c, '')) AS DOUBLE) / n), 0D, (a, p) -> a - p * log2(p)))[0] END""",
     "severity_of(score DOUBLE) RETURNS STRING": _SEVERITY,
     "severity_rank(severity STRING) RETURNS INT": _RANK,
     "env_segment(s STRING) RETURNS STRING": r"regexp_replace(regexp_replace(upper(s), '[^A-Z0-9]+', '_'), '^_+|_+\\z', '')",
