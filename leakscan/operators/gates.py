@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
 from leakscan.functions.dialect import BOUNDARY, ascii_words
-from leakscan.functions.text import any_of, trim_unicode
+from leakscan.functions.text import any_of, let, trim_unicode
 
 
 def _least(value: Column, table: list[tuple[str, str, float]]) -> tuple[Column, Column]:
@@ -24,18 +24,22 @@ def placeholder(value: Column, line: Column | None = None, adjacent: Column | No
     names, factor = _least(value, fixed.PLACEHOLDERS)
     if line is not None:
         around = F.lower(F.concat_ws(" ", F.array(line), adjacent))
-        phrase = F.lit(False)
-        for p in fixed.PLACEHOLDER_PHRASES:
-            phrase = phrase | around.contains(p)
-        lower = phrase & (factor > fixed.PLACEHOLDER_PHRASE_FACTOR)
-        names = F.when(lower, F.array_append(names, F.lit("placeholder-context"))).otherwise(names)
-        factor = F.when(lower, fixed.PLACEHOLDER_PHRASE_FACTOR).otherwise(factor)
+        phrase = let(around, lambda a: F.exists(F.lit(list(fixed.PLACEHOLDER_PHRASES)), lambda p: F.contains(a, p)))
+
+        def lowered(x):
+            lower = (x["factor"] > fixed.PLACEHOLDER_PHRASE_FACTOR) & phrase
+            more = F.when(lower, F.array_append(x["names"], F.lit("placeholder-context"))).otherwise(x["names"])
+            return F.struct(more.alias("names"), F.when(lower, fixed.PLACEHOLDER_PHRASE_FACTOR).otherwise(x["factor"]).alias("factor"))
+
+        both = let(F.struct(names.alias("names"), factor.alias("factor")), lowered)
+        names, factor = both["names"], both["factor"]
     return {"placeholder_names": names, "placeholder_factor": factor}
 
 
 def non_secret_format(value: Column) -> dict[str, Column]:
     """format_names and format_factor of the trimmed value."""
-    names, factor = _least(trim_unicode(value), fixed.FORMATS)
+    both = let(trim_unicode(value), lambda v: F.struct(*[c.alias(n) for n, c in zip(("names", "factor"), _least(v, fixed.FORMATS), strict=True)]))
+    names, factor = both["names"], both["factor"]
     return {"format_names": names, "format_factor": factor}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
-from leakscan.functions.text import charset, diverse_score, entropy
+from leakscan.functions.text import charset, diverse_score, entropy, let
 from leakscan.operators import identifiers as I
 from leakscan.operators import lines as L
 from leakscan.operators import literals as S
@@ -19,10 +19,14 @@ def entropy_layer(value: Column, rule_entropy: Column) -> dict[str, Column]:
     """l2_entropy, l2_threshold and l2_score; the rule's threshold, or 3 bits without one."""
     e = entropy(value)
     threshold = F.when(rule_entropy > 0, rule_entropy).otherwise(3.0)
-    adjusted, size = diverse_score(value, e), charset(value)["charset_size"]
-    full = F.least(F.lit(1.0), adjusted + F.when(size >= 94, 0.05).when(size >= 62, 0.03).otherwise(0.0))
-    score = F.when(e < 2, 0.0).when(e < threshold, F.least(F.lit(0.3), adjusted * (e / threshold))).otherwise(full)
-    return {"l2_entropy": e, "l2_threshold": threshold, "l2_score": score}
+    size = charset(value)["charset_size"]
+
+    def score(e):
+        adjusted = diverse_score(value, e)
+        full = F.least(F.lit(1.0), adjusted + F.when(size >= 94, 0.05).when(size >= 62, 0.03).otherwise(0.0))
+        return F.when(e < 2, 0.0).when(e < threshold, F.least(F.lit(0.3), adjusted * (e / threshold))).otherwise(full)
+
+    return {"l2_entropy": e, "l2_threshold": threshold, "l2_score": let(e, score)}
 
 
 def context_lines(line: Column, line_no: Column, surrounding: Column) -> Column:
@@ -71,22 +75,27 @@ def matched_groups(signals: Column) -> Column:
 def string_score(value: Column, line: Column, surrounding: Column) -> Column:
     """What other literals around say: authentication words, providers, HTTP."""
     others = F.filter(F.flatten(F.transform(F.concat(F.array(line), surrounding), S.literal_values)), lambda x: x != value)
-    low = F.transform(others, F.lower)
-    holding = lambda names: F.filter(low, lambda x: x.rlike("|".join(n.replace(".", r"\.") for n in names)))
-    auth, provider, http = (F.size(F.array_distinct(holding(n))) for n in (fixed.AUTH_STRINGS, fixed.PROVIDER_STRINGS, fixed.HTTP_STRINGS))
-    score = F.least(F.lit(0.55), auth * F.lit(0.2)) + F.least(F.lit(0.25), provider * F.lit(0.2)) + F.when(http > 0, 0.1).otherwise(0.0) + F.when((auth > 0) & (provider > 0), 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), score)
+    low = F.array_distinct(F.transform(others, F.lower))
+    number = lambda own, names: F.size(F.filter(own, lambda x: x.rlike("|".join(n.replace(".", r"\.") for n in names))))
+
+    def score(n):
+        auth, provider, http = n["auth"], n["provider"], n["http"]
+        return F.least(F.lit(0.55), auth * F.lit(0.2)) + F.least(F.lit(0.25), provider * F.lit(0.2)) + F.when(http > 0, 0.1).otherwise(0.0) + F.when((auth > 0) & (provider > 0), 0.1).otherwise(0.0)
+
+    numbers = let(low, lambda own: F.struct(number(own, fixed.AUTH_STRINGS).alias("auth"), number(own, fixed.PROVIDER_STRINGS).alias("provider"), number(own, fixed.HTTP_STRINGS).alias("http")))
+    return F.least(F.lit(1.0), let(numbers, score))
 
 
 def file_score(line: Column, in_comment: Column, risk: Column) -> dict[str, Column]:
     """l5_score and what it rests on."""
     kind = L.line_type(line)
-    comment = in_comment | (kind == "COMMENT")
+    comment = lambda kind: in_comment | (kind == "COMMENT")
     string = L.string_assignment(line)
-    base = (
+    base = lambda kind, comment: (
         F.lit(0.5)
         + F.when(comment, -0.35).when(kind.isin("ASSIGNMENT", "OBJECT_PROPERTY"), 0.25).when(kind == "IMPORT", -0.2).when(kind == "RETURN_STATEMENT", 0.05).when((kind == "ARRAY_ELEMENT") | L.array_context(line), -0.1).otherwise(0.0)
         + F.when(string & ~comment, 0.1).otherwise(0.0)
     )
     factor = risk_factor(risk)
-    return {"line_type": kind, "in_comment": comment, "file_factor": factor, "l5_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * factor))}
+    score = let(kind, lambda k: let(comment(k), lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), base(k, c) * factor))))
+    return {"line_type": kind, "in_comment": comment(kind), "file_factor": factor, "l5_score": score}

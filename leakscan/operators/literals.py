@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
 from leakscan.functions.dialect import SPACE
-from leakscan.functions.text import trim_unicode, utf16_length
+from leakscan.functions.text import let, trim_unicode, utf16_length
 
 # possessive, so that long literals don't nest the matcher's calls
 QUOTED = {'"': r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"', "'": r"'([^'\\]*+(?:\\.[^'\\]*+)*+)'", "`": r"`([^`$\\]*+(?:\\.[^`$\\]*+)*+)`"}
@@ -50,10 +50,13 @@ def env_value(line: Column) -> Column:
     return F.when(ok & (value != ""), one).otherwise(F.array().cast(_LITERAL))
 
 
+#: A line without this offers nothing: a literal holds three characters or escapes at least, an unquoted value has a name before it.
+OFFERS = "|".join(rf"{q}(?:[^{q}{more}\\]|\\.){{3,}}+{q}" for q, more in (('"', ""), ("'", ""), ("`", "$"))) + rf"|^[{SPACE}]*+[A-Za-z_][A-Za-z0-9_.-]*+[{SPACE}]*+="
+
+
 def candidate_values(line: Column) -> Column:
     """What a line offers for scoring: its literals, or else its unquoted value, of 8 to 512 UTF-16 units."""
-    own = literals(line)
-    found = F.when(F.size(own) > 0, own).otherwise(env_value(line))
+    found = let(literals(line), lambda own: F.when(F.size(own) > 0, own).otherwise(env_value(line)))
     return F.filter(found, lambda x: (utf16_length(x["value"]) >= fixed.SHORTEST) & (utf16_length(x["value"]) <= fixed.LONGEST))
 
 

@@ -71,7 +71,7 @@ class Scanner:
         excluded = F.coalesce(F.col("risk") == "EXCLUDED", F.lit(False))
         content = F.coalesce("content", F.lit(""))
         off = F.substring_index(content, "\n", 1).contains("leakscan-disable-file") if self.config["options"]["skipFilesMarkedDisabled"] else F.lit(False)
-        has = lambda line: line.rlike("[\"'`=]") & (F.size(S.candidate_values(line)) > 0)
+        has = lambda line: line.rlike("[\"'`=]") & line.rlike(S.OFFERS) & (F.size(S.candidate_values(line)) > 0)
         out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=has)
         lines = F.when(~F.col("off"), F.col("lines"))
         return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("off"))

@@ -9,6 +9,8 @@ from leakscan.operators.paths import language
 
 #: Of a staged file.
 MOST_BYTES = 10 * 1024 * 1024
+#: Fewer stored bytes are not worth a task: the work on a row is large beside its size.
+SPREAD_BYTES = 1 << 16
 _SKIPPED = "/(?:node_modules|dist|build|\\.git|coverage)/"
 
 
@@ -19,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
-    parts = min(2 * cores, -(-size // (1 << 20)))
+    parts = min(2 * cores, -(-size // SPREAD_BYTES))
     return df.repartition(parts) if 1 < parts and size < cores * (128 << 20) else df
 
 
