@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscan.functions.text import camel, slug, snake
+from leakscan.operators.rules import keyword_pattern
 
 #: Stands in where no dictionary is given.
 SEED = {
@@ -24,6 +27,8 @@ SEED = {
 }
 #: A dictionary this large is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: So many names are also looked for in lines before names are cut out of them.
+FEW_ROWS = 30_000
 
 
 def words(keyword: Column) -> Column:
@@ -88,6 +93,17 @@ def lookup_forms(name: Column) -> Column:
     return F.concat(*out)
 
 
+def plain_keywords(keywords: list[str]) -> list[str]:
+    """The keywords that a name can equal, without case, underscores and dashes. The forms of a name differ from it, or from what
+    follows its get, set or is, in these only, so a name that `resolve` finds holds one of them. Of long ones the beginning will do."""
+    return sorted({re.sub("[_-]", "", k.lower())[:64] for k in keywords if k and re.fullmatch("[A-Za-z0-9_$-]+", k)})
+
+
+def may_name(code: Column, plain: list[str] | None) -> Column:
+    """Whether a text, or a name, may hold a name that `resolve` finds among the `plain` keywords; None stands for any keywords."""
+    return F.lit(True) if plain is None or "" in plain else code.rlike("(?i)" + keyword_pattern(plain, "_*+"))
+
+
 def resolve(names: DataFrame, dictionary: DataFrame, broadcast: bool = True) -> DataFrame:
     """(name, group, matched_variant) of the names (column name) that the dictionary knows, by the first form that hits."""
     rows = names.select("name").distinct().select("name", F.posexplode(lookup_forms(F.col("name"))).alias("rank", "form"))

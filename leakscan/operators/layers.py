@@ -36,13 +36,23 @@ def context_lines(line: Column, line_no: Column, surrounding: Column) -> Column:
     return F.concat(F.array(F.struct(line.alias("line"), F.lit(0).alias("distance"))), near)
 
 
+def names(line: Column, line_no: Column, surrounding: Column, plain: list[str] | None = None) -> Column:
+    """(ord, name, distance) of the names on a line and its neighbours, own line first, in order of appearance. Names that cannot be
+    among the `plain` keywords are left out."""
+
+    def of(c, k):
+        own = F.transform(S.identifiers(c["line"]), lambda name, j: F.struct((k * 100_000 + j).alias("ord"), name.alias("name"), c["distance"].alias("distance")))
+        return F.when(I.may_name(S.code(c["line"]), plain), F.filter(own, lambda x: I.may_name(x["name"], plain)))
+
+    return F.flatten(F.filter(F.transform(context_lines(line, line_no, surrounding), of), lambda own: own.isNotNull()))
+
+
 def signals(lines: DataFrame, dictionary: DataFrame, broadcast: bool = True) -> DataFrame:
-    """(line_id, signals, db2_hits): dictionary names on a line and its neighbours, own line first, in order of appearance."""
-    near = lines.select("line_id", F.posexplode(context_lines(F.col("line"), F.col("line_no"), F.col("surrounding"))).alias("k", "c"))
-    named = near.select("line_id", "k", F.col("c.distance").alias("distance"), F.posexplode(S.identifiers(F.col("c.line"))).alias("j", "name"))
+    """(line_id, signals, db2_hits) of lines (line_id, names): the names that the dictionary knows, in order of appearance."""
+    named = lines.select("line_id", F.explode("names").alias("n")).select("line_id", "n.*")
     known = I.resolve(named, dictionary, broadcast)
     weight = F.get(F.lit(fixed.DISTANCE_WEIGHTS), F.col("distance"))
-    hit = named.join(known, "name").select("line_id", F.struct((F.col("k") * 100_000 + F.col("j")).alias("ord"), F.col("name").alias("identifier"), "group", "distance", weight.alias("weight")).alias("s"))
+    hit = named.join(known, "name").select("line_id", F.struct("ord", F.col("name").alias("identifier"), "group", "distance", weight.alias("weight")).alias("s"))
     out = hit.groupBy("line_id").agg(F.array_sort(F.collect_list("s")).alias("signals"))
     own = F.transform(F.filter("signals", lambda s: s["distance"] == 0), lambda s: s["identifier"])
     return out.select("line_id", "signals", own.alias("db2_hits"))

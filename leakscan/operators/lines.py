@@ -51,13 +51,14 @@ def _near_changed(changed: Column, n: Column) -> Column:
     return F.substring(spread, F.lit(CHANGED_NEAR + 1), n)
 
 
-def with_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
+def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=None, keep_text=None) -> DataFrame:
     """`files` (content, optional changed_lines), a row each, with content replaced by n_lines and lines (line_no from 0, line,
     in_comment, surrounding).
 
     Lines end at \\n only. surrounding holds up to five lines before, then five after. Lines go out if
-    changed_lines is not empty and none of it is within two lines, or if `keep` (of a column named line)
-    is false. A null content has null lines and n_lines. Time is linear in a file's lines.
+    changed_lines is not empty and none of it is within two lines, or if `keep` (of the line) or `keep_near` (of the
+    line and its surrounding) is false. Files whose content `keep_text` refuses have no lines. A null content has
+    null lines and n_lines. Time is linear in a file's lines.
     """
     content, incremental = F.col("content"), "changed_lines" in files.columns
     some = F.array().cast("array<string>")
@@ -79,10 +80,13 @@ def with_lines(files: DataFrame, keep: Column | None = None, surrounding: bool =
             own = [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], F.get(inside, r["line_no"]) == "i").alias("in_comment")]
             return F.struct(*own, *([neighbours(all_, n, r["line_no"]).alias("surrounding")] if surrounding else []))
 
-        return F.transform(at, row)
+        rows = F.transform(at, row)
+        return rows if keep_near is None else F.filter(rows, lambda r: keep_near(r["line"], r["surrounding"]))
 
     near_of = lambda all_: F.split(_near_changed(F.col("changed_lines"), F.size(all_)), "") if incremental else some
-    own = text.let(F.split(content, "\n"), lambda all_: text.let(F.split(_inside(_events(all_)), ""), lambda inside: text.let(near_of(all_), lambda near: lines(all_, inside, near))))
+    all_lines = F.split(content, "\n")
+    all_lines = all_lines if keep_text is None else F.when(keep_text(content), all_lines).otherwise(some)
+    own = text.let(all_lines, lambda all_: text.let(F.split(_inside(_events(all_)), ""), lambda inside: text.let(near_of(all_), lambda near: lines(all_, inside, near))))
     n = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
     columns = [c for c in files.columns if c not in ("content", "changed_lines")]
     return files.select(*columns, n.alias("n_lines"), F.when(content.isNotNull(), own).alias("lines"))

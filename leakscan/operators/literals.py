@@ -60,12 +60,21 @@ def candidate_values(line: Column) -> Column:
     return F.filter(found, lambda x: (utf16_length(x["value"]) >= fixed.SHORTEST) & (utf16_length(x["value"]) <= fixed.LONGEST))
 
 
+def _without(line: Column, mark: str, pattern: str) -> Column:
+    return let(line, lambda x: F.when(x.contains(mark), F.regexp_replace(x, pattern, "")).otherwise(x))
+
+
+def code(line: Column) -> Column:
+    """The line without its literals and comments."""
+    s = line
+    for mark, p in (('"', r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'), ("'", r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"), ("`", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"), ("//", r"//.*\z"), ("/*", r"/\*.*?\*/"), ("#", r"#.*\z")):
+        s = _without(s, mark, p)
+    return s
+
+
 def identifiers(line: Column) -> Column:
     """Names outside literals and comments, repeats included, without language keywords and single letters."""
-    s = line
-    for p in (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", r"//.*\z", r"/\*.*?\*/", r"#.*\z"):
-        s = F.regexp_replace(s, p, "")
     # a name starts at a word boundary and ends at one; $ is no word character
     name = r"(?<![A-Za-z0-9_])([a-zA-Z_](?:[a-zA-Z0-9_$]*[a-zA-Z0-9_])?)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(\$[a-zA-Z0-9_$]*[a-zA-Z0-9_])(?![A-Za-z0-9_])"
-    found = F.regexp_extract_all(s, F.lit(name), F.lit(0))
+    found = F.regexp_extract_all(code(line), F.lit(name), F.lit(0))
     return F.filter(found, lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(fixed.LANGUAGE_KEYWORDS))

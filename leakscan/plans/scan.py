@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.functions.text import finding_id, suppression_key, trim_unicode
+from leakscan.functions.text import finding_id, let, suppression_key, trim_unicode
 from leakscan.operators import gates as G
 from leakscan.operators import identifiers as I
 from leakscan.operators import layers as Y
@@ -37,6 +37,10 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(*own, *[F.col("extra").getField(c).alias(c) for c in more])
 
 
+def _beside(surrounding: Column) -> Column:
+    return F.concat_ws("\n", L.adjacent(surrounding))
+
+
 @dataclass
 class Scanner:
     """What a scan needs besides files."""
@@ -45,24 +49,29 @@ class Scanner:
     dictionary: DataFrame
     config: dict
     broadcast_dictionary: bool = True
+    #: The dictionary's keywords as `I.plain_keywords`; without them every name is looked up.
+    plain: list[str] | None = None
 
     @classmethod
     def default(cls, spark: SparkSession, rules: str | dict | None = None, dictionary: DataFrame | None = None, config: dict | None = None) -> Scanner:
-        """Built-in rules and seed dictionary where none are given. The dictionary is counted before it is broadcast."""
+        """Built-in rules and seed dictionary where none are given. The dictionary is counted before it is broadcast, or read if it is short."""
         config = config or K.load()
         data = rules if isinstance(rules, dict) else R.load(rules)
         if config["options"]["useCustomRules"]:
             data = {**data, "rules": [*data["rules"], *config["customRules"]]}
         own = I.seed(spark) if dictionary is None else dictionary.groupBy("keyword").agg(F.min("group").alias("group"))
-        small = dictionary is None or own.count() <= I.BROADCAST_ROWS
-        return cls(R.compile_rules(spark, data), own, config, small)
+        own = own.select("keyword", "group")
+        few = own.limit(I.FEW_ROWS + 1).collect()
+        if len(few) > I.FEW_ROWS:
+            return cls(R.compile_rules(spark, data), own, config, own.count() <= I.BROADCAST_ROWS)
+        return cls(R.compile_rules(spark, data), spark.createDataFrame(few, own.schema), config, True, I.plain_keywords([r["keyword"] for r in few]))
 
     # --- stages ---
 
     def read(self, files: DataFrame) -> DataFrame:
         """The one pass over `files` (file_uri, content, optional language_id, changed_lines), written once: a row per row with row_id,
-        risk, n_lines (0 for excluded files) and lines, those that hold a candidate value, with their neighbours. Further columns are
-        packed as `extra`, where none clashes with the scan's."""
+        risk, n_lines (0 for excluded files) and lines, those that hold a candidate value and a keyword, may hold a dictionary name or
+        have a keyword beside them, with their neighbours. Further columns are packed as `extra`, where none clashes with the scan's."""
         i = self.config["ignore"]
         extra = [c for c in files.columns if c not in INPUTS]
         packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in extra]) if extra else F.lit(None).cast("int")
@@ -71,18 +80,24 @@ class Scanner:
         excluded = F.coalesce(F.col("risk") == "EXCLUDED", F.lit(False))
         content = F.coalesce("content", F.lit(""))
         off = F.substring_index(content, "\n", 1).contains("leakscan-disable-file") if self.config["options"]["skipFilesMarkedDisabled"] else F.lit(False)
-        has = lambda line: line.rlike("[\"'`=]") & line.rlike(S.OFFERS) & (F.size(S.candidate_values(line)) > 0)
-        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=has)
+        marked = lambda text: let(text, lambda x: x.contains('"') | x.contains("'") | x.contains("`") | x.contains("="))
+        offers = lambda line: marked(line) & line.rlike(S.OFFERS)
+        keyed = lambda text: R.may_hold(text, self.ruleset.keyword_set)
+        told = lambda line, near: keyed(line) | keyed(_beside(near)) | I.may_name(S.code(line), self.plain)
+        has = lambda line, near: told(line, near) & (F.size(S.candidate_values(line)) > 0)
+        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=offers, keep_near=has, keep_text=marked)
         lines = F.when(~F.col("off"), F.col("lines"))
         return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("off"))
 
     def lines(self, read: DataFrame) -> DataFrame:
-        """The lines of `read` that may hold a secret, with their keyword hits."""
+        """The lines of `read` that may hold a secret, with their keyword hits, names and candidate values, written once."""
         keywords = self.ruleset.keyword_set
         out = read.where(F.size("lines") > 0).select(*[c for c in read.columns if c != "lines"], F.inline("lines")).where(trim_unicode(F.col("line")) != "")
         out = out.withColumn("db1_hits", R.keyword_hits(F.col("line"), keywords)).withColumn("adjacent", L.adjacent(F.col("surrounding")))
-        near = F.lower(F.concat_ws("\n", "adjacent")).rlike(R.keyword_pattern(keywords))
-        return out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "row_id", "line_no"))
+        near = F.lower(_beside(F.col("surrounding"))).rlike(R.keyword_pattern(keywords))
+        out = out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "row_id", "line_no"))
+        names = Y.names(F.col("line"), F.col("line_no"), F.col("surrounding"), self.plain)
+        return written(out.withColumns({"names": names, "values": S.candidate_values(F.col("line"))}))
 
     def candidates(self, files: DataFrame) -> DataFrame:
         """Candidate values of lines with a keyword, a dictionary name or a keyword beside them. The files' further columns come along,
@@ -91,10 +106,10 @@ class Scanner:
 
     def _candidates(self, read: DataFrame) -> DataFrame:
         lines = self.lines(read)
-        known = Y.signals(lines.select("line_id", "line_no", "line", "surrounding"), self.dictionary, self.broadcast_dictionary)
-        out = lines.join(known, "line_id", "left").withColumn("signals", F.coalesce("signals", Y.no_signals())).withColumn("db2_hits", F.coalesce("db2_hits", F.array().cast("array<string>")))
+        known = Y.signals(lines.select("line_id", "names"), self.dictionary, self.broadcast_dictionary)
+        out = lines.drop("names").join(known, "line_id", "left").withColumn("signals", F.coalesce("signals", Y.no_signals())).withColumn("db2_hits", F.coalesce("db2_hits", F.array().cast("array<string>")))
         out = out.where((F.size("db1_hits") > 0) | (F.size("db2_hits") > 0) | F.col("adjacent_hit"))
-        out = out.withColumn("c", F.explode(S.candidate_values(F.col("line")))).select("*", "c.*").drop("c")
+        out = out.withColumn("c", F.explode("values")).select("*", "c.*").drop("c", "values")
         return out.withColumn("cand_id", F.concat_ws(":", "line_id", "start_pos", "quote"))
 
     def scored(self, files: DataFrame) -> DataFrame:
