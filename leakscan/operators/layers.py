@@ -41,8 +41,8 @@ def names(line: Column, line_no: Column, surrounding: Column, plain: list[str] |
     among the `plain` keywords are left out."""
 
     def of(c, k):
-        own = F.transform(S.identifiers(c["line"]), lambda name, j: F.struct((k * 100_000 + j).alias("ord"), name.alias("name"), c["distance"].alias("distance")))
-        return F.when(I.may_name(S.code(c["line"]), plain), F.filter(own, lambda x: I.may_name(x["name"], plain)))
+        own = lambda code: F.transform(S.names(code), lambda name, j: F.struct((k * 100_000 + j).alias("ord"), name.alias("name"), c["distance"].alias("distance")))
+        return let(S.code(c["line"]), lambda code: F.when(I.may_name(code, plain), F.filter(own(code), lambda x: I.may_name(x["name"], plain))))
 
     return F.flatten(F.filter(F.transform(context_lines(line, line_no, surrounding), of), lambda own: own.isNotNull()))
 

@@ -74,7 +74,12 @@ def code(line: Column) -> Column:
 
 def identifiers(line: Column) -> Column:
     """Names outside literals and comments, repeats included, without language keywords and single letters."""
+    return names(code(line))
+
+
+def names(code: Column) -> Column:
+    """`identifiers` of a line's `code`."""
     # a name starts at a word boundary and ends at one; $ is no word character
     name = r"(?<![A-Za-z0-9_])([a-zA-Z_](?:[a-zA-Z0-9_$]*[a-zA-Z0-9_])?)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(\$[a-zA-Z0-9_$]*[a-zA-Z0-9_])(?![A-Za-z0-9_])"
-    found = F.regexp_extract_all(code(line), F.lit(name), F.lit(0))
+    found = F.regexp_extract_all(code, F.lit(name), F.lit(0))
     return F.filter(found, lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(fixed.LANGUAGE_KEYWORDS))
