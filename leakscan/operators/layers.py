@@ -107,5 +107,6 @@ def file_score(line: Column, in_comment: Column, risk: Column) -> dict[str, Colu
         + F.when(string & ~comment, 0.1).otherwise(0.0)
     )
     factor = risk_factor(risk)
-    score = let(kind, lambda k: let(comment(k), lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), base(k, c) * factor))))
-    return {"line_type": kind, "in_comment": comment(kind), "file_factor": factor, "l5_score": score}
+    row = lambda k, c: F.struct(k.alias("line_type"), c.alias("in_comment"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), base(k, c) * factor)).alias("l5_score"))
+    own = let(kind, lambda k: let(comment(k), lambda c: row(k, c)))  # one row, so that the line's type is worked out once
+    return {k: own[k] for k in ("line_type", "in_comment", "l5_score")} | {"file_factor": factor}

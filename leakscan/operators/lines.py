@@ -87,7 +87,7 @@ def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=
     all_lines = F.split(content, "\n")
     all_lines = all_lines if keep_text is None else F.when(keep_text(content), all_lines).otherwise(some)
     own = text.let(all_lines, lambda all_: text.let(F.split(_inside(_events(all_)), ""), lambda inside: text.let(near_of(all_), lambda near: lines(all_, inside, near))))
-    n = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    n = F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1  # in bytes, which needs no counting of characters
     columns = [c for c in files.columns if c not in ("content", "changed_lines")]
     return files.select(*columns, n.alias("n_lines"), F.when(content.isNotNull(), own).alias("lines"))
 

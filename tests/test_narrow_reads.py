@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from leakscan.operators import identifiers as I
+from leakscan.operators import layers as Y
+from leakscan.operators import lines as L
 from leakscan.operators import rules as R
 from leakscan.plans.scan import Scanner
 
@@ -34,3 +36,29 @@ def test_texts_may_hold_what_their_lower_case_holds(spark):
     df = spark.createDataFrame([(t,) for t in ("KEY", "KEY", "İd", "k", "Äkey", "Ä")], "t string")
     for words in (["key"], ["id", "x"], ["ä"]):
         assert df.where(F.lower("t").rlike(R.keyword_pattern(words)) & ~R.may_hold(F.col("t"), words)).count() == 0
+
+
+def test_places_are_left_after_a_look(spark):
+    """Whatever the number of words, most places are left by the classes of their first characters; what is found stays the same."""
+    assert R.keyword_pattern(["key", "token"]).startswith("(?=[kt][eo][ky])") and R.keyword_pattern(["ab", "token"]).startswith("(?=[at][bo])")
+    assert R.keyword_pattern(["pwd", "tkn"], "_*+").startswith("(?=[pt]_*+[kw]_*+[dn])")
+    odd = ["^a-", "]b", "-c]", "\\d", "a&&b", "[x", " #", "~\t", "\U0001f511k", "ä.", "k"]
+    texts = [*odd, *["x" + w + "y" for w in odd], *[w[:1] for w in odd], *[w[1:] for w in odd], "&", "a&b", "-", "^", "]", "ab", "\U0001f511"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for words in (odd, odd[:-1], odd[:3], odd[4:9], ["]b", "^a-"]):
+        got = {r.t: r.hit for r in df.select("t", F.col("t").rlike(R.keyword_pattern(words)).alias("hit")).collect()}
+        assert got == {t: any(w in t for w in words) for t in texts}, words
+
+
+def test_lines_are_counted_in_bytes(spark):
+    """A file that is no UTF-8 has as many lines as it is cut into."""
+    raw = [b"a\xc3\nb", b"\xc3\n", b"\xe2\x82\n\n", b"", b"\n", "ä\n€\n".encode()]
+    df = spark.createDataFrame([(bytearray(b),) for b in raw], "b binary").select(F.col("b").cast("string").alias("content"))
+    assert all(r.n_lines == len(r.lines) for r in L.with_lines(df).collect()) and L.with_lines(df).agg(F.sum("n_lines")).first()[0] == sum(b.count(b"\n") + 1 for b in raw)
+
+
+def test_a_line_has_its_type_worked_out_once(spark):
+    own = Y.file_score(F.col("line"), F.col("in_comment"), F.col("risk"))
+    df = spark.createDataFrame([('x = "a"', False, "NORMAL"), ("// x", False, "HIGH"), ("import x", True, None)], "line string, in_comment boolean, risk string").select(*[c.alias(k) for k, c in own.items()])
+    assert [tuple(r[k] for k in ("line_type", "in_comment")) for r in df.collect()] == [("ASSIGNMENT", False), ("COMMENT", True), ("IMPORT", True)]
+    assert len({str(own[k]).split("[")[0] for k in ("line_type", "in_comment", "l5_score")}) == 1
