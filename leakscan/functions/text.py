@@ -15,6 +15,13 @@ def any_of(col: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [col.rlike(ascii_words(p)) for p in patterns], F.lit(False))
 
 
+def either(patterns: list[str]) -> str:
+    r"""One pattern for all, which a text is read through once for. They refer to no groups. What begins with ^\s* shares that."""
+    head = r"^\s*"
+    rest = "|".join(f"(?:{p.removeprefix(head)})" for p in patterns if p.startswith(head))
+    return "|".join([*([f"{head}(?:{rest})"] if rest else []), *(f"(?:{p})" for p in patterns if not p.startswith(head))])
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body reads it, inside lambdas too: the optimiser can't copy a lambda's
     variable to where it is read, as it does with a column."""
@@ -31,6 +38,11 @@ def trim_unicode(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, f"^[{SPACE}]+", ""), f"[{SPACE}]+\\z", "")
 
 
+def blank(s: Column) -> Column:
+    """Whether `trim_unicode` leaves nothing; a text is read up to its first other character only."""
+    return ~s.rlike(f"[^{SPACE}]")
+
+
 def chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import fixed
 from leakscan.functions.dialect import BOUNDARY, ascii_words
-from leakscan.functions.text import any_of, let, trim_unicode
+from leakscan.functions.text import any_of, either, let, trim_unicode
 
 
 def _least(value: Column, table: list[tuple[str, str, float]]) -> tuple[Column, Column]:
@@ -56,9 +56,9 @@ def _stopword(value: Column, words: list[str], label: str) -> Column:
 def allow_reason(value: Column, line: Column, rule_reason: Column, stopwords: list[str], patterns: list[str], marks: list[str]) -> Column:
     """Why a candidate is allowed, the first reason of the cascade; null if it isn't."""
     return F.coalesce(
-        F.when(any_of(line, [*fixed.INLINE_MARKS, *marks]), "Inline suppression comment"),
+        F.when(any_of(line, [either(fixed.INLINE_MARKS), *marks]), "Inline suppression comment"),
         F.when(rule_reason.isNotNull(), F.concat(F.lit("Rule allowlist: "), rule_reason)),
-        F.when(any_of(value, fixed.GLOBAL_PATTERNS) | any_of(line, fixed.GLOBAL_PATTERNS), "Global allowlist pattern"),
+        F.when(any_of(value, [either(fixed.GLOBAL_PATTERNS)]) | any_of(line, [either(fixed.GLOBAL_PATTERNS)]), "Global allowlist pattern"),
         _stopword(value, fixed.GLOBAL_STOPWORDS, "Global"),
         _stopword(value, stopwords, "Developer"),
         *[F.when(any_of(value, ["(?i)" + p]) | any_of(line, ["(?i)" + p]), F.lit(f"Developer pattern: {p}")) for p in patterns],
@@ -89,6 +89,14 @@ def confidence(c: dict[str, Column], weights: dict[str, float]) -> dict[str, Col
     return {"base_score": base, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(name_like, 0.0).otherwise(score)))}
 
 
+def may_reach(c: dict[str, Column], weights: dict[str, float], least: float) -> Column:
+    """Whether a candidate passes `least` unless it is allowed or reduced: no allowlist and no factor, all at most 1, raises a score.
+    c: `confidence`'s columns but for placeholder_factor, format_factor and allowed."""
+    none = {"allowed": F.lit(False), "placeholder_factor": F.lit(1.0), "format_factor": F.lit(1.0)}
+    own = F.struct(*[x.alias(k) for k, x in c.items()])
+    return F.coalesce(let(own, lambda s: passes(confidence({k: s[k] for k in c} | none, weights)["score"], least)), F.lit(True))
+
+
 def explanation(c: dict[str, Column]) -> Column:
     """How a score came about: the layers, what reduced or raised it, and the result. c: `confidence`'s columns and its results."""
     two = lambda x: F.format_string("%.2f", x)

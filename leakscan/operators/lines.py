@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import fixed, text
 from leakscan.functions.dialect import SPACE
-from leakscan.functions.text import any_of, trim_unicode
+from leakscan.functions.text import any_of
 
 NEAR = 5
 CHANGED_NEAR = 2
@@ -51,14 +51,15 @@ def _near_changed(changed: Column, n: Column) -> Column:
     return F.substring(spread, F.lit(CHANGED_NEAR + 1), n)
 
 
-def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=None, keep_text=None) -> DataFrame:
+def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=None, keep_text=None, counted: bool = True) -> DataFrame:
     """`files` (content, optional changed_lines), a row each, with content replaced by n_lines and lines (line_no from 0, line,
     in_comment, surrounding).
 
     Lines end at \\n only. surrounding holds up to five lines before, then five after. Lines go out if
     changed_lines is not empty and none of it is within two lines, or if `keep` (of the line) or `keep_near` (of the
     line and its surrounding) is false. Files whose content `keep_text` refuses have no lines. A null content has
-    null lines and n_lines. Time is linear in a file's lines.
+    null lines and n_lines. Time is linear in a file's lines. Without `counted` n_lines is a field of the lines instead, which spares
+    files without lines the count.
     """
     content, incremental = F.col("content"), "changed_lines" in files.columns
     some = F.array().cast("array<string>")
@@ -78,7 +79,7 @@ def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=
 
         def row(r):
             own = [r["line_no"].alias("line_no"), r["line"].alias("line"), in_comment(r["line"], F.get(inside, r["line_no"]) == "i").alias("in_comment")]
-            return F.struct(*own, *([neighbours(all_, n, r["line_no"]).alias("surrounding")] if surrounding else []))
+            return F.struct(*own, *([neighbours(all_, n, r["line_no"]).alias("surrounding")] if surrounding else []), *([] if counted else [n.alias("n_lines")]))
 
         rows = F.transform(at, row)
         return rows if keep_near is None else F.filter(rows, lambda r: keep_near(r["line"], r["surrounding"]))
@@ -89,7 +90,7 @@ def with_lines(files: DataFrame, keep=None, surrounding: bool = True, keep_near=
     own = text.let(all_lines, lambda all_: text.let(F.split(_inside(_events(all_)), ""), lambda inside: text.let(near_of(all_), lambda near: lines(all_, inside, near))))
     n = F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1  # in bytes, which needs no counting of characters
     columns = [c for c in files.columns if c not in ("content", "changed_lines")]
-    return files.select(*columns, n.alias("n_lines"), F.when(content.isNotNull(), own).alias("lines"))
+    return files.select(*columns, *([n.alias("n_lines")] if counted else []), F.when(content.isNotNull(), own).alias("lines"))
 
 
 def split_lines(files: DataFrame, keep: Column | None = None, surrounding: bool = True) -> DataFrame:
@@ -108,9 +109,9 @@ def adjacent(surrounding: Column) -> Column:
 
 def line_type(line: Column) -> Column:
     """The first type that fits; blank lines and others are UNKNOWN."""
-    out = F.when(trim_unicode(line) == "", "UNKNOWN")
+    out = F.when(text.blank(line), "UNKNOWN")
     for name, patterns in fixed.LINE_TYPES:
-        out = out.when(any_of(line, patterns), name)
+        out = out.when(any_of(line, [text.either(patterns)]), name)
     return out.otherwise("UNKNOWN")
 
 

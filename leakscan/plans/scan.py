@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.functions.text import finding_id, let, suppression_key, trim_unicode
+from leakscan.functions.text import blank, finding_id, let, suppression_key
 from leakscan.operators import gates as G
 from leakscan.operators import identifiers as I
 from leakscan.operators import layers as Y
@@ -68,10 +68,11 @@ class Scanner:
 
     # --- stages ---
 
-    def read(self, files: DataFrame) -> DataFrame:
+    def read(self, files: DataFrame, counted: bool = True) -> DataFrame:
         """The one pass over `files` (file_uri, content, optional language_id, changed_lines), written once: a row per row with row_id,
         risk, n_lines (0 for excluded files) and lines, those that hold a candidate value and a keyword, may hold a dictionary name or
-        have a keyword beside them, with their neighbours. Further columns are packed as `extra`, where none clashes with the scan's."""
+        have a keyword beside them, with their neighbours. Further columns are packed as `extra`, where none clashes with the scan's.
+        Without `counted` only the lines tell n_lines."""
         i = self.config["ignore"]
         extra = [c for c in files.columns if c not in INPUTS]
         packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in extra]) if extra else F.lit(None).cast("int")
@@ -85,14 +86,14 @@ class Scanner:
         keyed = lambda text: R.may_hold(text, self.ruleset.keyword_set)
         told = lambda line, near: keyed(line) | keyed(_beside(near)) | I.may_name(S.code(line), self.plain)
         has = lambda line, near: told(line, near) & (F.size(S.candidate_values(line)) > 0)
-        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=offers, keep_near=has, keep_text=marked)
+        out = L.with_lines(out.withColumns({"content": F.when(~excluded, content), "off": off}), keep=offers, keep_near=has, keep_text=marked, counted=counted)
         lines = F.when(~F.col("off"), F.col("lines"))
-        return written(out.withColumns({"lines": lines, "n_lines": F.coalesce("n_lines", F.lit(0))}).drop("off"))
+        return written(out.withColumns({"lines": lines} | ({"n_lines": F.coalesce("n_lines", F.lit(0))} if counted else {})).drop("off"))
 
     def lines(self, read: DataFrame) -> DataFrame:
         """The lines of `read` that may hold a secret, with their keyword hits, names and candidate values, written once."""
         keywords = self.ruleset.keyword_set
-        out = read.where(F.size("lines") > 0).select(*[c for c in read.columns if c != "lines"], F.inline("lines")).where(trim_unicode(F.col("line")) != "")
+        out = read.where(F.size("lines") > 0).select(*[c for c in read.columns if c != "lines"], F.inline("lines")).where(~blank(F.col("line")))
         out = out.withColumn("db1_hits", R.keyword_hits(F.col("line"), keywords)).withColumn("adjacent", L.adjacent(F.col("surrounding")))
         near = F.lower(_beside(F.col("surrounding"))).rlike(R.keyword_pattern(keywords))
         out = out.withColumn("adjacent_hit", near).withColumn("line_id", F.concat_ws(":", "row_id", "line_no"))
@@ -102,7 +103,7 @@ class Scanner:
     def candidates(self, files: DataFrame) -> DataFrame:
         """Candidate values of lines with a keyword, a dictionary name or a keyword beside them. The files' further columns come along,
         but for those named like a column of the scan."""
-        return unpacked(self._candidates(self.read(files)))
+        return unpacked(self._candidates(self.read(files, counted=False)))
 
     def _candidates(self, read: DataFrame) -> DataFrame:
         lines = self.lines(read)
@@ -115,34 +116,37 @@ class Scanner:
     def scored(self, files: DataFrame) -> DataFrame:
         """Candidates with all layers, reductions, score, its explanation, severity, suppression key and id. The files' further columns
         come along, but for those named like a column of the scan."""
-        return unpacked(self._scored(self.read(files)))
+        return unpacked(self._scored(self.read(files, counted=False)))
 
-    def _scored(self, read: DataFrame) -> DataFrame:
+    def _scored(self, read: DataFrame, found: bool = False) -> DataFrame:
+        """`scored`, packed. With `found`, candidates whose layers are too low for a severity go before the rules' allowlists and the reductions,
+        which no score rises by."""
+        cfg, value, line = self.config, F.col("value"), F.col("line")
+        least = cfg["detection"]["minimumConfidenceToWarn"]
         c = written(self._candidates(read))
-        best = R.match_rules(c.select("cand_id", "value", "line", "db1_hits", F.col("file_uri").alias("path")), self.ruleset, self.config["options"]["useRulePaths"])
+        best = R.match_rules(c.select("cand_id", "value", "line", "db1_hits", F.col("file_uri").alias("path")), self.ruleset, cfg["options"]["useRulePaths"])
         c = c.join(best, "cand_id", "left")
-        path = F.replace("file_uri", F.lit("\\"), F.lit("/"))
-        allow = R.allowlisted(c.where("rule_id is not null").select("cand_id", "rule_id", "value", "line", path.alias("path")), self.ruleset) if self.ruleset.allowlists else None
-        c = c.join(allow, "cand_id", "left") if allow is not None else c.withColumn("rule_reason", F.lit(None).cast("string"))
-        value, line = F.col("value"), F.col("line")
         c = c.withColumns({"matched": F.col("rule_id").isNotNull(), "known_provider": F.coalesce("known_provider", F.lit(False)), "generic": F.coalesce("generic", F.lit(False)), "l1_score": F.coalesce("l1_score", F.lit(0.0))})
         c = c.withColumns(Y.entropy_layer(value, F.col("rule_entropy")))
         c = c.withColumns({"l3_score": Y.context_score(F.col("signals")), "matched_groups": Y.matched_groups(F.col("signals")), "l4_score": Y.string_score(value, line, F.col("surrounding"))})
         c = c.withColumns(Y.file_score(line, F.col("in_comment"), F.col("risk")))
+        specific = F.exists("signals", lambda s: (s["distance"] == 0) & s["group"].isin(Y.fixed.SPECIFIC_GROUPS))
+        layers = {k: F.col(k) for k in ("l1_score", "l2_score", "l2_entropy", "l3_score", "l4_score", "l5_score", "matched", "known_provider", "generic", "file_factor", "value")} | {"specific_context": specific}
+        c = written(c.where(G.may_reach(layers, K.weights(cfg), least)) if found else c)  # the rules are matched once for what follows
+        path = F.replace("file_uri", F.lit("\\"), F.lit("/"))
+        allow = R.allowlisted(c.where("rule_id is not null").select("cand_id", "rule_id", "value", "line", path.alias("path")), self.ruleset) if self.ruleset.allowlists else None
+        c = c.join(allow, "cand_id", "left") if allow is not None else c.withColumn("rule_reason", F.lit(None).cast("string"))
         c = c.withColumns(G.placeholder(value, line, F.col("adjacent"))).withColumns(G.non_secret_format(value))
-        cfg = self.config
         c = c.withColumn("allow_reason", G.allow_reason(value, line, F.col("rule_reason"), K.stopwords(cfg), K.patterns(cfg), K.marks(cfg)))
-        specific = F.exists("signals", lambda s: (s["distance"] == 0) & s["group"].isin(Y.fixed.SPECIFIC_GROUPS))
-        cols = {k: F.col(k) for k in ("l1_score", "l2_score", "l2_entropy", "l3_score", "l4_score", "l5_score", "matched", "known_provider", "generic", "file_factor", "placeholder_factor", "format_factor", "value")}
         c = written(c)  # the scores are used several times from here on
-        c = c.withColumns(G.confidence(cols | {"allowed": F.col("allow_reason").isNotNull(), "specific_context": specific}, K.weights(cfg)))
+        cols = layers | {k: F.col(k) for k in ("placeholder_factor", "format_factor")} | {"allowed": F.col("allow_reason").isNotNull()}
+        c = c.withColumns(G.confidence(cols, K.weights(cfg)))
         c = c.withColumn("explanation", G.explanation({k: F.col(k) for k in c.columns} | {"allowed": F.col("allow_reason").isNotNull()}))
-        least = cfg["detection"]["minimumConfidenceToWarn"]
         return c.withColumns({"severity": F.when(G.passes(F.col("score"), least), G.severity(F.col("score"))), "suppression_key": suppression_key(F.col("file_uri"), F.col("line_no"), line, F.col("rule_id")), "finding_id": finding_id(F.col("file_uri"), F.col("line_no"), F.col("start_pos"), value)})
 
     def findings(self, files: DataFrame, suppressions: DataFrame | None = None, now=None) -> DataFrame:
         """Scored candidates with a severity that no suppression in force covers."""
-        out = self.scored(files).where("severity is not null")
+        out = unpacked(self._scored(self.read(files, counted=False), found=True)).where("severity is not null")
         return out if suppressions is None else suppress.apply(out, suppressions, now)
 
     def funnel(self, files: DataFrame) -> DataFrame:
